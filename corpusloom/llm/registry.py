@@ -6,13 +6,48 @@ from collections.abc import Callable
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusloom.llm import contributors, packing, spans, tokenizer
+from corpusloom.llm import contributors, lines, packing, residue, spans, tokenizer
 from corpusloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _residue(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue_pages(table(spark, d, "expression"), "id", "domain_id", "content")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    found = lines.repeated_lines(table(spark, d, "expression"), "id", "domain_id", "content", without=_residue(spark, d))
+    return found.selectExpr("doc as expression_id", "line_no")
+
+
+def p3_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return lines.repeated_blocks(table(spark, d, "expression"), "id", "domain_id", "content", without=_residue(spark, d))
+
+
+def p3_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Every page without the lines that its site repeats."""
+    pages = table(spark, d, "expression")
+    gone = lines.repeated_lines(pages, "id", "domain_id", "content", without=_residue(spark, d))
+    return lines.without_lines(pages, "id", "content", gone).withColumnRenamed("doc", "expression_id")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _residue(spark, d).selectExpr("doc as expression_id")
+
+
+def p4_templates(spark: SparkSession, d: str) -> DataFrame:
+    """The message templates with their verdicts."""
+    thin = residue.thin_lines(table(spark, d, "expression"), "id", "domain_id", "content")
+    return residue.templates(thin).groupBy("template", "kind").agg(F.sum("n_lines").alias("n_lines"))
+
+
+def p4_open_slots(spark: SparkSession, d: str) -> DataFrame:
+    return residue.open_slots(table(spark, d, "expression"), "id", "content").withColumnRenamed("doc", "expression_id")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "expression").select("id", "domain_id", "relevance")
     capped = contributors.cap_contributors(rows, "domain_id", "relevance", "id", max_share=Fraction(1, 50))
