@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import contributors, lines, packing, residue, spans, tokenizer
+from corpusloom.llm import contributors, lines, packing, residue, spans, tokenizer, truncation
 from corpusloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,21 @@ def p6_kept_balanced(spark: SparkSession, d: str) -> DataFrame:
     return capped.filter("kept").selectExpr("id as expression_id", "domain_id")
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    cuts = truncation.truncated(table(spark, d, "expression"), "id", "domain_id", "html")
+    return cuts.filter("cut").selectExpr("doc as expression_id")
+
+
+def p7_rates(spark: SparkSession, d: str) -> DataFrame:
+    """How often each site truncates."""
+    return truncation.truncation_rates(table(spark, d, "expression"), "id", "domain_id", "html").withColumnRenamed("source", "domain_id")
+
+
+def p7_limits(spark: SparkSession, d: str) -> DataFrame:
+    """The lengths tested, with hazards and significance."""
+    return truncation.length_hazards(truncation.endings(table(spark, d, "expression"), "id", "domain_id", "html"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.encode_ids(table(spark, d, "documents"), "doc_id", "text")
 
