@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import contributors, lines, packing, residue, spans, tokenizer, truncation
+from corpusloom.llm import contributors, languages, lines, packing, residue, spans, tokenizer, truncation
 from corpusloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,22 @@ def _residue(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue_pages(table(spark, d, "expression"), "id", "domain_id", "content")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    found = languages.label_issues(table(spark, d, "expression"), "id", "lang", "content", without=_residue(spark, d))
+    return found.withColumnRenamed("key", "expression_id")
+
+
+def p2_languages(spark: SparkSession, d: str) -> DataFrame:
+    """Every page with its language and confidence."""
+    return languages.languages(table(spark, d, "expression"), "id", "lang", "content").select(F.col("key").alias("expression_id"), "lang", "confidence")
+
+
+def p2_segments(spark: SparkSession, d: str) -> DataFrame:
+    """The segments of pages that mix languages."""
+    judged = languages.languages(table(spark, d, "expression"), "id", "lang", "content")
+    return judged.select(F.col("key").alias("expression_id"), F.inline("segments"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     found = lines.repeated_lines(table(spark, d, "expression"), "id", "domain_id", "content", without=_residue(spark, d))
     return found.selectExpr("doc as expression_id", "line_no")
