@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import contributors, languages, lines, packing, residue, spans, tokenizer, truncation
+from corpusloom.llm import contributors, languages, lines, markup, packing, residue, spans, tokenizer, truncation
 from corpusloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,19 @@ def _residue(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue_pages(table(spark, d, "expression"), "id", "domain_id", "content")
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return markup.markup_kinds(table(spark, d, "mercuryresult"), "id", ["content", "markdown"]).withColumnRenamed("key", "result_id")
+
+
+def p1_clean(spark: SparkSession, d: str) -> DataFrame:
+    return markup.clean_fields(table(spark, d, "mercuryresult"), "id", ["content", "markdown"]).withColumnRenamed("key", "result_id")
+
+
+def p1_weights(spark: SparkSession, d: str) -> DataFrame:
+    """Word and tag weights, learned from labelled pages."""
+    return markup.fit_weights(table(spark, d, "expression"), "id", "html")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     found = languages.label_issues(table(spark, d, "expression"), "id", "lang", "content", without=_residue(spark, d))
     return found.withColumnRenamed("key", "expression_id")
