@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import contributors, languages, lines, markup, packing, residue, spans, tokenizer, truncation
+from corpusloom.llm import boilerplate, contributors, languages, lines, markup, packing, residue, spans, tokenizer, truncation
 from corpusloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +77,19 @@ def p4_open_slots(spark: SparkSession, d: str) -> DataFrame:
     return residue.open_slots(table(spark, d, "expression"), "id", "content").withColumnRenamed("doc", "expression_id")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "expression")
+    found = boilerplate.furniture_lines(pages, "id", "domain_id", "url", "content", "html", without=_residue(spark, d))
+    return found.withColumnRenamed("doc", "expression_id")
+
+
+def p5_body(spark: SparkSession, d: str) -> DataFrame:
+    """The main body of each page."""
+    pages = table(spark, d, "expression")
+    gone = boilerplate.furniture_lines(pages, "id", "domain_id", "url", "content", "html")
+    return lines.without_lines(pages, "id", "content", gone).withColumnRenamed("doc", "expression_id")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "expression").select("id", "domain_id", "relevance")
     capped = contributors.cap_contributors(rows, "domain_id", "relevance", "id", max_share=Fraction(1, 50))
