@@ -47,8 +47,8 @@ class Node:
             else:
                 yield kid
 
-    def find(self, name: str | None = None, **wanted: str) -> Node | None:
-        return next((n for n in self.walk() if (name is None or n.name == name) and all(_has(n, k, v) for k, v in wanted.items())), None)
+    def find(self, tag: str | None = None, /, **wanted: str) -> Node | None:
+        return next((n for n in self.walk() if (tag is None or n.name == tag) and all(_has(n, k, v) for k, v in wanted.items())), None)
 
     def every(self, name: str):
         return [n for n in self.walk() if n.name == name]

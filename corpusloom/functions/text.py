@@ -13,6 +13,8 @@ from corpusloom.functions.stem import stem
 
 #: Least and greatest length of a paragraph.
 PARAGRAPH_CHARS = (150, 6000)
+# White space of any kind, as Python's ``\\s`` has it.
+_SPACE = "(?U)[\\s\\x1c-\\x1f]"
 #: Words of the title count so much more.
 TITLE_WEIGHT = 10
 
@@ -23,7 +25,7 @@ def tokens(text: Column) -> Column:
 
 
 def cleaned(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, "\\s+", " "))
+    return F.trim(F.regexp_replace(text, _SPACE + "+", " "))
 
 
 def text_hash(text: Column) -> Column:
@@ -32,7 +34,7 @@ def text_hash(text: Column) -> Column:
 
 def paragraphs(text: Column, least: int = PARAGRAPH_CHARS[0], most: int = PARAGRAPH_CHARS[1]) -> Column:
     """Cleaned blocks between blank lines of fitting length; without any, the start of the whole text; empty for blank text."""
-    parts = F.transform(F.split(text, "\\n\\s*\\n+"), cleaned)
+    parts = F.transform(F.split(text, "(?U)\\n[\\s\\x1c-\\x1f]*\\n+"), cleaned)
     fitting = F.filter(parts, lambda p: F.length(p).between(least, most))
     whole = cleaned(text)
     return F.when(text.isNull() | (whole == ""), F.array().cast("array<string>")).when(F.size(fitting) > 0, fitting).otherwise(F.array(F.substring(whole, 1, most)))
@@ -119,7 +121,11 @@ COMMON = {
 def detected_language(text: Column, fallback: Column) -> Column:
     """The language with most frequent words in the text; texts under 20 characters, or without any, keep the fallback."""
     words = tokens(text)
-    scores = [F.struct(F.size(F.filter(words, lambda w, v=v: w.isin(*v.split()))).alias("n"), F.lit(-i).alias("order"), F.lit(k).alias("lang")) for i, (k, v) in enumerate(COMMON.items())]
+
+    def hits(common: list[str]) -> Column:
+        return F.size(F.filter(words, lambda w: w.isin(*common)))
+
+    scores = [F.struct(hits(v.split()).alias("n"), F.lit(-i).alias("order"), F.lit(k).alias("lang")) for i, (k, v) in enumerate(COMMON.items())]
     best = F.greatest(*scores)
     long = F.length(F.trim(F.coalesce(text, F.lit("")))) >= 20
     return F.when(long & (best["n"] > 0), best["lang"]).otherwise(fallback)

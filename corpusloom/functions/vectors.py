@@ -1,9 +1,11 @@
-"""Vector and number functions, all inside generated code."""
+"""Vector and number functions."""
 
 from __future__ import annotations
 
 import random
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,9 +34,19 @@ def unit(a: Column) -> Column:
 
 
 def hash_bins(text: Column) -> Column:
-    """Counts of the code points of the lower-case text by bin."""
-    bins = F.transform(F.filter(F.split(F.lower(text), ""), lambda c: c != ""), lambda c: F.pmod(F.ascii(c).cast("long") * FACTOR, F.lit(BINS)))
-    return F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: F.size(F.filter(bins, lambda b: b == i)).cast("double"))
+    """Counts of the code points of the lower-case text by bin.
+
+    One bin count a text in numpy: nested higher-order functions would pass over the text once for each bin.
+    """
+
+    def run(t: pd.Series) -> pd.Series:
+        out = []
+        for x in t:
+            points = np.frombuffer((x or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+            out.append(np.bincount(points * FACTOR % BINS, minlength=BINS).astype(float))
+        return pd.Series(out)
+
+    return F.pandas_udf(run, "array<double>")(text)
 
 
 def hash_embedding(text: Column) -> Column:
