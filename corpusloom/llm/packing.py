@@ -88,10 +88,8 @@ def pack_group(items: pd.DataFrame, mix: pd.DataFrame, capacity: int) -> pd.Data
         queues.setdefault(source if isinstance(source, str) else None, []).append((n - start, key, piece, start))
     for source in queues:
         shares.setdefault(source, 1e-12)
-        # long and short items alternate, so that every window has what fills its gaps
-        q = sorted(queues[source], key=lambda x: (-x[0], x[1] is None, x[1]))
-        half = (len(q) + 1) // 2
-        queues[source] = [x for pair in zip(q[:half], [*q[half:][::-1], None]) for x in pair if x] if len(q) > 1 else q
+        # long items first: the short ones of the last windows fill the gaps that are left
+        queues[source].sort(key=lambda x: (-x[0], x[1] is None, x[1]))
     for drawn in round_robin(queues, shares, deficits, float(WINDOW * capacity)):
         for n, key, piece, start in sorted(drawn, key=lambda x: -x[0]):
             rows.append((boxes.put(n), key, piece, start, n))
