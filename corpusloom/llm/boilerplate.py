@@ -55,14 +55,13 @@ def masked_lines(df: DataFrame, doc: str, host: str, url: str, content: str) ->
     return rows.select("doc", "host", "page", (F.col("pos") + 1).cast("int").alias("line_no"), F.xxhash64("line").alias("h"))
 
 
-def repeated_runs(lines: DataFrame) -> DataFrame:
+def repeated_runs(lines: DataFrame, addresses: DataFrame) -> DataFrame:
     """(host, h, share, hosts): the sequences repeated across a host's pages or across hosts.
 
-    ``share`` is the part of the host's pages that hold it, ``hosts`` the number of hosts that repeat it.
+    ``addresses`` are the (host, page) of the pages that have a line. ``share`` is the part of the host's pages that hold it, ``hosts`` the number of hosts that repeat it.
     """
     seen = lines.select("host", "h", "page").distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("n"))
-    # a page's first line is enough to count the host's pages
-    sizes = lines.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages")).withColumnRenamed("host", "host2")
+    sizes = addresses.distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages")).withColumnRenamed("host", "host2")
     wide = seen.groupBy("h").agg(F.count(F.lit(1)).alias("hosts"), F.sum("n").alias("all_n")).filter((F.col("hosts") >= HOSTS) & (F.col("all_n") >= PAGES_PER_HOST * F.col("hosts"))).select(F.col("h").alias("h2"), "hosts")
     both = seen.join(wide, F.col("h") == F.col("h2"), "left").filter((F.col("n") >= HOST_PAGES) | F.col("hosts").isNotNull())
     both = both.join(sizes, F.col("host").eqNullSafe(F.col("host2")))
@@ -306,7 +305,9 @@ def furniture_lines(df: DataFrame, doc: str, host: str, url: str, content: str,
     ensure_checkpoint_dir(df.sparkSession)
     rows = df.filter(F.col(f"`{doc}`").isNotNull())
     lines = masked_lines(rows, doc, host, url, content)
-    runs = repeated_runs(lines).checkpoint()
+    filled = rows.filter(F.col(f"`{content}`").rlike("\\S"))
+    addresses = filled.select(F.col(f"`{host}`").alias("host"), F.coalesce(F.xxhash64(f"`{url}`"), F.lit(0)).alias("page"))
+    runs = repeated_runs(lines, addresses).checkpoint()
     pages = rows.select(F.col(f"`{doc}`").alias("doc"), F.col(f"`{host}`").alias("host"), F.col(f"`{content}`").alias("content"))
     stored = rows.filter(F.col(f"`{html}`").isNotNull() & F.col(f"`{content}`").rlike("\\S")).select(F.col(f"`{doc}`").alias("doc"))
     chosen = [r["doc"] for r in stored.orderBy(F.xxhash64("doc")).limit(SAMPLE).collect()]  # bounded by SAMPLE
