@@ -281,7 +281,240 @@ def portuguese(word: str) -> str:
     return word.replace("a~", "ã").replace("o~", "õ")
 
 
-STEMMERS = {"en": english, "de": german, "es": spanish, "pt": portuguese}
+# --- French -------------------------------------------------------------------------
+
+_FR_V = "aeiouyâàëéêèïîôûù"
+_FR_I = "îmes ît îtes i ie ies ir ira irai iraIent irais irait iras irent irez iriez irions irons iront is issaIent issais issait issant issante issantes issants isse issent isses issez issiez issions issons it".split()
+_FR_E = "é ée ées és èrent er era erai eraIent erais erait eras erez eriez erions erons eront ez iez".split()
+_FR_A = "âmes ât âtes a ai aIent ais ait ant ante antes ants as asse assent asses assiez assions".split()
+_FR_1 = (
+    "ance iqUe isme able iste eux ances iqUes ismes ables istes atrice ateur ation atrices ateurs ations logie logies usion ution usions utions ence ences ement ements"
+    " ité ités if ive ifs ives eaux aux euse euses issement issements amment emment ment ments"
+).split()
+
+
+def french(word: str) -> str:
+    word = re.sub(r"(?<=q)u", "U", word)
+    word = re.sub(rf"(?<=[{_FR_V}])([ui])(?=[{_FR_V}])", lambda m: m[1].upper(), word)
+    word = re.sub(rf"y(?=[{_FR_V}])|(?<=[{_FR_V}])y", "Y", word)
+    if len(word) >= 2 and word[0] in _FR_V and word[1] in _FR_V or word.startswith(("par", "col", "tap")):
+        rv = 3
+    else:
+        rv = next((i + 1 for i in range(1, len(word)) if word[i] in _FR_V), len(word))
+    r1, r2 = _regions(word, _FR_V)
+    before, open_verbs = word, False
+    e = _ending(word, _FR_1)
+    at = len(word) - len(e)
+
+    def drop(w: str, tails: tuple[str, ...], region: int) -> tuple[str, str]:
+        tail = _ending(w, tails)
+        return (w[: -len(tail)], tail) if tail and len(w) - len(tail) >= region else (w, "")
+
+    if e in ("amment", "emment"):
+        open_verbs = at >= rv
+        word = word[:at] + e[0] + "nt" if at >= rv else word
+    elif e in ("ment", "ments"):
+        if at - 1 >= rv and word[at - 1] in _FR_V:
+            word, open_verbs = word[:at], True
+    elif e in ("ement", "ements"):
+        if at >= rv:
+            word = word[:at]
+            if word.endswith("iv"):
+                word, gone = drop(word, ("iv",), r2)
+                if gone:
+                    word = drop(word, ("at",), r2)[0]
+            elif word.endswith("eus"):
+                if len(word) - 3 >= r2:
+                    word = word[:-3]
+                elif len(word) - 3 >= r1:
+                    word = word[:-1] + "x"
+            elif word.endswith(("abl", "iqU")):
+                word = drop(word, ("abl", "iqU"), r2)[0]
+            elif word.endswith(("ièr", "Ièr")) and len(word) - 3 >= rv:
+                word = word[:-3] + "i"
+    elif e in ("eaux", "aux"):
+        word = word[:-1] if e == "eaux" else word[:at] + "al" if at >= r1 else word
+    elif e in ("euse", "euses"):
+        word = word[:at] if at >= r2 else word[:at] + "eux" if at >= r1 else word
+    elif e in ("issement", "issements"):
+        word = word[:at] if at >= r1 and at and word[at - 1] not in _FR_V else word
+    elif e and at >= r2:
+        if e in ("logie", "logies"):
+            word = word[:at] + "log"
+        elif e in ("usion", "ution", "usions", "utions"):
+            word = word[:at] + "u"
+        elif e in ("ence", "ences"):
+            word = word[:at] + "ent"
+        else:
+            word = word[:at]
+            if e.startswith("at"):
+                if word.endswith("ic"):
+                    word = word[:-2] if len(word) - 2 >= r2 else word[:-2] + "iqU"
+            elif e in ("ité", "ités"):
+                if word.endswith("abil"):
+                    word = word[:-4] if len(word) - 4 >= r2 else word[:-2] + "l"
+                elif word.endswith("ic"):
+                    word = word[:-2] if len(word) - 2 >= r2 else word[:-2] + "iqU"
+                else:
+                    word = drop(word, ("iv",), r2)[0]
+            elif e in ("if", "ive", "ifs", "ives"):
+                word, gone = drop(word, ("at",), r2)
+                if gone and word.endswith("ic"):
+                    word = word[:-2] if len(word) - 2 >= r2 else word[:-2] + "iqU"
+    changed = word != before
+    if not changed or open_verbs:
+        verbs = word
+        e = _ending(word, _FR_I, rv)
+        at = len(word) - len(e)
+        if e and at - 1 >= rv and word[at - 1] not in _FR_V:
+            word = word[:at]
+        if word == verbs:
+            e = _ending(word, ("ions", *_FR_E, *_FR_A), rv)
+            at = len(word) - len(e)
+            if e == "ions":
+                word = word[:at] if at >= r2 else word
+            elif e in _FR_E:
+                word = word[:at]
+            elif e:
+                word = word[:at]
+                if word.endswith("e") and len(word) - 1 >= rv:
+                    word = word[:-1]
+        changed = changed or word != verbs
+    if changed:
+        word = word[:-1] + "i" if word.endswith("Y") else word[:-1] + "c" if word.endswith("ç") else word
+    else:
+        if word.endswith("s") and len(word) > 1 and word[-2] not in "aiouès":
+            word = word[:-1]
+        e = _ending(word, ("ion", "ier", "ière", "Ier", "Ière", "e"), rv)
+        at = len(word) - len(e)
+        if e == "ion":
+            word = word[:at] if at >= r2 and at - 1 >= rv and word[at - 1] in "st" else word
+        elif e == "e":
+            word = word[:-1]
+        elif e:
+            word = word[:at] + "i"
+    if word.endswith(("enn", "onn", "ett", "ell", "eill")):
+        word = word[:-1]
+    word = re.sub(rf"[éè](?=[^{_FR_V}]+$)", "e", word)
+    return word.replace("I", "i").replace("U", "u").replace("Y", "y")
+
+
+# --- Italian ------------------------------------------------------------------------
+
+_IT_V = "aeiouàèìòù"
+_IT_PRONOUNS = "ci gli la le li lo mi ne si ti vi sene gliela gliele glieli glielo gliene mela mele meli melo mene tela tele teli telo tene cela cele celi celo cene vela vele veli velo vene".split()
+_IT_1 = (
+    "anza anze ico ici ica ice iche ichi ismo ismi abile abili ibile ibili ista iste isti istà istè istì oso osi osa ose mente atrice atrici ante anti azione azioni atore atori"
+    " logia logie uzione uzioni usione usioni enza enze amento amenti imento imenti amente ità ivo ivi iva ive"
+).split()
+_IT_2 = (
+    "ammo ando ano are arono asse assero assi assimo ata ate ati ato ava avamo avano avate avi avo emmo enda ende endi endo erà erai eranno ere erebbe erebbero erei eremmo eremo ereste eresti erete erò erono essero ete"
+    " eva evamo evano evate evi evo Yamo iamo immo irà irai iranno ire irebbe irebbero irei iremmo iremo ireste iresti irete irò irono isca iscano isce isci isco iscono issero ita ite iti ito iva ivamo ivano ivate ivi ivo ono uta ute uti uto ar ir"
+).split()
+
+
+def italian(word: str) -> str:
+    word = word.translate(str.maketrans("áéíóú", "àèìòù"))
+    word = re.sub(r"(?<=q)u", "U", word)
+    word = re.sub(rf"(?<=[{_IT_V}])([ui])(?=[{_IT_V}])", lambda m: m[1].upper(), word)
+    rv = _romance_rv(word, _IT_V)
+    r1, r2 = _regions(word, _IT_V)
+    e = _ending(word, _IT_PRONOUNS, rv)
+    if e:
+        base = word[: -len(e)]
+        if _ending(base, ("ando", "endo"), rv):
+            word = base
+        elif _ending(base, ("ar", "er", "ir"), rv):
+            word = base + "e"
+    before = word
+    e = _ending(word, _IT_1)
+    at = len(word) - len(e)
+    if e in ("amento", "amenti", "imento", "imenti"):
+        word = word[:at] if at >= rv else word
+    elif e == "amente":
+        if at >= r1:
+            word = word[:at]
+            tail = _ending(word, ("iv", "os", "ic", "abil"), r2)
+            if tail:
+                word = word[: -len(tail)]
+                if tail == "iv" and word.endswith("at") and len(word) - 2 >= r2:
+                    word = word[:-2]
+    elif e and at >= r2:
+        if e in ("logia", "logie"):
+            word = word[:at] + "log"
+        elif e in ("uzione", "uzioni", "usione", "usioni"):
+            word = word[:at] + "u"
+        elif e in ("enza", "enze"):
+            word = word[:at] + "ente"
+        else:
+            word = word[:at]
+            if e in ("azione", "azioni", "atore", "atori"):
+                tail = _ending(word, ("ic",), r2)
+            elif e == "ità":
+                tail = _ending(word, ("abil", "ic", "iv"), r2)
+            elif e in ("ivo", "ivi", "iva", "ive"):
+                tail = _ending(word, ("at",), r2)
+            else:
+                tail = ""
+            if tail:
+                word = word[: -len(tail)]
+                if tail == "at" and word.endswith("ic") and len(word) - 2 >= r2:
+                    word = word[:-2]
+    if word == before:
+        e = _ending(word, _IT_2, rv)
+        if e:
+            word = word[: -len(e)]
+    if word and word[-1] in "aeioàèìò" and len(word) - 1 >= rv:
+        word = word[:-1]
+        if word.endswith("i") and len(word) - 1 >= rv:
+            word = word[:-1]
+    if word.endswith(("ch", "gh")) and len(word) - 2 >= rv:
+        word = word[:-1]
+    return word.replace("I", "i").replace("U", "u")
+
+
+# --- Danish, Norwegian, Swedish: one region, short suffix lists ---------------------
+
+
+def _nordic(word: str, vowels: str, first: list[str], s_after: str, clusters: tuple[str, ...], last: list[str], undo: dict[str, str]) -> str:
+    r1, _ = _regions(word, vowels)
+    r1 = max(r1, min(3, len(word)))
+    e = _ending(word, (*first, "s"))
+    if e and len(word) - len(e) >= r1:
+        if e == "s":
+            word = word[:-1] if word[-2:-1] and word[-2] in s_after else word
+        else:
+            word = word[: -len(e)]
+    if word.endswith(clusters) and len(word) - 2 >= r1:
+        word = word[:-1]
+    e = _ending(word, (*last, *undo))
+    if e and len(word) - len(e) >= r1:
+        word = word[: -len(e)] + undo.get(e, "")
+    return word
+
+
+def swedish(word: str) -> str:
+    first = "a arna erna heterna orna ad e ade ande arne are aste en anden aren heten ern ar er heter or as arnas ernas ornas es ades andes ens arens hetens erns at andet het ast".split()
+    return _nordic(word, "aeiouyäåö", first, "bcdfghjklmnoprtvy", ("dd", "gd", "nn", "dt", "gt", "kt", "tt"), "lig ig els".split(), {"löst": "lös", "fullt": "full"})
+
+
+def danish(word: str) -> str:
+    first = "hed ethed ered e erede ende erende ene erne ere en heden eren er heder erer heds es endes erendes enes ernes eres ens hedens erens ers ets erets et eret".split()
+    if word.endswith("igst"):
+        word = word[:-2]
+    word = _nordic(word, "aeiouyæåø", first, "abcdfghjklmnoprtvyzå", ("gd", "dt", "gt", "kt"), "ig lig elig els".split(), {"løst": "løs"})
+    r1 = max(_regions(word, "aeiouyæåø")[0], min(3, len(word)))
+    if len(word) > 1 and word[-1] == word[-2] and word[-1] not in "aeiouyæåø" and len(word) - 1 >= r1:
+        word = word[:-1]
+    return word
+
+
+def norwegian(word: str) -> str:
+    first = "a e ede ande ende ane ene hetene en heten ar er heter as es edes endes enes hetenes ens hetens ers ets et het ast".split()
+    return _nordic(word, "aeiouyæåø", first, "bcdfghjlmnoprtvyz", ("dt", "vt"), "leg eleg ig eig lig elig els lov elov slov hetslov".split(), {"erte": "er", "ert": "er"})
+
+
+STEMMERS = {"fr": french, "it": italian, "sv": swedish, "da": danish, "no": norwegian, "nb": norwegian, "en": english, "de": german, "es": spanish, "pt": portuguese}
 
 
 @lru_cache(maxsize=200_000)

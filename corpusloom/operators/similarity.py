@@ -61,7 +61,7 @@ def exact_pairs(vectors: DataFrame, key: str, group: str, vector: str, *, thresh
     every = F.sequence(F.lit(0), F.lit(n - 1))
     cells = placed.withColumn("other", F.explode(every)).select("id", "grp", "v", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), F.col("block").alias("own"))
 
-    def run(cell, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(cell: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = int(cell[0]), int(cell[1])
         left = pdf[pdf["own"] == a]
         right = left if a == b else pdf[pdf["own"] == b]
@@ -104,7 +104,7 @@ def neighbour_pairs(vectors: DataFrame, key: str, group: str, vector: str, *, to
     asked = placed.withColumn("b", every).select(F.lit(True).alias("query"), "id", "grp", "v", F.col("block").alias("a"), "b")
     found = placed.withColumn("a", every).select(F.lit(False).alias("query"), "id", "grp", "v", "a", F.col("block").alias("b"))
 
-    def run(cell, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(cell: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         q, t = pdf[pdf["query"]], pdf[~pdf["query"]].sort_values("id")
         if not len(q) or not len(t):
             return pd.DataFrame({"id": [], "grp": [], "other": [], "ogrp": [], "score": []})

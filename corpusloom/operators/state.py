@@ -160,9 +160,10 @@ def deleted(doomed: DataFrame, **tables: tuple[DataFrame, list[str]]) -> dict[st
     """The tables without rows of the doomed pages (column id); each is given with the columns that refer to a page."""
     out = {}
     for name, (df, columns) in tables.items():
+        left = df
         for c in columns:
-            df = df.join(doomed.select(F.col("id").alias(c)), c, "left_anti")
-        out[name] = df
+            left = left.join(doomed.select(F.col("id").alias(c)), c, "left_anti")
+        out[name] = left.select(*df.columns)
     return out
 
 
