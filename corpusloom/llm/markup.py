@@ -7,7 +7,7 @@ share wait until the rest of the field has told which of them it uses.
 Cleaning. Words score positive and tags negative, with weights that ``fit_weights``
 learns from pages whose elements tell content from furniture; a linear scan finds the
 contiguous run of blocks with the greatest sum, the content region. A block outside it whose
-own score is not positive is dropped unless it is a heading, list item, code block, table or formula; elsewhere marks become
+own score is not positive, and which has links or furniture tags, is dropped unless it is a heading, list item, code block, table or formula; elsewhere marks become
 plain text that keeps the structure: headings as ``# ``, list items as ``- ``, code between fences,
 formulas in their dollars, table cells between bars.
 """
@@ -130,6 +130,8 @@ def kinds(text: str) -> set[str]:
 # Weights of words and tags in bits, as ``fit_weights`` gives them on the labelled pages of the test data; tags not named have OTHER.
 WORD = 0.25
 OTHER = -1.2
+#: A block may be dropped only if one of its tags weighs this or less.
+AGAINST = -2.0
 WEIGHTS = {"word": WORD, "p": -1.0, "a": -4.6, "li": -2.3, "div": -0.1, "ul": -2.1, "nav": -2.6, "aside": -0.8, "header": -10.3, "footer": -10.3, "article": -0.1, "main": -0.1, "h1": -0.1, "h2": -0.1, "figure": -0.1, "em": -0.1, "b": -0.1, "img": -0.1, "blockquote": -0.1, "script": -6.0, "style": -6.0, "form": -6.0, "iframe": -4.0}
 
 _BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -154,21 +156,21 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 
 def _html_blocks(text: str, weights: dict[str, float]) -> list[tuple[float, str, bool]]:
-    """(score, plain text, structural) of each block of an HTML text."""
+    """(score, plain text, to be kept) of each block of an HTML text; only blocks with a tag that speaks against them may go."""
     out: list[tuple[float, str, bool]] = []
     piece: list[str] = []
-    score, prefix, structural, skip = 0.0, "", False, ""
+    score, prefix, structural, skip, against = 0.0, "", False, "", False
 
     def close() -> None:
-        nonlocal score, prefix, structural
+        nonlocal score, prefix, structural, against
         plain = " ".join(_html.unescape("".join(piece)).split())
         if plain:
-            out.append((score + weights.get("word", WORD) * len(plain.split()), prefix + plain, structural or "\ue000" in plain))
+            out.append((score + weights.get("word", WORD) * len(plain.split()), prefix + plain, structural or not against or "\ue000" in plain))
             prefix, structural = "", False
         elif score:
             out.append((score, "", False))
         piece.clear()
-        score = 0.0
+        score, against = 0.0, False
 
     for token in _SPLIT.split(text):
         if not token:
@@ -197,6 +199,7 @@ def _html_blocks(text: str, weights: dict[str, float]) -> list[tuple[float, str,
             alt = re.search(r"\balt\s*=\s*[\"']?([^\"'>]+)", token, re.I)
             if alt:
                 piece.append(alt[1])
+        against = against or weights.get(name, OTHER) <= AGAINST
         if end:
             score += weights.get(name, OTHER)
         if name in _BLOCK_TAGS:
@@ -244,11 +247,11 @@ def _wiki(text: str) -> str:
     text = re.sub(r"\[\[(?:[^\[\]|\n]*\|)?([^\[\]|\n]*)\]\]", r"\1", text)
     text = re.sub(r"\[(?:https?:|ftp:)?//\S+ ([^\]\n]+)\]", r"\1", text)
     text = re.sub(r"\{\{[^{}]*\}\}", "", text)
+    text = re.sub(r"^[*#]+[^\S\n]+(?=\S)", "- ", text, flags=re.M)
     text = re.sub(r"^(={1,6})[^\S\n]*([^=\n]+?)[^\S\n]*={1,6}(?=\s|$)", lambda m: "#" * len(m[1]) + " " + m[2], text, flags=re.M)
     text = re.sub(r"'{2,5}", "", text)
     text = re.sub(r"^\{\|.*$|^\|-{1,3}(?:[^\S\n][^|\n]*)?$|^\|\}.*$|__(?:NO|FORCE)?TOC__|~~~~~?", "", text, flags=re.M)
-    text = re.sub(r"^[!|][^\S\n]*(.*)$", lambda m: "| " + re.sub(r"\s*(?:\|\||!!)\s*", " | ", m[1]), text, flags=re.M)
-    return re.sub(r"^[*#]+[^\S\n]+(?=\S)", "- ", text, flags=re.M)
+    return re.sub(r"^[!|][^\S\n]*(.*)$", lambda m: "| " + re.sub(r"\s*(?:\|\||!!)\s*", " | ", m[1]), text, flags=re.M)
 
 
 def _latex(text: str) -> str:
