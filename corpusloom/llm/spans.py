@@ -8,8 +8,8 @@ collisions rare. A text's signature is the set of minima of all its paragraphs,
 one for every 50 code points. Texts that collide are compared exactly.
 
 Equal texts are one class first and only its smallest id takes part, so a group of
-copies costs one row. Buckets join by hash of the shingle; adaptive execution
-splits the partitions of a hot shingle.
+copies costs one row. Buckets join by hash of the shingle and a salt: the texts of a hot
+shingle are spread over as many tasks as their number asks for.
 """
 
 from __future__ import annotations
@@ -27,6 +27,10 @@ from corpusloom.sources.tables import ensure_checkpoint_dir
 SPAN = 300
 #: Length of a shingle.
 GRAM = 200
+#: Texts that share a minimum for each of its salts.
+HOT = 500
+#: Rows of a group of copies, or pairs between two, up to which every pair of rows comes out; beyond, each row comes with the other representative.
+EXPAND = 900
 
 # An odd multiplier, so that its powers have inverses modulo 2**64.
 _BASE = 6364136223846793005
@@ -134,8 +138,12 @@ def verified_pairs(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataF
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys, sizes), pa.int64()), pa.array(marks)], names=["key", "mark"])
 
     marks = reps.select(F.col("key").cast("long").alias("key"), "text").mapInArrow(sign, "key bigint, mark bigint")
-    other = marks.select(F.col("key").alias("key_b"), "mark")
-    candidates = marks.withColumnRenamed("key", "key_a").join(other, "mark").filter("key_a < key_b").select("key_a", "key_b").distinct().checkpoint()
+    # minima of one text alone go before the join; a minimum of many texts is spread over salts on one side
+    often = marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("mark").alias("mark2"), F.ceil(F.col("n") / HOT).cast("int").alias("salts"))
+    bucket = marks.join(often, F.col("mark") == F.col("mark2")).drop("mark2").checkpoint()
+    left = bucket.select(F.col("key").alias("key_a"), "mark", F.pmod(F.xxhash64("key"), F.col("salts")).cast("int").alias("salt"))
+    right = bucket.select(F.col("key").alias("key_b"), "mark", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    candidates = left.join(right, ["mark", "salt"]).filter("key_a < key_b").select("key_a", "key_b").distinct().checkpoint()
     involved = candidates.select(F.col("key_a").alias("key")).union(candidates.select("key_b")).distinct()
     few = reps.join(involved, "key", "left_semi")
     both = candidates.join(few.select(F.col("key").alias("key_a"), F.col("text").alias("text_a")), "key_a").join(few.select(F.col("key").alias("key_b"), F.col("text").alias("text_b")), "key_b")
@@ -161,16 +169,26 @@ def verified_pairs(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataF
 def shared_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     """(doc_a, doc_b), doc_a < doc_b: rows that share a span of at least ``SPAN`` code points, equal in every one.
 
-    Copies are members of their class, and every pair of members comes out, within a class
-    and between classes that share a span. Null and shorter texts have no pair; rows
+    Pairs between different texts all come out. Copies of one text stand for one another: of small groups
+    every pair of rows comes out, within a group and between two; where that would be more than ``EXPAND`` pairs, each row comes
+    with the representative (the smallest key) of its own and of the other group. Null and shorter texts have no pair; rows
     with a null key are left out; rows that repeat a key count as one.
     """
     pairs, classes = verified_pairs(df, key, text)
-    members = classes.select("key", "rep")
-    a = pairs.join(members.select(F.col("rep").alias("key_a"), F.col("key").alias("m_a")), "key_a", "left").select(F.coalesce("m_a", "key_a").alias("x"), "key_b")
-    ab = a.join(members.select(F.col("rep").alias("key_b"), F.col("key").alias("m_b")), "key_b", "left").select("x", F.coalesce("m_b", "key_b").alias("y"))
-    within = members.withColumnRenamed("key", "x").join(members.withColumnRenamed("key", "y"), "rep").filter("x < y").select("x", "y")
-    every = ab.unionByName(within).select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
+    members = classes.select("key", "rep", "copies").distinct()
+    side = lambda c: members.select(F.col("rep").alias(f"key_{c}"), F.col("key").alias(f"m_{c}"), F.col("copies").alias(f"n_{c}"))
+    sizes = classes.select("rep", "copies").distinct()
+    size = lambda c: sizes.select(F.col("rep").alias(f"key_{c}"), F.col("copies").alias(f"c_{c}"))
+    sized = pairs.select("key_a", "key_b").join(size("a"), "key_a", "left").join(size("b"), "key_b", "left")
+    sized = sized.withColumn("wide", F.coalesce("c_a", F.lit(1)) * F.coalesce("c_b", F.lit(1)) > EXPAND)
+    small, wide = sized.filter("NOT wide"), sized.filter("wide")
+    ab = small.join(side("a"), "key_a", "left").join(side("b"), "key_b", "left").select(F.coalesce("m_a", "key_a").alias("x"), F.coalesce("m_b", "key_b").alias("y"))
+    stars = wide.join(side("a"), "key_a", "left").select(F.coalesce("m_a", "key_a").alias("x"), F.col("key_b").alias("y"))
+    stars = stars.unionByName(wide.join(side("b"), "key_b", "left").select(F.coalesce("m_b", "key_b").alias("y"), F.col("key_a").alias("x")))
+    few = members.filter(F.col("copies") * F.col("copies") <= EXPAND)
+    within = few.select("rep", F.col("key").alias("x")).join(few.select("rep", F.col("key").alias("y")), "rep").filter("x < y").select("x", "y")
+    own = members.filter("key <> rep").select(F.col("rep").alias("x"), F.col("key").alias("y"))
+    every = ab.unionByName(stars).unionByName(within).unionByName(own).select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
     return every.filter("doc_a < doc_b").distinct()
 
 

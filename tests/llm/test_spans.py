@@ -71,3 +71,16 @@ def test_components(spark):
             x, y = sorted((root(a), root(b)))
             parent[y] = x
     assert got == {x: root(x) for x in parent}
+
+
+def test_hot_groups(spark, monkeypatch):
+    """A third of all rows are copies, another third share one passage."""
+    monkeypatch.setattr(spans, "HOT", 7)
+    monkeypatch.setattr(spans, "EXPAND", 100)
+    rng = random.Random(8)
+    passage = words(rng, 60)
+    texts = [passage + words(rng, 10) for _ in range(40)] + ["c" * 400] * 60 + [words(rng, 70) for _ in range(20)] + [passage[:350] + "c" * 330]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {tuple(r) for r in spans.shared_pairs(df, "doc_id", "text").collect()}
+    want = {(a, b) for a, b in brute(texts, 300) if not (40 <= a < 100 and 40 <= b < 100) or a == 40}
+    assert got == want
