@@ -174,8 +174,9 @@ def length_hazards(ends: DataFrame) -> DataFrame:
     near = order.rangeBetween(-NEIGHBOURS, NEIGHBOURS)
     hazards = scoped.select("*", F.sum("all").over(order.rangeBetween(0, Window.unboundedFollowing)).alias("at_risk"), F.sum("n").over(near).alias("near_n"))
     tested = hazards.filter(F.col("n") >= LEAST).withColumn("expected", (F.col("near_n") - F.col("n") + 1) / (2 * NEIGHBOURS)).withColumn("p", F.pandas_udf(_poisson_tail, "double")("n", "expected"))
-    ranked = Window.partitionBy("unit", "scope").orderBy("p")
-    every = Window.partitionBy("unit", "scope")
+    # the rate is controlled over all sources together and within each source, so no task holds the lengths of many sources
+    ranked = Window.partitionBy("unit", "scope", "source").orderBy("p")
+    every = Window.partitionBy("unit", "scope", "source")
     tested = tested.withColumn("ok", F.when(F.col("p") <= FDR * F.rank().over(ranked) / F.count(F.lit(1)).over(every), F.col("p")))
     return tested.select("unit", "scope", "source", "length", "n", "at_risk", (F.col("n") / F.col("at_risk")).alias("hazard"), "expected", "p", F.coalesce(F.col("p") <= F.max("ok").over(every), F.lit(False)).alias("significant"))
 
