@@ -331,3 +331,18 @@ def lang_attribute(html: Column) -> Column:
 
 def hrefs(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit("(?i)<a\\s[^>]*?href=\"([^\"]*)\""), 1)
+
+
+def main_text(extracted: Column, html: Column | str, base: Column | str, least: int = 100) -> Column:
+    """The extractor's text if it is longer than ``least``, else the page's readable text if that is, else null."""
+    page = page_struct(html, base)["readable"]
+    return F.when(F.length(extracted) > least, extracted).when(F.length(page) > least, page)
+
+
+def lazy_media(html: Column | str, base: Column | str) -> Column:
+    """Media of a rendered page, lazily loaded images among them."""
+
+    def run(h: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([[{"url": u, "type": k} for u, k in parse(t).media(x or "", lazy=True)] if t else [] for t, x in zip(h, b)])
+
+    return F.pandas_udf(run, "array<struct<url: string, type: string>>")(html, base)

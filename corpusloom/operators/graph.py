@@ -138,3 +138,14 @@ def shown(value, numeric: bool = False):
     if numeric:
         return value
     return F.when(value.isNull() | (F.trim(value) == "") | (F.lower(F.trim(value)) == "unknown"), "na").otherwise(F.trim(value))
+
+
+def link_frames(expression: DataFrame, domain: DataFrame, link: DataFrame, land_id: int, minrel: int = 1, fullhtml: bool = False) -> dict[str, DataFrame]:
+    """The four frames of a node and link export; ``fullhtml`` takes the links of the stored pages instead of those of the texts."""
+    from corpusloom.operators import rawlinks
+
+    frames = {"pagesnodes": page_nodes(expression, domain, land_id, minrel), "domainnodes": domain_nodes(expression, domain, land_id, minrel)}
+    if fullhtml:
+        edges_ = rawlinks.page_edges(expression, link, land_id, minrel)
+        return frames | {"pageslinksfullhtml": edges_, "domainlinksfullhtml": rawlinks.domain_edges(edges_, domain)}
+    return frames | {"pageslinks": page_links(expression, link, land_id, minrel), "domainlinks": domain_links(expression, domain, link, land_id, minrel)}

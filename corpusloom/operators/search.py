@@ -115,3 +115,22 @@ def by_created(queries: DataFrame) -> DataFrame:
 def ordinal(rows: DataFrame, by: str, *order: str) -> DataFrame:
     """Rank from 1 within a group."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+
+
+def kept_windows(outcomes: DataFrame, *by: str) -> DataFrame:
+    """Windows of a dated search whose results are kept: failures that pass are skipped, the first fatal one ends the search but keeps what came before.
+
+    Rows come with ``win_start`` and ``status`` (ok, transient, fatal).
+    """
+    before = Window.partitionBy(*by).orderBy("win_start").rowsBetween(Window.unboundedPreceding, 0)
+    fatal = F.max((F.col("status") == "fatal").cast("int")).over(before)
+    return outcomes.withColumn("_stop", fatal).filter((F.col("_stop") == 0) & (F.col("status") == "ok")).drop("_stop")
+
+
+def date_filter(engine: str, start: Column, end: Column) -> Column:
+    """The parameter that limits a search to a window, as each engine writes it; null where it has none."""
+    if engine == "google":
+        return F.concat(F.lit("cdr:1,cd_min:"), F.date_format(start, "MM/dd/yyyy"), F.lit(",cd_max:"), F.date_format(end, "MM/dd/yyyy"))
+    if engine == "duckduckgo":
+        return F.concat(F.date_format(start, "yyyy-MM-dd"), F.lit(".."), F.date_format(end, "yyyy-MM-dd"))
+    return F.lit(None).cast("string")

@@ -850,3 +850,151 @@ def enrichment(m):
 def events_per_hour(m):
     """Batch form of the streaming extension."""
     return m.base("events").groupBy(F.col("event_type").alias("kind"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("start")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- further operators ----------------------------------------------------------------
+
+
+@query("SELECT CAST(count(*) FILTER (canonical_id IS NULL) AS BIGINT) AS renamed, CAST(count(canonical_id) AS BIGINT) AS merged FROM (" + _PLAN.replace("WITH ", "WITH ", 1) + " SELECT * FROM plan)")
+def normalise_totals(m):
+    moves = normalize.plan(_copies(m), native=True)
+    return normalize.totals(moves, m.link).select("renamed", "merged")
+
+
+@query("SELECT id, url FROM expression e WHERE domain_id IN (SELECT id FROM webdomain WHERE name IN ('web.archive.org', 'archive.org', 'ghostarchive.org') OR id % 10 = 3)")
+def snapshot_domain_pages(m):
+    domain = m.domain.select("id", F.when(F.col("id") % 10 == 3, "archive.org").otherwise(F.col("name")).alias("name"))
+    return select.snapshot_domain_pages(m.expression, domain).select("id", "url")
+
+
+@query("SELECT id, regexp_extract(url, '^(https?://[^/]+)', 1) || '/img/' || id || '.png' AS url FROM expression")
+def media_addresses(m):
+    return m.expression.select("id", urls.joined("url", F.concat(F.lit("/IMG/"), "id", F.lit(".PNG")), lower=True).alias("url"))
+
+
+@query("SELECT id, id % 2 = 0 AS same FROM expression")
+def same_pages(m):
+    target = F.when(F.col("id") % 2 == 0, F.concat("url", F.lit("#part"))).otherwise(F.concat("url", F.lit("-other")))
+    return m.expression.select("id", urls.same_page("url", target).alias("same"))
+
+
+@query("SELECT id, replace(url, 'https://', 'https://') AS url FROM expression")
+def request_addresses(m):
+    return m.expression.select("id", urls.request_url(F.concat(F.lit("https://web.archive.org/web/2020/"), "url")).alias("url"))
+
+
+@query("SELECT l.source_id AS id, count(*) AS links FROM edge l JOIN expression e ON e.id = l.source_id WHERE e.relevance > 0 AND e.depth < 3 GROUP BY 1")
+def crawl_links(m):
+    targets = m.link.join(m.expression.select(F.col("id").alias("target_id"), F.concat("url", F.lit("?n="), "id").alias("u")), "target_id").groupBy("source_id").agg(F.collect_list("u").alias("links"))
+    pages = m.expression.join(targets.withColumnRenamed("source_id", "id"), "id")
+    return state.crawl_links(pages, "links").groupBy(F.col("source_id").alias("id")).agg(F.count(F.lit(1)).alias("links"))
+
+
+@query("SELECT source_id, target_id FROM edge WHERE source_id % 5 <> 0 UNION SELECT source_id, target_id + 1 FROM edge WHERE source_id % 5 = 0")
+def replaced_links(m):
+    crawled = m.expression.filter("id % 5 = 0").select("id")
+    found = m.link.filter("source_id % 5 = 0").select("source_id", (F.col("target_id") + 1).alias("target_id"))
+    return state.replaced_links(m.link, crawled, found)
+
+
+@query("""SELECT DISTINCT land_id, url || '-new' AS url, min(depth) + 1 AS depth FROM expression WHERE id % 3 = 0 GROUP BY land_id, url""")
+def pages_to_add(m):
+    found = m.expression.filter("id % 3 = 0").select("land_id", F.concat("url", F.lit("-new#x")).alias("url"), (F.col("depth") + 1).alias("depth"))
+    return state.expressions_to_add(found, m.expression).select("land_id", "url", "depth")
+
+
+@query("""SELECT e.id, coalesce(nullif(trim(e.title), ''), e.url) AS title, CASE WHEN e.id % 6 = 0 THEN 0 WHEN NOT (e.lang IS NULL OR trim(e.lang) = '' OR EXISTS (SELECT 1 FROM unnest(string_split(l.lang, ',')) a(x), unnest(string_split(e.lang, ',')) b(y) WHERE lower(string_split(trim(a.x), '-')[1]) = lower(string_split(trim(b.y), '-')[1]) AND trim(b.y) <> '')) THEN 0
+    ELSE coalesce(e.relevance, 0) END AS relevance FROM expression e JOIN land l ON l.id = e.land_id""")
+def post_crawl(m):
+    rows = m.expression.join(m.land.select(F.col("id").alias("land_id"), F.col("lang").alias("land_langs")), "land_id")
+    rows = rows.withColumns({"x_title": F.col("title"), "x_description": F.col("description"), "x_keywords": F.col("keywords"), "x_lang": F.col("lang"), "x_relevance": F.col("relevance"), "x_allowed": F.col("id") % 6 != 0})
+    return state.post_crawl(rows, F.lit(AS_OF)).select("id", "title", "relevance")
+
+
+@query("SELECT term, lang FROM word WHERE land_id <> 1")
+def orphan_words(m):
+    word = m.word.withColumn("id", F.concat_ws("/", F.col("land_id"), "term", "lang"))
+    bridge = word.filter("land_id = 1").select(F.col("id").alias("word_id"))
+    return state.orphan_words(word, bridge).select("term", "lang")
+
+
+@query("""SELECT e.id, CASE WHEN coalesce(trim(e.title), '') = '' AND g.t IS NOT NULL THEN g.t ELSE e.title END AS title FROM expression e LEFT JOIN (SELECT url, max(concat('given ', url)) AS t FROM expression WHERE id % 2 = 0 GROUP BY url) g ON g.url = e.url WHERE e.land_id = 1""")
+def listed_urls(m):
+    listed = m.expression.filter("id % 2 = 0").select("url", F.concat(F.lit("given "), "url").alias("title"), F.lit(None).cast("timestamp_ntz").alias("published_at"))
+    return search.added_urls(listed, m.expression, LAND)[0].select("id", "title")
+
+
+@query("SELECT row_number() OVER (ORDER BY name) + (SELECT max(id) FROM webdomain) AS id, name FROM (SELECT DISTINCT concat('new-', name) AS name FROM webdomain) UNION ALL SELECT id, name FROM webdomain")
+def new_domain_ids(m):
+    seen = m.domain.select(F.concat(F.lit("new-"), "name").alias("name")).unionByName(m.domain.select("name"))
+    return search.first_seen_ids(seen, ["name"], m.domain.select("id", "name"))
+
+
+@query("SELECT event_id % 40 AS query_id, event_id AS win FROM events e WHERE event_id % 11 <> 0 AND NOT EXISTS (SELECT 1 FROM events f WHERE f.event_id % 40 = e.event_id % 40 AND f.event_id % 97 = 0 AND f.event_id <= e.event_id)")
+def search_windows_kept(m):
+    status = F.when(F.col("event_id") % 97 == 0, "fatal").when(F.col("event_id") % 11 == 0, "transient").otherwise("ok")
+    rows = m.base("events").select((F.col("event_id") % 40).alias("query_id"), F.col("event_id").alias("win_start"), status.alias("status"))
+    return search.kept_windows(rows, "query_id").select("query_id", F.col("win_start").alias("win"))
+
+
+@query("SELECT strftime(s, 'cdr:1,cd_min:%m/%d/%Y') || strftime(s, ',cd_max:%m/%d/%Y') AS google, strftime(s, '%Y-%m-%d') || '..' || strftime(s, '%Y-%m-%d') AS duckduckgo FROM generate_series(DATE '2024-01-29', DATE '2024-04-10', INTERVAL 1 DAY) t(s)")
+def search_date_filters(m):
+    w = dates.windows(m.spark, _START, _END, "day")
+    return w.select(search.date_filter("google", F.col("win_start"), F.col("win_end")).alias("google"), search.date_filter("duckduckgo", F.col("win_start"), F.col("win_end")).alias("duckduckgo"))
+
+
+@query("SELECT id, CASE WHEN id % 3 = 0 THEN 'direct' ELSE CASE WHEN id % 3 = 1 AND id % 2 = 0 THEN 'tls' ELSE CASE WHEN id % 5 = 0 THEN 'archive' ELSE 'direct' END END END AS strategy FROM expression")
+def fetch_cascade(m):
+    attempt = lambda s, status, page: F.struct(F.lit(s).alias("strategy"), status.alias("status"), page.alias("html"))
+    i = F.col("id")
+    none = F.lit(None).cast("string")
+    direct = attempt("direct", F.when(i % 3 == 0, "200").when(i % 3 == 1, "403").otherwise("404"), F.when(i % 3 == 0, "<p>"))
+    tls = attempt("tls", F.lit("200"), F.when(i % 2 == 0, "<p>").otherwise(none))
+    archive = attempt("archive", F.lit("200"), F.when(i % 5 == 0, "<p>").otherwise(none))
+    return m.expression.select("id", select.attempts(F.array(direct, tls, archive))["strategy"].alias("strategy"))
+
+
+@query("SELECT id, concat('#', printf('%02x', CAST(least(255, ceil((id % 256 - 25.5) / 51) * 51) AS INT)), '3300') AS hex FROM (SELECT id FROM media) WHERE id % 256 >= 0")
+def palettes(m):
+    colours = m.media.select(F.col("id").alias("media_id"), (F.col("id") % 256).cast("int").alias("r"), F.lit(50).alias("g"), F.lit(3).alias("b"), F.lit(100.0).alias("percentage"))
+    return media.palette(colours).select(F.col("media_id").alias("id"), F.map_keys("websafe")[0].alias("hex"))
+
+
+@query()
+def dominant_colours(m):
+    pixel = lambda k: F.array((F.col("id") * k % 7 * 40).cast("int"), (F.col("id") % 5 * 60).cast("int"), F.lit(10))
+    images = m.media.select(F.col("id").alias("media_id"), F.array(*[pixel(k) for k in range(1, 30)]).alias("pixels"))
+    return media.dominant_colours(images)
+
+
+@query()
+def lazy_media(m):
+    rows = m.expression.filter("html IS NOT NULL").select("id", F.explode(html.lazy_media("html", "url")).alias("m"))
+    return rows.select("id", "m.url", "m.type")
+
+
+@query()
+def main_texts(m):
+    rows = m.expression.filter("html IS NOT NULL")
+    return rows.select("id", html.main_text(F.col("readable"), "html", "url").alias("text"))
+
+
+@query()
+def md_links_raw(m):
+    base = F.concat(F.lit("https://"), F.coalesce("domain", F.lit("x.example")))
+    return m.mercury.filter("markdown IS NOT NULL").select("id", F.explode(markdown.links_with_raw("markdown", base)).alias("l")).select("id", "l.url", "l.raw_url")
+
+
+@query("SELECT count(*) AS pages FROM expression WHERE land_id = 1 AND relevance >= 1")
+def land_frames(m):
+    return graph.link_frames(m.expression, m.domain, m.link, LAND, MINREL)["pagesnodes"].agg(F.count(F.lit(1)).alias("pages"))
+
+
+@query("SELECT query_id, count(*) AS n FROM result WHERE providers IN ('view', 'click') GROUP BY 1")
+def search_parallel(m):
+    return search.routed(m.result, "parallel", "query_id", allowed=["View", "CLICK"]).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT id, k.name, json_extract_string(j, '$.' || k.name) AS value FROM (SELECT id, json(usage_report) AS j FROM searchquery) s, unnest(json_keys(j)) AS k(name)")
+def report_members(m):
+    return jsons.members(m.searchquery, "id", "usage_report")
