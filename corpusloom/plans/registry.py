@@ -184,9 +184,9 @@ def frontier(m):
     return select.frontier(m.expression, LAND).select("id", "depth")
 
 
-@query("SELECT id, depth, http_status FROM expression WHERE land_id = 1 AND http_status IN ('403', '503', 'ERR') ORDER BY depth, id LIMIT 20")
+@query("SELECT id, depth, http_status FROM expression WHERE land_id = 1 AND http_status IN ('403', '503', 'ERR')")
 def retry_status(m):
-    return select.frontier(m.expression, LAND, retry_status=["403", "503", "ERR"], limit=20).select("id", "depth", "http_status")
+    return select.frontier(m.expression, LAND, retry_status=["403", "503", "ERR"]).select("id", "depth", "http_status")
 
 
 @query("SELECT id FROM expression WHERE land_id = 1 AND fetched_at IS NOT NULL AND readable_at IS NULL")
@@ -302,12 +302,10 @@ def media_scope(m):
     return select.media_scope(m.media, m.expression, depth=2, minrel=1).select("id")
 
 
-@query("SELECT id, row_number() OVER (ORDER BY analyzed_at IS NOT NULL, analysis_error IS NULL, id) AS place FROM media QUALIFY place <= 25")
+@query("SELECT id, row_number() OVER (ORDER BY analyzed_at IS NOT NULL, analysis_error IS NULL, id) AS position FROM media")
 def media_reanalysis(m):
-    from pyspark.sql import Window
-
-    first = select.reanalysis_order(m.media).limit(25)
-    return first.select("id", F.row_number().over(Window.orderBy(F.col("analyzed_at").isNotNull(), F.col("analysis_error").isNull(), "id")).cast("long").alias("place"))
+    keyed = m.media.select("id", F.col("analyzed_at").isNotNull().alias("analysed"), F.col("analysis_error").isNull().alias("fine"))
+    return select.batches(keyed, ["analysed", "fine", "id"]).select("id", "position")
 
 
 @query("""SELECT id, format, CAST(greatest(0, least(255, ceil((width % 256 - 25.5) / 51) * 51)) AS INT) AS red, CASE WHEN coalesce(height, 0) = 0 THEN 0.0 ELSE round(width / height, 2) END AS ratio FROM media""")
@@ -719,10 +717,10 @@ def search_fallback(m):
     return search.routed(m.result, "fallback", "query_id").select("pos", "query_id", "batch_no")
 
 
-@query("""SELECT x.pos, CASE WHEN e.id IS NOT NULL THEN 'duplicate' ELSE 'new' END AS state FROM (SELECT event_id AS pos, concat('https://fresh.example/', event_id) AS url FROM events WHERE event_id % 2 = 0 UNION ALL SELECT 1000000000 + id, url FROM expression) x
+@query("""SELECT x.pos, CASE WHEN e.id IS NOT NULL THEN 'duplicate' ELSE 'new' END AS state FROM (SELECT event_id AS pos, concat('https://fresh.example/', event_id) AS url FROM events UNION ALL SELECT 1000000000 + id, url FROM expression) x
     LEFT JOIN (SELECT url, min(id) AS id FROM expression WHERE land_id = 1 GROUP BY 1) e ON e.url = x.url""")
 def search_persist(m):
-    rows = m.spark.sql("SELECT event_id AS pos, concat('https://fresh.example/', event_id) AS url FROM {ev} WHERE event_id % 2 = 0 UNION ALL SELECT 1000000000 + id, url FROM {e}", ev=m.base("events"), e=m.expression)
+    rows = m.spark.sql("SELECT event_id AS pos, concat('https://fresh.example/', event_id) AS url FROM {ev} UNION ALL SELECT 1000000000 + id, url FROM {e}", ev=m.base("events"), e=m.expression)
     return search.persisted(rows, m.expression, LAND).select("pos", "state")
 
 
@@ -734,12 +732,12 @@ def usage_rollup(m):
 
 def _payloads(m):
     item = F.struct(F.when(F.col("event_id") % 7 == 0, F.lit(None)).otherwise(F.concat(F.lit("https://r.example/"), "event_id")).alias("link"), F.concat(F.lit("t"), "event_id").alias("title"), F.lit("s").alias("snippet"), F.when(F.col("event_id") % 2 == 0, F.col("event_id").cast("string")).alias("position"))
-    grouped = m.base("events").filter("event_id < 2000").groupBy((F.col("event_id") % 50).alias("query_id")).agg(F.sort_array(F.collect_list(F.struct("event_id", item.alias("i")))).alias("x"))
+    grouped = m.base("events").groupBy((F.col("event_id") % 50).alias("query_id")).agg(F.sort_array(F.collect_list(F.struct("event_id", item.alias("i")))).alias("x"))
     return grouped.select("query_id", F.to_json(F.struct(F.transform("x", lambda v: v["i"]).alias("organic_results"))).alias("payload"))
 
 
 @query("""SELECT query_id, url, title, snippet, CAST(rank AS INT) AS rank, 'serpapi' AS providers FROM (SELECT event_id % 50 AS query_id, concat('https://r.example/', event_id) AS url, concat('t', event_id) AS title, 's' AS snippet,
-    row_number() OVER (PARTITION BY event_id % 50 ORDER BY event_id) AS place, CASE WHEN event_id % 2 = 0 THEN event_id ELSE row_number() OVER (PARTITION BY event_id % 50 ORDER BY event_id) END AS rank, event_id FROM events WHERE event_id < 2000) WHERE place <= 10 AND event_id % 7 <> 0""")
+    row_number() OVER (PARTITION BY event_id % 50 ORDER BY event_id) AS place, CASE WHEN event_id % 2 = 0 THEN event_id ELSE row_number() OVER (PARTITION BY event_id % 50 ORDER BY event_id) END AS rank, event_id FROM events) WHERE place <= 10 AND event_id % 7 <> 0""")
 def provider_results(m):
     return search.parsed_results(_payloads(m), "payload", "serpapi", 10, "query_id")
 
@@ -840,9 +838,9 @@ def consolidated_relevance(m):
     return state.consolidated(pages, m.word, m.land)[0]
 
 
-@query("SELECT id, CASE WHEN id % 2 = 0 AND id % 6 <> 0 THEN '{\"sr\":' || id || '}' ELSE seorank END AS seorank FROM expression")
+@query("SELECT id, CASE WHEN fetched_at IS NOT NULL AND id % 6 <> 0 THEN '{\"sr\":' || id || '}' ELSE seorank END AS seorank FROM expression")
 def enrichment(m):
-    answers = m.expression.filter("id % 2 = 0").select("id", F.expr("CASE WHEN id % 6 = 0 THEN '{broken' ELSE concat('{\"sr\":', id, '}') END").alias("payload"))
+    answers = m.expression.filter("fetched_at IS NOT NULL").select("id", F.expr("CASE WHEN id % 6 = 0 THEN '{broken' ELSE concat('{\"sr\":', id, '}') END").alias("payload"))
     return state.enriched(m.expression, answers).select("id", "seorank")
 
 
@@ -890,16 +888,16 @@ def crawl_links(m):
     return state.crawl_links(pages, "links").groupBy(F.col("source_id").alias("id")).agg(F.count(F.lit(1)).alias("links"))
 
 
-@query("SELECT source_id, target_id FROM edge WHERE source_id % 5 <> 0 UNION SELECT source_id, target_id + 1 FROM edge WHERE source_id % 5 = 0")
+@query("WITH c AS (SELECT id FROM expression WHERE depth = 1) SELECT source_id, target_id FROM edge WHERE source_id NOT IN (SELECT id FROM c) UNION SELECT source_id, target_id + 1 FROM edge WHERE source_id IN (SELECT id FROM c)")
 def replaced_links(m):
-    crawled = m.expression.filter("id % 5 = 0").select("id")
-    found = m.link.filter("source_id % 5 = 0").select("source_id", (F.col("target_id") + 1).alias("target_id"))
+    crawled = m.expression.filter("depth = 1").select("id")
+    found = m.link.join(crawled.select(F.col("id").alias("source_id")), "source_id", "left_semi").select("source_id", (F.col("target_id") + 1).alias("target_id"))
     return state.replaced_links(m.link, crawled, found)
 
 
-@query("""SELECT DISTINCT land_id, url || '-new' AS url, min(depth) + 1 AS depth FROM expression WHERE id % 3 = 0 GROUP BY land_id, url""")
+@query("""SELECT DISTINCT land_id, url || '-new' AS url, min(depth) + 1 AS depth FROM expression GROUP BY land_id, url""")
 def pages_to_add(m):
-    found = m.expression.filter("id % 3 = 0").select("land_id", F.concat("url", F.lit("-new#x")).alias("url"), (F.col("depth") + 1).alias("depth"))
+    found = m.expression.select("land_id", F.concat("url", F.lit("-new#x")).alias("url"), (F.col("depth") + 1).alias("depth"))
     return state.expressions_to_add(found, m.expression).select("land_id", "url", "depth")
 
 
@@ -918,9 +916,9 @@ def orphan_words(m):
     return state.orphan_words(word, bridge).select("term", "lang")
 
 
-@query("""SELECT e.id, CASE WHEN coalesce(trim(e.title), '') = '' AND g.t IS NOT NULL THEN g.t ELSE e.title END AS title FROM expression e LEFT JOIN (SELECT url, max(concat('given ', url)) AS t FROM expression WHERE id % 2 = 0 GROUP BY url) g ON g.url = e.url WHERE e.land_id = 1""")
+@query("""SELECT e.id, CASE WHEN coalesce(trim(e.title), '') = '' AND g.t IS NOT NULL THEN g.t ELSE e.title END AS title FROM expression e LEFT JOIN (SELECT url, max(concat('given ', url)) AS t FROM expression WHERE depth > 0 GROUP BY url) g ON g.url = e.url WHERE e.land_id = 1""")
 def listed_urls(m):
-    listed = m.expression.filter("id % 2 = 0").select("url", F.concat(F.lit("given "), "url").alias("title"), F.lit(None).cast("timestamp_ntz").alias("published_at"))
+    listed = m.expression.filter("depth > 0").select("url", F.concat(F.lit("given "), "url").alias("title"), F.lit(None).cast("timestamp_ntz").alias("published_at"))
     return search.added_urls(listed, m.expression, LAND)[0].select("id", "title")
 
 
