@@ -97,9 +97,9 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_kept_balanced(spark: SparkSession, d: str) -> DataFrame:
-    """The corpus in which no site holds more than a fiftieth of the output itself."""
+    """The corpus in which no site holds more than a twentieth of the output itself."""
     rows = table(spark, d, "expression").select("id", "domain_id", "relevance")
-    capped = contributors.cap_contributors(rows, "domain_id", "relevance", "id", max_share=Fraction(1, 50), share_of="output")
+    capped = contributors.cap_contributors(rows, "domain_id", "relevance", "id", max_share=Fraction(1, 20), share_of="output")
     return capped.filter("kept").selectExpr("id as expression_id", "domain_id")
 
 
