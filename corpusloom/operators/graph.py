@@ -127,10 +127,11 @@ def stored_pages(expression: DataFrame, land_id: int) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("pages"), F.coalesce(F.sum(F.length("html")), F.lit(0)).alias("chars"))
 
 
-def page_manifest(expression: DataFrame, land_id: int) -> DataFrame:
-    """What a dump of stored pages lists."""
-    rows = expression.filter((F.col("land_id") == land_id) & F.col("html").isNotNull())
-    return rows.select("id", "url", "http_status", "fetch_method", F.date_format("fetched_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("fetched_at"), "relevance", F.octet_length("html").alias("size_bytes"))
+def page_manifest(expression: DataFrame, land_id: int, minrel: int = 1) -> DataFrame:
+    """What a dump of stored pages lists; whole seconds are written without a fraction."""
+    rows = qualified(expression, land_id, minrel).filter(F.col("html").isNotNull())
+    fetched = F.regexp_replace(F.date_format("fetched_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), "\\.000000$", "")
+    return rows.select("id", "url", "http_status", "fetch_method", F.coalesce(fetched, F.lit("")).alias("fetched_at"), "relevance", F.octet_length("html").alias("size_bytes"))
 
 
 def shown(value, numeric: bool = False):

@@ -29,7 +29,7 @@ def parsed_results(payload: DataFrame, column: str, provider: str, num: int, *ke
     items = F.from_json(F.get_json_object(F.col(column), where), "array<map<string,string>>")
     rows = payload.select(*keep, F.posexplode(F.slice(items, 1, num)).alias("_pos", "_item"))
     own = F.expr(f"try_cast(_item['{position}'] AS INT)") if position else F.lit(None).cast("int")
-    rows = rows.select(*keep, F.col("_item")[url].alias("url"), F.col("_item")[title].alias("title"), F.col("_item")[snippet].alias("snippet"), F.coalesce(own, F.col("_pos") + 1).alias("rank"), F.lit(provider).alias("providers"))
+    rows = rows.select(*keep, F.col("_item")[url].alias("url"), F.nullif(F.col("_item")[title], F.lit("")).alias("title"), F.nullif(F.col("_item")[snippet], F.lit("")).alias("snippet"), F.coalesce(F.nullif(own, F.lit(0)), F.col("_pos") + 1).alias("rank"), F.lit(provider).alias("providers"))
     return rows.filter("url IS NOT NULL AND url <> ''")
 
 
@@ -81,21 +81,25 @@ def added_urls(listed: DataFrame, expression: DataFrame, land_id: int) -> tuple[
 
 
 def usage(queries: DataFrame, report: str = "usage_report", order: str = "id") -> DataFrame:
-    """Usage of each provider over the reports of all queries: sums, last status that is not empty, first quota."""
+    """Usage of each provider over the reports of all queries: sums, the last status that is not empty (else the first), the quota of the first report."""
     kind = "map<string,struct<calls:int,errors:int,status:string,monthly_quota:int>>"
     rows = queries.select(order, F.explode(F.from_json(report, kind)).alias("provider", "u")).select(order, "provider", "u.*")
     return rows.groupBy("provider").agg(
         F.sum(F.coalesce("calls", F.lit(0))).alias("calls"), F.sum(F.coalesce("errors", F.lit(0))).alias("errors"),
-        F.max_by("status", F.when(F.coalesce("status", F.lit("")) != "", F.col(order))).alias("status"), F.min_by("monthly_quota", F.when(F.col("monthly_quota").isNotNull(), F.col(order))).alias("monthly_quota"),
+        F.coalesce(F.max_by("status", F.when(F.coalesce("status", F.lit("")) != "", F.col(order))), F.min_by("status", order)).alias("status"), F.min_by("monthly_quota", order).alias("monthly_quota"),
     )
 
 
 def next_offset(payload: Column, current: Column, size: Column) -> Column:
-    """Where the next page of results starts: what the payload says if it lies further on, else what its next link says, else behind this page."""
-    said = F.get_json_object(payload, "$.serpapi_pagination.next_offset").cast("int")
-    link = F.coalesce(F.get_json_object(payload, "$.serpapi_pagination.next"), F.get_json_object(payload, "$.serpapi_pagination.next_link"))
-    linked = F.regexp_extract(link, "[?&](?:start|first|offset)=(\\d+)", 1)
-    return F.when(said > current, said).when(F.coalesce(linked, F.lit("")) != "", linked.cast("int")).otherwise(current + size)
+    """Where the next page of results starts; null without a next link.
+
+    What the payload says or its link carries counts if it lies further on; else the next page follows the ``size`` results of this one.
+    """
+    at = lambda name: F.get_json_object(payload, f"$.serpapi_pagination.{name}")
+    link = F.coalesce(F.nullif(at("next_link"), F.lit("")), at("next"))
+    said = [F.regexp_extract(at("next_offset"), "^\\s*(\\d+)\\s*$", 1), *[F.regexp_extract(link, f"[?&]{k}=(\\d+)", 1) for k in ("start", "first", "offset")]]
+    further = [F.when(F.coalesce(x, F.lit("")) != "", F.when(x.cast("long") > current, x.cast("long"))) for x in said]
+    return F.when(F.coalesce(link, F.lit("")) != "", F.coalesce(*further, F.when(size > 0, current + size)))
 
 
 def first_seen_ids(rows: DataFrame, key: list[str], known: DataFrame, id_name: str = "id") -> DataFrame:

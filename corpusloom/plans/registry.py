@@ -148,9 +148,9 @@ def html_storage(m):
     return graph.stored_pages(m.expression, LAND)
 
 
-@query("SELECT id, url, http_status, fetch_method, strftime(fetched_at, '%Y-%m-%dT%H:%M:%S.%f') AS fetched_at, relevance, CAST(strlen(html) AS INT) AS size_bytes FROM expression WHERE land_id = 1 AND html IS NOT NULL")
+@query(f"SELECT id, url, http_status, fetch_method, coalesce(regexp_replace(strftime(fetched_at, '%Y-%m-%dT%H:%M:%S.%f'), '\\.000000$', ''), '') AS fetched_at, relevance, CAST(strlen(html) AS INT) AS size_bytes FROM {NODES} e WHERE html IS NOT NULL")
 def html_manifest(m):
-    return graph.page_manifest(m.expression, LAND)
+    return graph.page_manifest(m.expression, LAND, MINREL)
 
 
 @query("SELECT id, CASE WHEN description IS NULL OR trim(description) = '' OR lower(trim(description)) = 'unknown' THEN 'na' ELSE trim(description) END AS shown FROM webdomain")
@@ -737,7 +737,7 @@ def _payloads(m):
 
 
 @query("""SELECT query_id, url, title, snippet, CAST(rank AS INT) AS rank, 'serpapi' AS providers FROM (SELECT event_id % 50 AS query_id, concat('https://r.example/', event_id) AS url, concat('t', event_id) AS title, 's' AS snippet,
-    row_number() OVER (PARTITION BY event_id % 50 ORDER BY event_id) AS place, CASE WHEN event_id % 2 = 0 THEN event_id ELSE row_number() OVER (PARTITION BY event_id % 50 ORDER BY event_id) END AS rank, event_id FROM events) WHERE place <= 10 AND event_id % 7 <> 0""")
+    row_number() OVER (PARTITION BY event_id % 50 ORDER BY event_id) AS place, CASE WHEN event_id % 2 = 0 AND event_id <> 0 THEN event_id ELSE row_number() OVER (PARTITION BY event_id % 50 ORDER BY event_id) END AS rank, event_id FROM events) WHERE place <= 10 AND event_id % 7 <> 0""")
 def provider_results(m):
     return search.parsed_results(_payloads(m), "payload", "serpapi", 10, "query_id")
 

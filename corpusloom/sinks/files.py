@@ -21,6 +21,12 @@ from corpusloom.operators.select import batches
 # Ending of a file by the kind of its export.
 ENDINGS = (("csv", ".csv"), ("gexf", ".gexf"), ("corpus", ".zip"), ("htmldump", ".zip"), ("json", ".json"))
 
+# Entries of the header of a corpus file, and the column that fills each.
+HEADER = (
+    ("Title", "title"), ("Creator", ""), ("Contributor", ""), ("Coverage", ""), ("Date", ""), ("Description", "description"), ("Subject", ""), ("Type", ""), ("Format", ""),
+    ("Identifier", "id"), ("Language", ""), ("Publisher", "domain_name"), ("Relation", ""), ("Rights", ""), ("Source", "url"),
+)
+
 
 def file_name(kind: str, stem: str) -> str:
     """Name of an export's file; kinds of no known format get no ending."""
@@ -94,11 +100,15 @@ def write_gexf(nodes: DataFrame, edges: DataFrame, path: str, *, key: str, label
 
 
 def corpus_files(pages: DataFrame, size: int = 1000) -> DataFrame:
-    """(batch, name, body): a text file for each page, 1000 in an archive; pages without title have the name ``b``."""
+    """(batch, name, body): a text file for each page, 1000 in an archive: a Dublin Core header and the readable text.
+
+    Null values stand as ``None`` in the header; pages without title have the name ``b``.
+    """
     none = lambda c: F.coalesce(F.col(c), F.lit(""))
-    head = F.concat(*[x for k, c in (("Title", "title"), ("Identifier", "url"), ("Description", "description"), ("Publisher", "domain_name")) for x in (F.lit(f"{k}: "), none(c), F.lit("\n"))])
+    lines = [x for k, c in HEADER for x in (F.lit(f'{k}: "'), F.coalesce(F.col(c).cast("string"), F.lit("None")) if c else F.lit(""), F.lit('"\n'))]
+    head = F.concat(F.lit("---\n"), *lines, F.lit("---\n"))
     rows = batches(pages, ["id"], size)
-    return rows.select("batch", F.concat(F.col("id").cast("string"), F.lit("-"), slug("title"), F.lit(".txt")).alias("name"), F.concat(head, F.lit("\n"), none("readable")).alias("body"))
+    return rows.select("batch", F.concat(F.col("id").cast("string"), F.lit("-"), slug("title"), F.lit(".txt")).alias("name"), F.concat(head, none("readable")).alias("body"))
 
 
 def write_corpus(pages: DataFrame, stem: str, size: int = 1000) -> int:

@@ -96,8 +96,8 @@ def test_search(spark, rows):
     assert rows(search.parsed_results(p, "payload", "brave", 3, "q").select("q", "url", "rank")) == [(1, "u1", 1), (1, "u3", 3)]
     known = spark.createDataFrame([(5, "a")], "id bigint, name string")
     assert rows(search.first_seen_ids(spark.createDataFrame([("c",), ("a",), ("b",), ("b",)], "name string"), ["name"], known)) == [(5, "a"), (6, "b"), (7, "c")]
-    nxt = spark.createDataFrame([('{"serpapi_pagination":{"next_offset":20}}', 10, 10), ('{"serpapi_pagination":{"next":"https://s?start=30"}}', 20, 10), ("{}", 5, 10)], "p string, c int, n int")
-    assert [x[0] for x in nxt.select(search.next_offset(F.col("p"), F.col("c"), F.col("n"))).collect()] == [20, 30, 15]
+    nxt = spark.createDataFrame([('{"serpapi_pagination":{"next_offset":20,"next":"x"}}', 10, 10), ('{"serpapi_pagination":{"next":"https://s?start=30"}}', 20, 10), ("{}", 5, 10), ('{"serpapi_pagination":{"next_link":"https://s?x=1"}}', 5, 10), ('{"serpapi_pagination":{"next_link":"https://s?first=3"}}', 5, 0)], "p string, c int, n int")
+    assert [x[0] for x in nxt.select(search.next_offset(F.col("p"), F.col("c"), F.col("n"))).collect()] == [20, 30, None, 15, None]
 
 
 def brute(vectors, threshold):
