@@ -514,7 +514,104 @@ def norwegian(word: str) -> str:
     return _nordic(word, "aeiouyæåø", first, "bcdfghjlmnoprtvyz", ("dt", "vt"), "leg eleg ig eig lig elig els lov elov slov hetslov".split(), {"erte": "er", "ert": "er"})
 
 
-STEMMERS = {"fr": french, "it": italian, "sv": swedish, "da": danish, "no": norwegian, "nb": norwegian, "en": english, "de": german, "es": spanish, "pt": portuguese}
+# --- Dutch --------------------------------------------------------------------------
+
+_NL_V = "aeiouyè"
+
+
+def dutch(word: str) -> str:
+    word = word.translate(str.maketrans("äëïöüáéíóú", "aeiouaeiou"))
+    word = re.sub(rf"^y|(?<=[{_NL_V}])y", "Y", word)
+    word = re.sub(rf"(?<=[{_NL_V}])i(?=[{_NL_V}])", "I", word)
+    r1, r2 = _regions(word, _NL_V)
+    r1 = max(r1, min(3, len(word)))
+    single = lambda w: w[:-1] if w.endswith(("kk", "dd", "tt")) else w
+
+    def without_en(w: str, e: str) -> str:
+        base = w[: -len(e)]
+        return single(base) if len(base) >= r1 and base and base[-1] not in _NL_V and not base.endswith("gem") else w
+
+    def without_e(w: str) -> tuple[str, bool]:
+        if w.endswith("e") and len(w) - 1 >= r1 and w[-2:-1] and w[-2] not in _NL_V:
+            return single(w[:-1]), True
+        return w, False
+
+    e = _ending(word, ("heden", "en", "ene", "s", "se"))
+    if e == "heden":
+        word = word[:-5] + "heid" if len(word) - 5 >= r1 else word
+    elif e in ("en", "ene"):
+        word = without_en(word, e)
+    elif e and len(word) - len(e) >= r1 and word[: -len(e)][-1:] and word[: -len(e)][-1] not in _NL_V + "j":
+        word = word[: -len(e)]
+    word, cut = without_e(word)
+    if word.endswith("heid") and len(word) - 4 >= r2 and word[-5:-4] != "c":
+        word = word[:-4]
+        if word.endswith("en"):
+            word = without_en(word, "en")
+    e = _ending(word, ("end", "ing", "ig", "lijk", "baar", "bar"))
+    if e and len(word) - len(e) >= r2:
+        base = word[: -len(e)]
+        if e in ("end", "ing"):
+            word = base[:-2] if base.endswith("ig") and len(base) - 2 >= r2 and base[-3:-2] != "e" else single(base)
+        elif e == "ig":
+            word = base if base[-1:] != "e" else word
+        elif e == "lijk":
+            word = without_e(base)[0]
+        elif e == "baar" or cut:
+            word = base
+    if len(word) >= 4 and word[-1] not in _NL_V + "I" and word[-2] == word[-3] and word[-2] in "aeou" and word[-4] not in _NL_V:
+        word = word[:-2] + word[-1]
+    return word.replace("I", "i").replace("Y", "y")
+
+
+# --- Russian ------------------------------------------------------------------------
+
+_RU_V = "аеиоуыэюя"
+_RU_GERUND = ("в вши вшись".split(), "ив ивши ившись ыв ывши ывшись".split())
+_RU_ADJECTIVE = "ее ие ые ое ими ыми ей ий ый ой ем им ым ом его ого ему ому их ых ую юю ая яя ою ею".split()
+_RU_PARTICIPLE = ("ем нн вш ющ щ".split(), "ивш ывш ующ".split())
+_RU_VERB = ("ла на ете йте ли й л ем н ло но ет ют ны ть ешь нно".split(), "ила ыла ена ейте уйте ите или ыли ей уй ил ыл им ым ен ило ыло ено ят ует уют ит ыт ены ить ыть ишь ую ю".split())
+_RU_NOUN = "а ев ов ие ье е иями ями ами еи ии и ией ей ой ий й иям ям ием ем ам ом о у ах иях ях ы ь ию ью ю ия ья я".split()
+
+
+def russian(word: str) -> str:
+    word = word.replace("ё", "е")
+    rv = next((i + 1 for i, c in enumerate(word) if c in _RU_V), len(word))
+    _, r2 = _regions(word, _RU_V)
+
+    def cut(w: str, after_a: list[str], free: list[str]) -> str | None:
+        """Without the longest ending; those of the first list stand only behind а or я."""
+        fits = [e for e in free if w.endswith(e) and len(w) - len(e) >= rv]
+        fits += [e for e in after_a if w.endswith(e) and len(w) - len(e) - 1 >= rv and w[-len(e) - 1] in "ая"]
+        return w[: -len(max(fits, key=len))] if fits else None
+
+    done = cut(word, *_RU_GERUND)
+    if done is None:
+        word = cut(word, [], ["ся", "сь"]) or word
+        done = cut(word, [], _RU_ADJECTIVE)
+        if done is not None:
+            done = cut(done, *_RU_PARTICIPLE) or done
+        else:
+            done = cut(word, *_RU_VERB)
+            if done is None:
+                done = cut(word, [], _RU_NOUN)
+    word = done if done is not None else word
+    if word.endswith("и") and len(word) - 1 >= rv:
+        word = word[:-1]
+    e = _ending(word, ("ост", "ость"), r2)
+    if e:
+        word = word[: -len(e)]
+    e = _ending(word, ("ейш", "ейше"), rv)
+    if e:
+        word = word[: -len(e)]
+    if word.endswith("нн"):
+        word = word[:-1]
+    elif not e and word.endswith("ь") and len(word) - 1 >= rv:
+        word = word[:-1]
+    return word
+
+
+STEMMERS = {"nl": dutch, "ru": russian, "fr": french, "it": italian, "sv": swedish, "da": danish, "no": norwegian, "nb": norwegian, "en": english, "de": german, "es": spanish, "pt": portuguese}
 
 
 @lru_cache(maxsize=200_000)

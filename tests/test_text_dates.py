@@ -30,6 +30,7 @@ def test_text(spark):
     ("consistency", "en", "consist"), ("generously", "en-US", "generous"), ("skies", "en", "sky"), ("relational", "en", "relat"), ("kategorischen", "de", "kategor"), ("häuser", "de", "haus"),
     ("rápidamente", "es", "rapid"), ("ciudades", "es", "ciudad"), ("quilométricas", "pt", "quilométr"), ("Haus", "xx", "haus"), ("", "en", ""),
     ("continuellement", "fr", "continuel"), ("majestueusement", "fr", "majestu"), ("abbandonata", "it", "abbandon"), ("propriamente", "it", "propr"),
+    ("lichamelijke", "nl", "licham"), ("opgingen", "nl", "opging"), ("важнейшими", "ru", "важн"), ("вавиловка", "ru", "вавиловк"), ("jaktkarlarne", "sv", "jaktkarl"), ("undersøgelse", "da", "undersøg"), ("havnemyndighetene", "no", "havnemynd"),
 ])
 def test_stems(word, lang, expected):
     assert stem(word, lang) == expected
