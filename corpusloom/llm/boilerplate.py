@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.lines import normal_text
+from corpusloom.llm.sites import by_site
 from corpusloom.sources.tables import ensure_checkpoint_dir
 
 #: Labelled pages for training, about.
@@ -296,24 +297,24 @@ def fit(pages: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     return train(training_lines(rows) + seed_examples())
 
 
-def furniture_lines(df: DataFrame, doc: str, host: str, url: str, content: str, html: str, *, without: DataFrame | None = None) -> DataFrame:
+def furniture_lines(df: DataFrame, doc: str, host: str, url: str, content: str, html: str, *, without: DataFrame | None = None, same: DataFrame | None = None) -> DataFrame:
     """(doc, line_no): every line of a page that is not its main body.
 
     Null and blank contents have no rows, nor have the pages of ``without``. The host of a page may
-    be null, which is a host of its own. Without pages with stored elements the seeds stand alone.
+    be null, which is a host of its own; ``same`` (source, site) names hosts that are one. Without pages with stored elements the seeds stand alone.
     """
     ensure_checkpoint_dir(df.sparkSession)
     rows = df.filter(F.col(f"`{doc}`").isNotNull())
-    lines = masked_lines(rows, doc, host, url, content)
+    lines = by_site(masked_lines(rows, doc, host, url, content), "host", same)
     filled = rows.filter(F.col(f"`{content}`").rlike("\\S"))
-    addresses = filled.select(F.col(f"`{host}`").alias("host"), F.coalesce(F.xxhash64(f"`{url}`"), F.lit(0)).alias("page"))
+    addresses = by_site(filled.select(F.col(f"`{host}`").alias("host"), F.coalesce(F.xxhash64(f"`{url}`"), F.lit(0)).alias("page")), "host", same)
     runs = repeated_runs(lines, addresses).checkpoint()
     pages = rows.select(F.col(f"`{doc}`").alias("doc"), F.col(f"`{host}`").alias("host"), F.col(f"`{content}`").alias("content"))
     stored = rows.filter(F.col(f"`{html}`").isNotNull() & F.col(f"`{content}`").rlike("\\S")).select(F.col(f"`{doc}`").alias("doc"))
     chosen = [r["doc"] for r in stored.orderBy(F.xxhash64("doc")).limit(SAMPLE).collect()]  # bounded by SAMPLE
     few = rows.filter(F.col(f"`{doc}`").isin(chosen))
     labelled = few.select(F.col(f"`{doc}`").alias("doc"), F.col(f"`{host}`").alias("host"), F.col(f"`{html}`").alias("html"), F.col(f"`{content}`").alias("content"))
-    labelled = labelled.join(covered(masked_lines(few, doc, host, url, content), runs), "doc", "left")
+    labelled = by_site(labelled, "host", same).join(covered(by_site(masked_lines(few, doc, host, url, content), "host", same), runs), "doc", "left")
     weights = df.sparkSession.sparkContext.broadcast(fit(labelled))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,14 +8,18 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import boilerplate, contributors, languages, lines, markup, packing, residue, spans, tokenizer, truncation
+from corpusloom.llm import boilerplate, contributors, languages, lines, markup, packing, residue, sites, spans, tokenizer, truncation
 from corpusloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _sites(spark: SparkSession, d: str) -> DataFrame:
+    return sites.spellings(table(spark, d, "webdomain"), "id", "name")
+
+
 def _residue(spark: SparkSession, d: str) -> DataFrame:
-    return residue.residue_pages(table(spark, d, "expression"), "id", "domain_id", "content")
+    return residue.residue_pages(table(spark, d, "expression"), "id", "domain_id", "content", same=_sites(spark, d))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -48,18 +52,18 @@ def p2_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    found = lines.repeated_lines(table(spark, d, "expression"), "id", "domain_id", "content", without=_residue(spark, d))
+    found = lines.repeated_lines(table(spark, d, "expression"), "id", "domain_id", "content", without=_residue(spark, d), same=_sites(spark, d))
     return found.selectExpr("doc as expression_id", "line_no")
 
 
 def p3_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return lines.repeated_blocks(table(spark, d, "expression"), "id", "domain_id", "content", without=_residue(spark, d))
+    return lines.repeated_blocks(table(spark, d, "expression"), "id", "domain_id", "content", without=_residue(spark, d), same=_sites(spark, d))
 
 
 def p3_clean(spark: SparkSession, d: str) -> DataFrame:
     """Every page without the lines that its site repeats."""
     pages = table(spark, d, "expression")
-    gone = lines.repeated_lines(pages, "id", "domain_id", "content", without=_residue(spark, d))
+    gone = lines.repeated_lines(pages, "id", "domain_id", "content", without=_residue(spark, d), same=_sites(spark, d))
     return lines.without_lines(pages, "id", "content", gone).withColumnRenamed("doc", "expression_id")
 
 
@@ -79,38 +83,38 @@ def p4_open_slots(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "expression")
-    found = boilerplate.furniture_lines(pages, "id", "domain_id", "url", "content", "html", without=_residue(spark, d))
+    found = boilerplate.furniture_lines(pages, "id", "domain_id", "url", "content", "html", without=_residue(spark, d), same=_sites(spark, d))
     return found.withColumnRenamed("doc", "expression_id")
 
 
 def p5_body(spark: SparkSession, d: str) -> DataFrame:
     """The main body of each page."""
     pages = table(spark, d, "expression")
-    gone = boilerplate.furniture_lines(pages, "id", "domain_id", "url", "content", "html")
+    gone = boilerplate.furniture_lines(pages, "id", "domain_id", "url", "content", "html", same=_sites(spark, d))
     return lines.without_lines(pages, "id", "content", gone).withColumnRenamed("doc", "expression_id")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "expression").select("id", "domain_id", "relevance")
+    rows = sites.by_site(table(spark, d, "expression").select("id", "domain_id", "relevance"), "domain_id", _sites(spark, d))
     capped = contributors.cap_contributors(rows, "domain_id", "relevance", "id", max_share=Fraction(1, 50))
     return capped.filter("not kept").selectExpr("id as expression_id")
 
 
 def p6_kept_balanced(spark: SparkSession, d: str) -> DataFrame:
     """The corpus in which no site holds more than a twentieth of the output itself."""
-    rows = table(spark, d, "expression").select("id", "domain_id", "relevance")
+    rows = sites.by_site(table(spark, d, "expression").select("id", "domain_id", "relevance"), "domain_id", _sites(spark, d))
     capped = contributors.cap_contributors(rows, "domain_id", "relevance", "id", max_share=Fraction(1, 20), share_of="output")
     return capped.filter("kept").selectExpr("id as expression_id", "domain_id")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    cuts = truncation.truncated(table(spark, d, "expression"), "id", "domain_id", "html")
+    cuts = truncation.truncated(table(spark, d, "expression"), "id", "domain_id", "html", same=_sites(spark, d))
     return cuts.filter("cut").selectExpr("doc as expression_id")
 
 
 def p7_rates(spark: SparkSession, d: str) -> DataFrame:
-    """How often each site truncates."""
-    return truncation.truncation_rates(table(spark, d, "expression"), "id", "domain_id", "html").withColumnRenamed("source", "domain_id")
+    """How often each site truncates; a site has the smallest of its domain ids."""
+    return truncation.truncation_rates(table(spark, d, "expression"), "id", "domain_id", "html", same=_sites(spark, d)).withColumnRenamed("source", "domain_id")
 
 
 def p7_limits(spark: SparkSession, d: str) -> DataFrame:
@@ -152,8 +156,9 @@ def queries() -> dict[str, Query]:
 
 
 P6_SQL = """
-WITH r AS (SELECT id, row_number() OVER (PARTITION BY domain_id ORDER BY relevance DESC NULLS LAST, id) AS k,
-                  (SELECT count(*) FROM expression) // 50 AS cap FROM expression)
+WITH s AS (SELECT id AS domain_id, regexp_replace(regexp_replace(lower(name), '^www\\.', ''), '\\.$', '') AS site FROM webdomain),
+     r AS (SELECT e.id, row_number() OVER (PARTITION BY s.site ORDER BY e.relevance DESC NULLS LAST, e.id) AS k, (SELECT count(*) FROM expression) // 50 AS cap
+           FROM expression e JOIN s ON s.domain_id = e.domain_id)
 SELECT id AS expression_id FROM r WHERE k > cap
 """
 

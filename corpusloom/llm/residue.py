@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.sites import by_site
+
 #: Leading tokens that name a leaf of the prefix tree, besides the number of tokens.
 DEPTH = 2
 #: Share of places in which a line must agree with a template of its leaf.
@@ -173,6 +175,13 @@ def mask(line: str) -> str:
     return " ".join(_NUMBER.sub("<n>", _PATH.sub("<path>", line)).split())
 
 
+def unmasked(masked: str) -> str:
+    """A line as it may have read: a number alone is a status, other masks become samples."""
+    if masked == "<n>":
+        return "404"
+    return masked.replace("<slot>", "{{slot}}").replace("<n>", "17").replace("<path>", "/path")
+
+
 def mine(masked: list[str], depth: int = DEPTH, alike: float = ALIKE) -> list[str]:
     """The template of each masked line of one leaf, by greedy agreement with the templates so far."""
     templates: list[list[str]] = []
@@ -231,21 +240,20 @@ def templates(lines: DataFrame) -> DataFrame:
         kinds = {}
         for masked, template in zip(leaf["masked"], leaf["template"]):
             if template not in kinds:
-                # the most frequent line of a template speaks for it
-                kinds[template] = line_kind(masked.replace("<slot>", "{{slot}}").replace("<n>", "404" if masked.split()[0:1] == ["<n>"] and len(masked.split()) == 1 else "17").replace("<path>", "/path"))
+                kinds[template] = line_kind(unmasked(masked))  # the most frequent line of a template speaks for it
         leaf["kind"] = leaf["template"].map(kinds)
         return leaf[["masked", "template", "kind", "n_lines", "n_sources"]]
 
     return counted.groupBy("leaf").applyInPandas(run, "masked string, template string, kind string, n_lines bigint, n_sources bigint")
 
 
-def residue_pages(df: DataFrame, doc: str, source: str, content: str) -> DataFrame:
+def residue_pages(df: DataFrame, doc: str, source: str, content: str, *, same: DataFrame | None = None) -> DataFrame:
     """(doc): pages whose text is only template residue, filler, error messages or script notices, with or without menu and footer.
 
     Null, empty and blank contents are no pages of this kind. Rows that repeat a page are
-    judged each on its own.
+    judged each on its own. ``same`` (source, site) names sources that are one.
     """
-    lines = thin_lines(df, doc, source, content)
+    lines = by_site(thin_lines(df, doc, source, content), "source", same)
     verdicts = templates(lines).select(F.col("masked").alias("masked2"), "kind", "n_sources")
     judged = lines.join(verdicts, F.col("masked") == F.col("masked2"))
     words = F.size(F.split("masked", " "))

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.residue import line_kind
+from corpusloom.llm.sites import by_site
 
 #: Neighbouring lengths on either side.
 NEIGHBOURS = 50
@@ -181,12 +182,12 @@ def length_hazards(ends: DataFrame) -> DataFrame:
     return tested.select("unit", "scope", "source", "length", "n", "at_risk", (F.col("n") / F.col("at_risk")).alias("hazard"), "expected", "p", F.coalesce(F.col("p") <= F.max("ok").over(every), F.lit(False)).alias("significant"))
 
 
-def truncated(df: DataFrame, doc: str, source: str, html: str) -> DataFrame:
+def truncated(df: DataFrame, doc: str, source: str, html: str, *, same: DataFrame | None = None) -> DataFrame:
     """(doc, source, ending, at_limit, cut) of every record that is not null or blank.
 
-    ``at_limit``: its length is significant over all sources or in its own.
+    ``at_limit``: its length is significant over all sources or in its own. ``same`` (source, site) names sources that are one.
     """
-    ends = endings(df, doc, source, html)
+    ends = by_site(endings(df, doc, source, html), "source", same)
     some = ends.filter("ending <> 'whole'")
     limits = length_hazards(ends).filter("significant")
     both = limits.select("unit", "scope", F.col("source").alias("s2"), "length").distinct()
@@ -200,7 +201,7 @@ def truncated(df: DataFrame, doc: str, source: str, html: str) -> DataFrame:
     return marked.unionByName(whole).withColumn("cut", (F.col("ending").isin("tag", "entity", "mark", "text")) | ((F.col("ending") == "loose") & F.col("at_limit")))
 
 
-def truncation_rates(df: DataFrame, doc: str, source: str, html: str) -> DataFrame:
+def truncation_rates(df: DataFrame, doc: str, source: str, html: str, *, same: DataFrame | None = None) -> DataFrame:
     """(source, n, n_cut, rate, n_at_limit) of each source."""
-    cuts = truncated(df, doc, source, html)
+    cuts = truncated(df, doc, source, html, same=same)
     return cuts.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("cut").cast("long")).alias("n_cut"), F.avg(F.col("cut").cast("double")).alias("rate"), F.sum((F.col("cut") & F.col("at_limit")).cast("long")).alias("n_at_limit"))
