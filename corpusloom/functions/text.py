@@ -120,12 +120,12 @@ COMMON = {
 
 def detected_language(text: Column, fallback: Column) -> Column:
     """The language with most frequent words in the text; texts under 20 characters, or without any, keep the fallback."""
-    words = tokens(text)
+    low = F.lower(text)
 
-    def hits(common: list[str]) -> Column:
-        return F.size(F.filter(words, lambda w: w.isin(*common)))
+    def hits(common: str) -> Column:
+        return F.regexp_count(low, F.lit("(?U)\\b(?:" + common.replace(" ", "|") + ")\\b"))
 
-    scores = [F.struct(hits(v.split()).alias("n"), F.lit(-i).alias("order"), F.lit(k).alias("lang")) for i, (k, v) in enumerate(COMMON.items())]
+    scores = [F.struct(hits(v).alias("n"), F.lit(-i).alias("order"), F.lit(k).alias("lang")) for i, (k, v) in enumerate(COMMON.items())]
     best = F.greatest(*scores)
     long = F.length(F.trim(F.coalesce(text, F.lit("")))) >= 20
     return F.when(long & (best["n"] > 0), best["lang"]).otherwise(fallback)

@@ -56,7 +56,7 @@ def page_edges(expression: DataFrame, link: DataFrame, land_id: int, minrel: int
 
 def domain_edges(edges: DataFrame, domain: DataFrame) -> DataFrame:
     """Page edges summed by pair of different domains."""
-    per = edges.filter("source_domain_id <> target_domain_id").groupBy("source_domain_id", "target_domain_id").agg(F.sum("weightbody").alias("in_mwi"), F.sum("weighthtml").alias("out_mwi"))
+    per = edges.filter("source_domain_id <> target_domain_id").groupBy("source_domain_id", "target_domain_id").agg(F.sum("weightbody").alias("in_body"), F.sum("weighthtml").alias("out_html"))
     s = domain.select(F.col("id").alias("source_domain_id"), F.col("name").alias("source_domain_name"))
     t = domain.select(F.col("id").alias("target_domain_id"), F.col("name").alias("target_domain_name"))
     return per.join(s, "source_domain_id").join(t, "target_domain_id")
