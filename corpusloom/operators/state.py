@@ -171,3 +171,17 @@ def enriched(pages: DataFrame, answers: DataFrame) -> DataFrame:
     """Pages with the rankings (id, payload) that arrived; broken payloads change nothing."""
     good = answers.filter(F.try_parse_json("payload").isNotNull())
     return pages.join(good, "id", "left").withColumn("seorank", F.coalesce("payload", "seorank")).drop("payload")
+
+
+def applied_extraction(pages: DataFrame, extraction: DataFrame, words: DataFrame, land: DataFrame, strategy: str = "smart") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pages, links, media) after an extraction: fields are merged; where the readable text changes, relevance, links and media are made anew."""
+    merged = merged_extraction(pages, extraction, strategy).withColumnsRenamed({f: f"n_{f}" for f in ("title", "description", "readable", "published_at")})
+    both = pages.join(merged, "id", "left").withColumn("_new", F.col("changed").isNotNull() & ~F.col("readable").eqNullSafe(F.col("n_readable")))
+    have = F.col("changed").isNotNull()
+    for f in ("title", "description", "readable", "published_at"):
+        both = both.withColumn(f, F.when(have, F.col(f"n_{f}")).otherwise(F.col(f)))
+    after = both.select(*pages.columns, "_new")
+    fresh = after.filter("_new").drop("_new")
+    scores, links, media = consolidated(fresh, words, land)
+    out = after.join(scores.withColumnRenamed("relevance", "_score"), "id", "left").withColumn("relevance", F.when(F.col("_new"), F.col("_score").cast("int")).otherwise(F.col("relevance")))
+    return out.select(*pages.columns), links, media

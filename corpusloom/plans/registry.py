@@ -996,3 +996,15 @@ def search_parallel(m):
 @query("SELECT id, k.name, json_extract_string(j, '$.' || k.name) AS value FROM (SELECT id, json(usage_report) AS j FROM searchquery) s, unnest(json_keys(j)) AS k(name)")
 def report_members(m):
     return jsons.members(m.searchquery, "id", "usage_report")
+
+
+@query()
+def applied_extraction(m):
+    x = state.latest_extraction(m.mercury).withColumn("published_at", dates.extractor_date(F.col("date_published")))
+    return state.applied_extraction(m.expression, x, m.word, m.land)[0].select("id", "title", "description", "readable", "published_at", "relevance")
+
+
+@query("SELECT e.id, CASE WHEN x.expression_id IS NULL THEN e.title ELSE " + _smart("e.title", "x.title", True) + f" END AS title FROM expression e LEFT JOIN {_LATEST} x ON x.expression_id = e.id")
+def applied_titles(m):
+    x = state.latest_extraction(m.mercury).withColumn("published_at", F.lit(None).cast("timestamp_ntz"))
+    return state.applied_extraction(m.expression, x, m.word, m.land)[0].select("id", "title")
