@@ -14,8 +14,8 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import groupby
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -234,17 +234,29 @@ def templates(lines: DataFrame) -> DataFrame:
     tokens = F.split("masked", " ")
     counted = counted.withColumn("leaf", F.concat_ws(" ", F.size(tokens).cast("string"), F.slice(tokens, 1, DEPTH)))
 
-    def run(leaf: pd.DataFrame) -> pd.DataFrame:
-        leaf = leaf.sort_values(["n_lines", "masked"], ascending=[False, True])
-        leaf["template"] = mine(leaf["masked"].tolist())
-        kinds = {}
-        for masked, template in zip(leaf["masked"], leaf["template"]):
+    def mined(rows: list[dict]) -> Iterator[tuple]:
+        """Templates of one leaf, its most frequent lines first."""
+        kinds: dict[str, str] = {}
+        for row, template in zip(rows, mine([r["masked"] for r in rows])):
             if template not in kinds:
-                kinds[template] = line_kind(unmasked(masked))  # the most frequent line of a template speaks for it
-        leaf["kind"] = leaf["template"].map(kinds)
-        return leaf[["masked", "template", "kind", "n_lines", "n_sources"]]
+                kinds[template] = line_kind(unmasked(row["masked"]))  # the most frequent line of a template speaks for it
+            yield row["masked"], template, kinds[template], row["n_lines"], row["n_sources"]
 
-    return counted.groupBy("leaf").applyInPandas(run, "masked string, template string, kind string, n_lines bigint, n_sources bigint")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["masked", "template", "kind", "n_lines", "n_sources"]
+        # leaves are many and small: they are told apart by the order of the rows, not handed over one by one
+        rows = (r for batch in batches for r in batch.to_pylist())
+        out: list[tuple] = []
+        for _, leaf in groupby(rows, key=lambda r: r["leaf"]):
+            out.extend(mined(list(leaf)))
+            if len(out) > 5000:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=names)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=names)
+
+    ordered = counted.repartition("leaf").sortWithinPartitions("leaf", F.col("n_lines").desc(), "masked").select("leaf", "masked", "n_lines", "n_sources")
+    return ordered.mapInArrow(run, "masked string, template string, kind string, n_lines bigint, n_sources bigint")
 
 
 def residue_pages(df: DataFrame, doc: str, source: str, content: str, *, same: DataFrame | None = None) -> DataFrame:
