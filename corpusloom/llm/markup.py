@@ -378,7 +378,8 @@ def fit_weights(df: DataFrame, key: str, html: str, pages: int = LABELLED) -> Da
     sums = counts.agg(F.sum("i").alias("all_i"), F.sum("o").alias("all_o"), F.count(F.lit(1)).alias("kinds"))
     odds = F.log2((F.col("i") + 1) / (F.col("all_i") + F.col("kinds"))) - F.log2((F.col("o") + 1) / (F.col("all_o") + F.col("kinds")))
     weight = F.when(F.col("token") == "word", F.greatest(odds, F.lit(0.05))).otherwise(F.least(odds, F.lit(-0.1)))
-    return counts.crossJoin(F.broadcast(sums)).select("token", F.round(weight, 3).alias("weight"), (F.col("i") + F.col("o")).alias("n"))
+    with_sums = counts.crossJoin(F.broadcast(sums))  # one row
+    return with_sums.select("token", F.round(weight, 3).alias("weight"), (F.col("i") + F.col("o")).alias("n"))
 
 
 def markup_kinds(df: DataFrame, key: str, fields: list[str]) -> DataFrame:

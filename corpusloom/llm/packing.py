@@ -122,7 +122,7 @@ def pack(
     shares = parts.groupBy("source").agg(F.sum("have").alias("tokens"))
     total = shares.agg(F.greatest(F.sum("tokens"), F.lit(1.0)).alias("total"))
     sizes = parts.groupBy("grp").agg(F.sum("have").alias("size"))
-    mix = parts.join(shares.withColumnRenamed("source", "source2"), F.col("source").eqNullSafe(F.col("source2"))).join(sizes, "grp").crossJoin(F.broadcast(total))
+    mix = parts.join(shares.withColumnRenamed("source", "source2"), F.col("source").eqNullSafe(F.col("source2"))).join(sizes, "grp").crossJoin(F.broadcast(total))  # one row
     before = Window.partitionBy("source").orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)
     share = F.col("tokens") / F.col("total")
     lack = share * F.col("size") - F.col("have")
