@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.residue import line_kind
 from corpusloom.llm.sites import by_site
+from corpusloom.sources.tables import ensure_checkpoint_dir
 
 #: Neighbouring lengths on either side.
 NEIGHBOURS = 50
@@ -187,7 +188,9 @@ def truncated(df: DataFrame, doc: str, source: str, html: str, *, same: DataFram
 
     ``at_limit``: its length is significant over all sources or in its own. ``same`` (source, site) names sources that are one.
     """
-    ends = by_site(endings(df, doc, source, html), "source", same)
+    # every record is read once; its ending, a narrow row, is written and read again for the lengths and the verdicts
+    ensure_checkpoint_dir(df.sparkSession)
+    ends = by_site(endings(df, doc, source, html), "source", same).checkpoint()
     some = ends.filter("ending <> 'whole'")
     limits = length_hazards(ends).filter("significant")
     both = limits.select("unit", "scope", F.col("source").alias("s2"), "length").distinct()
