@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.sites import by_site
+from corpusloom.sources.tables import ensure_checkpoint_dir
 
 #: Leading tokens that name a leaf of the prefix tree, besides the number of tokens.
 DEPTH = 2
@@ -265,7 +266,9 @@ def residue_pages(df: DataFrame, doc: str, source: str, content: str, *, same: D
     Null, empty and blank contents are no pages of this kind. Rows that repeat a page are
     judged each on its own. ``same`` (source, site) names sources that are one.
     """
-    lines = by_site(thin_lines(df, doc, source, content), "source", same)
+    # the texts are read once: what goes on, the few lines of thin pages, is written and read again for the verdicts
+    ensure_checkpoint_dir(df.sparkSession)
+    lines = by_site(thin_lines(df, doc, source, content), "source", same).checkpoint()
     verdicts = templates(lines).select(F.col("masked").alias("masked2"), "kind", "n_sources")
     judged = lines.join(verdicts, F.col("masked") == F.col("masked2"))
     words = F.size(F.split("masked", " "))
