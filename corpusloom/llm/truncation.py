@@ -12,6 +12,7 @@ that merely lack what other records have are cut at significant lengths only.
 
 from __future__ import annotations
 
+import html as _html
 import re
 from collections.abc import Iterator
 
@@ -41,6 +42,8 @@ _FULL_STOP = re.compile(r"[.!?»”\"…]\Z")
 _HIDDEN = re.compile(r"<!--.*?-->|<(script|style|textarea|title)\b[^>]*>.*?</\1\s*>", re.S | re.I)
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)\b[^<>]*?(/?)>")
 _BLOCK = re.compile(r"<(p|li|h[1-6]|blockquote|td|th|div|section|article|pre|dd|dt|main|aside|footer|header|nav)\b([^<>]*)>", re.I)
+_PLAIN_WORDS = re.compile(r"[\w\s,'’-]+")
+_PARAGRAPH = re.compile(r"<p>(.*?)(?=</p>|<p\b|<h[1-6]\b|<ul\b|<div\b|\Z)", re.I | re.S)
 _ANY_TAG = re.compile(r"<[^<>]*>")
 # Elements whose end tag may be left out, and elements without one.
 OPTIONAL = frozenset("p li td tr th tbody thead tfoot dt dd option html body head colgroup".split())
@@ -132,8 +135,14 @@ def ending(html: str) -> str:
     linked = re.search(r"<a\b[^<>]*>[^<>]*\Z", core[-2000:])
     if _SENTENCE_END.search(shown) or not block or linked:
         return "whole"
-    if block[1].lower() in ("p", "blockquote") and not block[2].strip() and line_kind(shown) == "text" and not _MARK.search(shown):
-        return "text"
+    if block[1].lower() in ("p", "blockquote") and not block[2].strip() and not _MARK.search(shown):
+        if line_kind(shown) == "text":
+            return "text"
+        # a few plain words where every other paragraph of an article ends in a full stop
+        if block[1].lower() == "p" and _PLAIN_WORDS.fullmatch(_html.unescape(shown)) and re.search(r"<h1\b", core, re.I):
+            others = [_ANY_TAG.sub("", x).strip() for x in _PARAGRAPH.findall(core[: len(core) - len(core[-6000:]) + block.start()])]
+            if all(_SENTENCE_END.search(x) for x in others if x):
+                return "text"
     return "whole"
 
 

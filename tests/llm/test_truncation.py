@@ -5,11 +5,11 @@ from corpusloom.llm import truncation as T
 HEAD = "<html><body><main><article><h1>T</h1><p>One sentence stands here.</p><p>"
 WHOLE = [
     HEAD + "And a last one.</p></article></main></body></html>", HEAD + "And a last one.</article></main><footer><p class=f>Site, 36 Street\n</footer>", HEAD + "Done.</p></article></main></body>\n</html>\n<!-- cached by node 4 -->",
-    HEAD + "Done.</p></article></main><script>load('x')</script>\n", "<div><p>Done.<ul><li>A, B: 3</ul></div>", "<p>Price: [price]</p>", "<p>Loading...</p>", "", "plain text.",
+    HEAD + "Done.</p></article></main><script>load('x')</script>\n", "<div><p>Done.<ul><li>A, B: 3</ul></div>", "<p>Price: [price]</p>", "<p>Loading...</p>", "<div><p>Access denied</p><p>Reference 745</p></div></body></html>", "<h1>T</h1><p>Menu</p><p>Other words</p>", "", "plain text.",
 ]
 CUT = [
     HEAD + "And a last", HEAD + "And a las", HEAD + "And a <a hre", HEAD + "And a <", HEAD + "And caf&#23", HEAD + "And a last …", HEAD + "And a last [truncated]", HEAD + "And a last\n", HEAD + "And a last</p></div></body></html>",
-    HEAD + "And a long sentence that never comes to its</p></article></main></body></html>", "<ul><li>one</li><li>tw</p></div></body></html>",
+    HEAD + "And a long sentence that never comes to its</p></article></main></body></html>", "<ul><li>one</li><li>tw</p></div></body></html>", "<div><h1>T</h1><p>One sentence stands here.</p><p>In Ista</p></div></body></html>",
 ]
 
 
