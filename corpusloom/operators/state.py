@@ -185,3 +185,32 @@ def applied_extraction(pages: DataFrame, extraction: DataFrame, words: DataFrame
     scores, links, media = consolidated(fresh, words, land)
     out = after.join(scores.withColumnRenamed("relevance", "_score"), "id", "left").withColumn("relevance", F.when(F.col("_new"), F.col("_score").cast("int")).otherwise(F.col("relevance")))
     return out.select(*pages.columns), links, media
+
+
+def domain_outcomes(attempts: DataFrame) -> DataFrame:
+    """(domain_id, http_status, method, html) of fetched home pages from attempts (domain_id, ord, method, status, html).
+
+    The first attempt with a page counts; without one, the status of the last attempt that has one, else ERR_NO_STATUS. Attempts
+    carry the codes of their method: ERR_… and 000 for failures, ARC_NO_HTML and REQ_NO_HTML for answers that are no pages.
+    """
+    page = F.coalesce("html", F.lit("")) != ""
+    won = F.min_by(F.struct("status", "method", "html"), F.when(page, F.col("ord")))
+    last = F.max_by("status", F.when(F.col("status").isNotNull(), F.col("ord")))
+    per = attempts.groupBy("domain_id").agg(won.alias("w"), last.alias("last"))
+    return per.select("domain_id", F.coalesce("w.status", F.when(F.col("w").isNotNull(), F.lit("200")), "last", F.lit("ERR_NO_STATUS")).alias("http_status"), "w.method", "w.html")
+
+
+def domains_fetched(domain: DataFrame, attempts: DataFrame, now: Column) -> DataFrame:
+    """Domains after their home pages were fetched: status, time, and the title, description and keywords of the page; what failed has none."""
+    from corpusloom.functions.html import page_struct
+
+    got = domain_outcomes(attempts).withColumnRenamed("http_status", "_status").withColumn("_p", page_struct("html", F.lit("")))
+    rows = domain.join(got, domain["id"] == got["domain_id"], "left")
+    tried, won = F.col("_status").isNotNull(), F.col("method").isNotNull()
+    filled = lambda f: F.nullif(F.trim(F.col(f"_p.{f}")), F.lit(""))
+    title = F.coalesce(filled("title"), F.concat(F.lit("Website: "), F.col("name")))
+    out = rows.withColumns({
+        "http_status": F.coalesce("_status", "http_status"), "fetched_at": F.when(tried, now).otherwise(F.col("fetched_at")), "title": F.when(won, title).when(~tried, F.col("title")),
+        "description": F.when(won, filled("description")).when(~tried, F.col("description")), "keywords": F.when(won, filled("keywords")).when(~tried, F.col("keywords")),
+    })
+    return out.select(*domain.columns)

@@ -1008,3 +1008,11 @@ def applied_extraction(m):
 def applied_titles(m):
     x = state.latest_extraction(m.mercury).withColumn("published_at", F.lit(None).cast("timestamp_ntz"))
     return state.applied_extraction(m.expression, x, m.word, m.land)[0].select("id", "title")
+
+
+@query("""SELECT id, CASE id % 4 WHEN 0 THEN '200' WHEN 1 THEN '301' WHEN 2 THEN 'REQ_NO_HTML' ELSE http_status END AS http_status, CASE id % 4 WHEN 0 THEN 'T' WHEN 1 THEN 'Website: ' || name WHEN 2 THEN NULL ELSE title END AS title FROM webdomain""")
+def domains_fetched(m):
+    tries = [("extractor", 0, "200", 0, "<title>T</title>"), ("extractor", 0, "ERR_TRAFI", 1, None), ("archive", 1, "301", 1, "<p>x"), ("extractor", 0, None, 2, None), ("archive", 1, "ARC_NO_HTML", 2, None), ("direct", 2, "REQ_NO_HTML", 2, "")]
+    made = m.spark.createDataFrame(tries, "method string, ord int, status string, kind bigint, html string")
+    attempts = m.domain.select(F.col("id").alias("domain_id"), (F.col("id") % 4).alias("kind")).join(made, "kind").drop("kind")
+    return state.domains_fetched(m.domain, attempts, F.lit(AS_OF)).select("id", "http_status", "title")
