@@ -29,6 +29,8 @@ SPAN = 300
 GRAM = 200
 #: Texts that share a minimum for each of its salts.
 HOT = 500
+#: Keys that are sent to the texts instead of shuffling the texts.
+SENT = 1_000_000
 #: Rows of a group of copies, or pairs between two, up to which every pair of rows comes out; beyond, each row comes with the other representative.
 EXPAND = 900
 
@@ -122,12 +124,17 @@ def _texts(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.filter(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).filter(F.length("text") >= SPAN)
 
 
+def _sent_if_small(keys: DataFrame) -> DataFrame:
+    """Keys to be sent to the texts if they are counted to be at most ``SENT`` (8 MB); else texts and keys meet in a shuffle."""
+    return F.broadcast(keys) if keys.count() <= SENT else keys
+
+
 def verified_pairs(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(pairs of class representatives with their shared parts, copy classes), both written to the checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)
     texts = _texts(df, key, text)
     classes = copy_classes(texts, "key", "text").checkpoint()
-    reps = texts.join(classes.filter("key <> rep").select("key"), "key", "left_anti")
+    reps = texts.join(_sent_if_small(classes.filter("key <> rep").select("key")), "key", "left_anti")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,7 +152,7 @@ def verified_pairs(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataF
     right = bucket.select(F.col("key").alias("key_b"), "mark", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     candidates = left.join(right, ["mark", "salt"]).filter("key_a < key_b").select("key_a", "key_b").distinct().checkpoint()
     involved = candidates.select(F.col("key_a").alias("key")).union(candidates.select("key_b")).distinct()
-    few = reps.join(involved, "key", "left_semi")
+    few = reps.join(_sent_if_small(involved), "key", "left_semi")
     both = candidates.join(few.select(F.col("key").alias("key_a"), F.col("text").alias("text_a")), "key_a").join(few.select(F.col("key").alias("key_b"), F.col("text").alias("text_b")), "key_b")
     run = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
 
