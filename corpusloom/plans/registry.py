@@ -444,9 +444,23 @@ def domain_from_html(m):
     return m.expression.select("id", domains.resolved("url", "html").alias("domain"))
 
 
-@query()
+_PLATFORM_URL = "CASE id % 4 WHEN 0 THEN concat('https://www.youtube.com/@Chan', id % 50, '/videos') WHEN 1 THEN concat('https://github.com/user', id % 30, '/repo?x=1') WHEN 2 THEN concat('https://www.youtube.com/watch?v=', id) ELSE url END"
+_PLATFORM_PAGE = "CASE WHEN id % 4 = 2 AND id % 3 <> 0 THEN concat('<span itemprop=\"author\"><link itemprop=\"url\" href=\"http://www.youtube.com/@Own', id % 9, '\"></span>') END"
+
+
+def _platform_pages(m):
+    return m.expression.select("id", F.expr(_PLATFORM_URL).alias("url"), F.expr(_PLATFORM_PAGE).alias("html"))
+
+
+@query("""SELECT id, CASE id % 4 WHEN 0 THEN concat('www.youtube.com/@Chan', id % 50) WHEN 1 THEN concat('github.com/user', id % 30) WHEN 2 THEN CASE WHEN id % 3 <> 0 THEN concat('www.youtube.com/@Own', id % 9) ELSE 'www.youtube.com' END
+    ELSE regexp_extract(url, '^https?://([^/?#]+)', 1) END AS domain FROM expression""")
+def domain_platforms(m):
+    return _platform_pages(m).select("id", domains.resolved("url", "html").alias("domain"))
+
+
+@query("""SELECT coalesce(suffix, 'TOTAL') AS suffix, count(*) AS pages, count(*) FILTER (id % 3 <> 0) AS with_html, count(*) FILTER (id % 3 <> 0) AS improved, round(1.0, 4) AS rate FROM (SELECT 'youtube.com' AS suffix, id FROM expression WHERE id % 4 = 2) GROUP BY ROLLUP (suffix)""")
 def domain_resolution_rates(m):
-    return normalize.resolution_rates(m.expression)
+    return normalize.resolution_rates(_platform_pages(m))
 
 
 @query("""SELECT d.name AS old_domain, regexp_extract(e.url, '^https?://([^/?#]+)', 1) AS new_domain, count(*) AS n FROM expression e JOIN webdomain d ON e.domain_id = d.id WHERE d.name <> regexp_extract(e.url, '^https?://([^/?#]+)', 1)
@@ -826,10 +840,12 @@ def dictionary(m):
     return state.dictionary(m.word.select("land_id", "term"), m.land).select("land_id", "term", "lang")
 
 
-@query()
+@query("""SELECT id AS source_id, url || '-next' AS url, coalesce(depth + 1, 1) AS depth FROM expression WHERE land_id = 1 AND readable IS NOT NULL AND (approved_at IS NOT NULL OR readable_at IS NOT NULL)
+    UNION ALL SELECT id, regexp_extract(url, '^(https?://[^/]+)', 1) || '/rel', coalesce(depth + 1, 1) FROM expression WHERE land_id = 1 AND readable IS NOT NULL AND (approved_at IS NOT NULL OR readable_at IS NOT NULL)""")
 def consolidated_links(m):
     pages = select.consolidation_set(m.expression.filter("readable IS NOT NULL"), LAND)
-    return state.consolidated(pages, m.word, m.land)[1]
+    linked = pages.withColumn("readable", F.concat("readable", F.lit("\n\n[next]("), "url", F.lit("-next?utm_source=x) <a href='/rel#top'>rel</a> ![i](/i.png)")))
+    return state.consolidated(linked, m.word, m.land)[1].select("source_id", "url", "depth")
 
 
 @query()
