@@ -33,7 +33,10 @@ FDR = 0.01
 #: Records that must end at a length before it is tested.
 LEAST = 3
 
-_OPEN_TAG = re.compile(r"<[a-zA-Z/!?][^<>]*\Z|<\Z")
+_OPEN_TAG = re.compile(r"<(?:[a-zA-Z/!?][^<>]*)?\Z")
+_END_TAG = re.compile(r"</[a-zA-Z][^<>]*>")
+_SCRIPT = re.compile(r"</?script(?![\w-])", re.I)
+_LINKED = re.compile(r"<a\b[^<>]*>[^<>]*\Z")
 _ENTITY = re.compile(r"&(?:#\d{0,6}|#[xX][\da-fA-F]{0,5}|[a-zA-Z]{0,7})\Z")
 _MARK = re.compile(r"\s*(?:\[(?:truncated|cut|more|\.\.\.|…)\]|\((?:truncated|cut)\)|…|\.\.\.)\Z", re.I)
 _SURE_MARK = re.compile(r"\[(?:truncated|cut)\]\Z|\((?:truncated|cut)\)\Z", re.I)
@@ -51,31 +54,48 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 INLINE = frozenset("a abbr b bdi bdo cite code dfn em font i kbd mark q s samp small span strike strong sub sup time tt u var".split())
 
 
+def _script_start(html: str, at: int) -> int:
+    """Where the script element that the end tag at ``at`` closes begins; ``at`` itself where none is open."""
+    near = at
+    while (near := html.rfind("<", 0, near)) >= 0:
+        if _SCRIPT.match(html, near):
+            return at if html[near + 1] == "/" else near
+    return at
+
+
 def set_aside(html: str) -> tuple[str, str]:
     """(the record up to its last text or start tag, what stands behind)."""
     end = len(html)
     while end:
-        tail = html[max(0, end - 4000) : end]
-        stripped = tail.rstrip()
-        if len(stripped) < len(tail):
-            end -= len(tail) - len(stripped)
+        if html[end - 1].isspace():
+            end -= 1
             continue
-        if not tail.endswith(">"):
+        if html[end - 1] != ">":
             break
-        if tail.endswith("-->"):
-            at = tail.rfind("<!--")
-        elif re.search(r"</script\s*>\Z", tail, re.I):
-            at = tail.lower().rfind("<script")
+        if html.endswith("-->", 0, end):
+            at = html.rfind("<!--", 0, end)
+            # a comment ends at its first end mark
+            if at < 0 or html.find("-->", at + 2, end) != end - 3:
+                break
         else:
-            at = tail.rfind("<")
-            if at < 0 or not re.match(r"</[a-zA-Z]", tail[at:]):
+            at = html.rfind("<", 0, end)
+            if at < 0 or not _END_TAG.fullmatch(html, at, end):
                 break
-        if at < 0:
-            break
-        end -= len(tail) - at
+            if _SCRIPT.match(html, at):
+                at = _script_start(html, at)
+        end = at
     return html[:end], html[end:]
 
 
+def last_block(core: str) -> re.Match[str] | None:
+    """The last start tag of a block."""
+    at = len(core)
+    while (at := core.rfind("<", 0, at)) >= 0:
+        if m := _BLOCK.match(core, at):
+            return m
+    return None
+
+
 def closers_fit(core: str, behind: str) -> bool:
     """Whether the end tags behind the last text close what is open, leaving out only end tags that may be left out."""
     stack: list[str] = []
@@ -105,7 +125,8 @@ def ending(html: str) -> str:
     core, behind = set_aside(html)
     if not core:
         return "whole"
-    if _OPEN_TAG.search(core[-2000:]) and (core.endswith("<") or core.rfind("<") > core.rfind(">")):
+    mark = core.rfind("<")
+    if mark >= 0 and _OPEN_TAG.match(core, mark):
         return "tag"
     text = core[core.rfind(">") + 1 :].strip()
     closed = bool(re.match(r"\s*</[a-zA-Z]", behind))
@@ -122,9 +143,8 @@ def ending(html: str) -> str:
         return "loose" if _FULL_STOP.search(text) else "text"
     if _SURE_MARK.search(text):
         return "mark"
-    blocks = list(_BLOCK.finditer(core[-6000:]))
-    block = blocks[-1] if blocks else None
-    shown = _ANY_TAG.sub("", core[-6000:][block.end() :]).strip() if block else text
+    block = last_block(core)
+    shown = _ANY_TAG.sub("", core[block.end() :]).strip() if block else text
     fits = closers_fit(core, behind)
     if not fits:
         if _ENTITY.search(text):
@@ -132,7 +152,7 @@ def ending(html: str) -> str:
         if _MARK.search(text):
             return "mark"
         return "loose" if _SENTENCE_END.search(shown) else "text"
-    linked = re.search(r"<a\b[^<>]*>[^<>]*\Z", core[-2000:])
+    linked = mark >= 0 and _LINKED.match(core, mark)
     if _SENTENCE_END.search(shown) or not block or linked:
         return "whole"
     if block[1].lower() in ("p", "blockquote") and not block[2].strip() and not _MARK.search(shown):
@@ -140,7 +160,7 @@ def ending(html: str) -> str:
             return "text"
         # a few plain words where every other paragraph of an article ends in a full stop
         if block[1].lower() == "p" and _PLAIN_WORDS.fullmatch(_html.unescape(shown)) and re.search(r"<h1\b", core, re.I):
-            others = [_ANY_TAG.sub("", x).strip() for x in _PARAGRAPH.findall(core[: len(core) - len(core[-6000:]) + block.start()])]
+            others = [_ANY_TAG.sub("", x).strip() for x in _PARAGRAPH.findall(core[: block.start()])]
             if all(_SENTENCE_END.search(x) for x in others if x):
                 return "text"
     return "whole"

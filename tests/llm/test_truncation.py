@@ -37,3 +37,27 @@ def test_limits(spark, rows):
     rates = {r["source"]: r for r in T.truncation_rates(df, "id", "site", "html").collect()}
     assert rates[1]["n_cut"] == 20 and rates[0]["rate"] == 0.0
     assert T.truncated(df.limit(0), "id", "site", "html").count() == 0 and T.truncation_rates(df.limit(0), "id", "site", "html").count() == 0
+
+
+LONG = "Every sentence of this paragraph is like the one before it. " * 170
+SCRIPT = "<script>" + "load('x < y');\n" * 350 + "</SCRIPT >"
+NOTE = "<!-- " + "cached > by node 4 " * 260 + "-->"
+END = "</p></article></main></body></html>"
+
+
+@pytest.mark.parametrize("behind", [END, "</p></div></body></html>", SCRIPT, NOTE, SCRIPT + NOTE + "</body></html>", " " * 5000 + "</div></body></html>"])
+def test_cut_far_from_the_end(behind):
+    assert len(LONG) > 10_000 and len(SCRIPT) > 5_000 and len(NOTE) > 4_900
+    assert T.ending(HEAD + LONG + "And a last sentence that never comes to its" + behind) == "text"
+    assert T.ending(HEAD + LONG + "And a <a href='" + "x" * 5000) == "tag"
+
+
+@pytest.mark.parametrize("behind", [END, END + SCRIPT, END + NOTE, " " * 5000 + END])
+def test_whole_far_from_the_end(behind):
+    assert T.ending(HEAD + LONG + "And a last one." + behind) == "whole"
+
+
+def test_set_aside_is_one_element():
+    for core in (HEAD + "<!-- a --> b --> c -->", HEAD + "</p> a > b >"):
+        assert T.set_aside(core) == (core, "")
+    assert T.set_aside(HEAD + "<script>a</script> b</script>") == (HEAD + "<script>a</script> b", "</script>")
