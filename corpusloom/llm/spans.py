@@ -31,8 +31,8 @@ GRAM = 200
 HOT = 500
 #: Keys that are sent to the texts instead of shuffling the texts.
 SENT = 1_000_000
-#: Rows of a group of copies, or pairs between two, up to which every pair of rows comes out; beyond, each row comes with the other representative.
-EXPAND = 900
+#: None: every pair of rows comes out. A number: pairs within a group of copies, or between two groups, beyond which each row comes with the other representative only.
+EXPAND: int | None = None
 
 # An odd multiplier, so that its powers have inverses modulo 2**64.
 _BASE = 6364136223846793005
@@ -176,26 +176,29 @@ def verified_pairs(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataF
 def shared_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     """(doc_a, doc_b), doc_a < doc_b: rows that share a span of at least ``SPAN`` code points, equal in every one.
 
-    Pairs between different texts all come out. Copies of one text stand for one another: of small groups
-    every pair of rows comes out, within a group and between two; where that would be more than ``EXPAND`` pairs, each row comes
+    Every pair of rows comes out, copies of one text included: a group of copies gives a number of rows quadratic in its size, two
+    groups that share a span the product of their sizes. Only where ``EXPAND`` is set, and that would be more pairs, each row comes
     with the representative (the smallest key) of its own and of the other group. Null and shorter texts have no pair; rows
     with a null key are left out; rows that repeat a key count as one.
     """
     pairs, classes = verified_pairs(df, key, text)
     members = classes.select("key", "rep", "copies").distinct()
-    side = lambda c: members.select(F.col("rep").alias(f"key_{c}"), F.col("key").alias(f"m_{c}"), F.col("copies").alias(f"n_{c}"))
+    side = lambda c: members.select(F.col("rep").alias(f"key_{c}"), F.col("key").alias(f"m_{c}"))
+    each = lambda pairs: pairs.join(side("a"), "key_a", "left").join(side("b"), "key_b", "left").select(F.coalesce("m_a", "key_a").alias("x"), F.coalesce("m_b", "key_b").alias("y"))
+    both = lambda few: few.select("rep", F.col("key").alias("x")).join(few.select("rep", F.col("key").alias("y")), "rep").filter("x < y").select("x", "y")
+    ends = (F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
+    if EXPAND is None:
+        return each(pairs.select("key_a", "key_b")).unionByName(both(members)).select(*ends).filter("doc_a < doc_b").distinct()
     sizes = classes.select("rep", "copies").distinct()
     size = lambda c: sizes.select(F.col("rep").alias(f"key_{c}"), F.col("copies").alias(f"c_{c}"))
     sized = pairs.select("key_a", "key_b").join(size("a"), "key_a", "left").join(size("b"), "key_b", "left")
     sized = sized.withColumn("wide", F.coalesce("c_a", F.lit(1)) * F.coalesce("c_b", F.lit(1)) > EXPAND)
     small, wide = sized.filter("NOT wide"), sized.filter("wide")
-    ab = small.join(side("a"), "key_a", "left").join(side("b"), "key_b", "left").select(F.coalesce("m_a", "key_a").alias("x"), F.coalesce("m_b", "key_b").alias("y"))
     stars = wide.join(side("a"), "key_a", "left").select(F.coalesce("m_a", "key_a").alias("x"), F.col("key_b").alias("y"))
     stars = stars.unionByName(wide.join(side("b"), "key_b", "left").select(F.coalesce("m_b", "key_b").alias("y"), F.col("key_a").alias("x")))
     few = members.filter(F.col("copies") * F.col("copies") <= EXPAND)
-    within = few.select("rep", F.col("key").alias("x")).join(few.select("rep", F.col("key").alias("y")), "rep").filter("x < y").select("x", "y")
     own = members.filter("key <> rep").select(F.col("rep").alias("x"), F.col("key").alias("y"))
-    every = ab.unionByName(stars).unionByName(within).unionByName(own).select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
+    every = each(small.select("key_a", "key_b")).unionByName(stars).unionByName(both(few)).unionByName(own).select(*ends)
     return every.filter("doc_a < doc_b").distinct()
 
 

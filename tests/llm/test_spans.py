@@ -84,3 +84,14 @@ def test_hot_groups(spark, monkeypatch):
     got = {tuple(r) for r in spans.shared_pairs(df, "doc_id", "text").collect()}
     want = {(a, b) for a, b in brute(texts, 300) if not (40 <= a < 100 and 40 <= b < 100) or a == 40}
     assert got == want
+
+
+def test_every_pair_of_copies(spark):
+    rng = random.Random(5)
+    shared = words(rng, 60)
+    one, two = shared + words(rng, 10), words(rng, 10) + shared
+    texts = [one] * 2 + [two] * 470 + [words(rng, 60)] * 33
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = [tuple(r) for r in spans.shared_pairs(df, "doc_id", "text").collect()]
+    kind = [0] * 472 + [1] * 33
+    assert sorted(got) == [(i, j) for i in range(505) for j in range(i + 1, 505) if kind[i] == kind[j]]
