@@ -46,7 +46,7 @@ LATEX_CODE = re.compile(r"\\begin\{(verbatim\*?|lstlisting|minted|Verbatim)\}(?:
 INLINE_CODE = re.compile(r"(?<!`)(`{1,2})(?!`)([^`\n]+?)(?<!`)\1(?!`)")
 
 DISPLAY = re.compile(r"\$\$(?!\s*\$\$)(.+?)\$\$|\\\[(.+?)\\\]|\\\((.+?)\\\)|\\begin\{(equation|align|gather|multline|eqnarray|displaymath|math)(\*?)\}(.+?)\\end\{\4\5\}", re.S)
-INLINE_MATH = re.compile(r"(?<![\\$\w])\$(?![\s$])([^$\n]{1,300}?)(?<![\s\\$])\$(?![\w$])")
+INLINE_MATH = re.compile(r"(?<![\\$\w])\$(?![\s$])([^$\n]+?)(?<![\s\\$])\$(?![\w$])")
 _TEX = re.compile(r"\\[A-Za-z]+|[_^](?:\{|\w)|[=<>≤≥±×+]|^[A-Za-z](?:'|\(\w\))?$")
 MACRO = re.compile(r"(?<![\w:\\/])\\(?:[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{|(?:item|newpage|clearpage|maketitle|tableofcontents|noindent|centering|par|hline|bigskip|medskip|smallskip|appendix|LaTeX|TeX|newline|linebreak|pagebreak|hfill|vfill|ldots|dots|quad|qquad|itshape|bfseries)(?![A-Za-z\\]))")
 COMMENT = re.compile(r"^%(?:%* .*)?$", re.M)

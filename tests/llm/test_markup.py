@@ -44,3 +44,9 @@ def test_frames(spark, rows):
     pages = spark.createDataFrame([(i, "<nav><a href=x>Home</a></nav><article><p>one two three four five six</p></article>") for i in range(5)], "id bigint, html string")
     w = {r["token"]: r["weight"] for r in M.fit_weights(pages, "id", "html").collect()}
     assert w["word"] > 0 > w["a"] and M.fit_weights(pages.limit(0), "id", "html").count() == 0
+
+
+def test_long_formula():
+    formula = "$" + " + ".join(f"x_{{{i}}} y^{{{i}}}" for i in range(40)) + "$"
+    text = f"The sum {formula} converges. Another *one* is *not* shown."
+    assert len(formula) > 300 and M.kinds(f"The sum {formula} converges.") == {"latex"} and formula in M.clean(text)
