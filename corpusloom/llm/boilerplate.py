@@ -1,9 +1,9 @@
 """Problem 5: page boilerplate mixed with main content.
 
-Host suffix array. The token stream of a host's pages is cut at line ends; a line is
-a token sequence whose site name and digits are masked. Sequences repeated across
-distinct pages of the host, or across the pages of several hosts, are its long repeated
-substrings: they are ranked as in ``lines`` and cover the standing furniture. What they leave
+Counts of whole lines stand in for a host suffix array, which is not built. A line is
+a token sequence whose site name and digits are masked. Lines repeated across
+distinct pages of the host, or across the pages of several hosts, cover the standing
+furniture; repeated runs within a line are not sought. What the lines leave
 are unique runs. Long unique runs are main text. Short ones (headings, list items, but also
 paths, bylines, tags and teasers) are told apart by a linear model over their words
 and their neighbours' coverage.
