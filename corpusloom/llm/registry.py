@@ -19,7 +19,7 @@ def _sites(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _residue(spark: SparkSession, d: str) -> DataFrame:
-    return residue.residue_pages(table(spark, d, "expression"), "id", "domain_id", "content", same=_sites(spark, d))
+    return residue.residue_pages(table(spark, d, "expression"), "id", "domain_id", "content", status="http_status", same=_sites(spark, d))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -73,8 +73,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_templates(spark: SparkSession, d: str) -> DataFrame:
     """The message templates with their verdicts."""
-    thin = residue.thin_lines(table(spark, d, "expression"), "id", "domain_id", "content")
-    return residue.templates(thin).groupBy("template", "kind").agg(F.sum("n_lines").alias("n_lines"))
+    return residue.residue_templates(table(spark, d, "expression"), "id", "domain_id", "content", status="http_status", same=_sites(spark, d))
 
 
 def p4_open_slots(spark: SparkSession, d: str) -> DataFrame:

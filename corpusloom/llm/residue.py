@@ -1,34 +1,48 @@
 """Problem 4: template residue, filler and error-page text.
 
-A page goes on to the templates unless one of its sentences is ordinary text beyond
-doubt. The lines of the pages left are mined for message templates with a prefix tree
-of fixed depth: lines are masked (numbers, paths, slots), equal masked lines are
-counted first, and the tree's leaf is named by the number of tokens and the first
-``DEPTH`` of them. Within a leaf, lines that agree in most places share a template,
-whose other places become wildcards. Each template is classified once; its verdict
-goes to all its lines, and the lines of a page decide about the page.
+A page with enough prose goes no further. The lines of the thin pages left are masked
+(numbers, paths, slots) and counted, and a prefix tree of fixed depth mines their
+message templates: a leaf is named by the number of tokens and the first
+``DEPTH`` of them, and within a leaf lines that agree in most places share a
+template, whose other places become wildcards. Each template is classified once, by
+what it is made of (slots, filler), by a model of machine messages learned on seeds
+and on labelled templates (``messages``), by the sites over which the same line
+spreads and by the share of its pages that it fills. The verdict goes to all lines of the
+template, and the lines of a page decide about the page.
 """
 
 from __future__ import annotations
 
 import re
-import unicodedata
+import zlib
 from collections.abc import Iterator
 from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm import messages
+from corpusloom.llm.messages import fold
 from corpusloom.llm.sites import by_site
+from corpusloom.llm.skew import join_counted
 from corpusloom.sources.tables import ensure_checkpoint_dir
 
 #: Leading tokens that name a leaf of the prefix tree, besides the number of tokens.
 DEPTH = 2
 #: Share of places in which a line must agree with a template of its leaf.
 ALIKE = 0.6
-#: A masked sentence on pages of so many sources, none with ordinary text, is a message whatever it says.
+#: Distinct lines of a leaf in one task; a larger leaf is split by a hash of the line.
+LEAF = 5_000
+#: Words of prose with which a page is no thin page.
+PROSE = 80
+#: Sources that must have the same masked sentence before its spread counts.
 SPREAD = 3
+#: One ordinary page of so many lends its lines to the training; of them and of the labelled templates at most ``LABELLED`` each are taken.
+LENT, LABELLED = 64, 800
+#: Lines and share of pages with an error status that label a template as a message.
+LABEL_LINES, LABEL_SHARE = 8, 0.3
 
 # Notations of slots that a template engine should have filled.
 SLOT = re.compile(
@@ -46,124 +60,70 @@ FILLER = frozenset(
 )
 # Words typed to fill a page.
 TYPED = re.compile(r"^(?:x{2,}|y{3,}|z{3,}|(?:asdf|qwer|qwertz?|zxcv|yxcv|jkl|hjkl)\w*|(?:bla|blah|foo|bar|baz|test|text|texte|texto|testo|prova|prueba|teste|essai|todo|tbd|tba|n/a|null|undefined|nan|none|dummy|sample)\d*|\d+)$")
-# Sayings of placeholder pages, folded.
-PLACEHOLDER = re.compile(
-    r"\b(?:sample|example|dummy|placeholder|default) (?:page|text|content|post|title|headline)\b|\breplace (?:it|this) with\b|\b(?:insert|enter|add|your)(?: own)? (?:text|picture|image|title|content|heading|headline|name|here)\b|\bclick (?:here )?to edit\b|\bedit this (?:paragraph|text|page)\b"
-    r"|\blorem ipsum\b|\binvalid date\b|\bobject object\b|\bhello world\b|\bbeispiel(?:seite|text)|\bmustertext|\bplatzhalter|\bblindtext|\btexte? d'exemple|\bpage d'exemple|\bpagina di (?:esempio|prova)"
-    r"|\bpagina de (?:ejemplo|exemplo|muestra|prueba|teste)|\btexto de (?:ejemplo|exemplo|prueba|relleno|teste)|\bcoming soon\b|\bunder construction\b|\b(?:null|undefined) on\b|^(?:untitled|undefined|null|nan)$"
-)
-# Sayings of error pages, script notices and walls in the six languages, folded.
-MESSAGE = re.compile(
-    "|".join(
-        (
-            r"\b(?:error|fehler|erreur|errore|erro) \d+\b|^\s*[45]\d\d\s*$|\b(?:http|status|code|codigo|codice) [45]?\d\d\b",
-            r"\b(?:not|nicht|non|no|nao) (?:be )?(?:found|gefunden|trovat|encontrad|available|verfugbar|disponib|erreichbar)|\bintrouvable\b|\b(?:unavailable|indisponib|indisponivel)|\bsteht (?:zurzeit |derzeit )?nicht\b|\bno (?:se ha|foi)\b.*\bencontrad|\bnao (?:foi )?encontrad",
-            r"\bpage (?:you|was|is|could|does|has)\b.*\b(?:looking|moved|exists?|found|missing)|\b(?:no longer|does not|doesn't|plus|n')\b.*\bexist|\bnon esiste\b|\bno existe\b|\bnao existe\b|\bexistiert nicht|\b(?:deplacee?|supprimee?)\b",
-            r"\bnothing (?:here|found|to see)\b|\bhier ist nichts\b|\brien ici\b|\bno hay nada\b|\bnon c'e (?:niente|nulla)|\bnao ha nada|\bniente qui\b|\bnada aqui\b|\b(?:oops|hoppla|oups|ops|vaya|ups)\b",
-            r"\b(?:go|try|volver|voltar|zuruck|revenez|torna|tornare|retour)\b.*\b(?:start|home|homepage|inicio|startseite|accueil|inizio|search|again)\b",
-            r"\b(?:access|acces|accesso|acceso|acesso|zugriff|zugang)\b.*\b(?:denied|refuse|negato|denegado|negado|verweigert|forbidden|interdit|proibido|vietato|gesperrt)|\bforbidden\b|\bunauthori[sz]ed\b",
-            r"\bpermission to\b|\bfehlt ihnen die berechtigung|\bberechtigung\b|\bdroit d'(?:ouvrir|acceder)|\bpermiso para\b|\bpermesso (?:per|di)\b|\bpermissao para\b|\bnot (?:allowed|authori)",
-            r"^(?:reference|referenz|kennung|referencia|riferimento|vorgang|incident|request id|ray id|ray)\b.{0,24}\d",
-            r"\b(?:internal|interner?|interne|interno|serverfehler|server)\b.*\b(?:error|fehler|erreur|errore|erro)\b|\bserverfehler\b|\bsomething went wrong\b|\bwent wrong\b|\bteam has been (?:told|notified)|\betwas ist schiefgelaufen|\bqualcosa e andato storto|\balgo (?:ha salido|salio|fue|deu|correu) (?:mal|errado)|\bune erreur\b.*\bsurvenue",
-            r"\b(?:bad gateway|gateway time-?out|service unavailable|too many requests|request timed? out|timed out|connection (?:refused|reset|lost))\b|\binvalid (?:answer|response)\b|\bslow down and retry|\bdemasiadas|\bzu viele anfragen|\btrop de requetes|\btroppe richieste|\bmuitos pedidos",
-            r"\b(?:maintenance|mantenimiento|manutencao|manutenzione|wartungsarbeiten|wartung)\b|\b(?:try again|riprova|reessayez|revenir plus tard|intentelo|tente (?:mais|de novo|novamente)|versuchen sie es|mas tarde|mais tarde|piu tardi)\b",
-            r"\b(?:session|sitzung|sesion|sessione|sessao)\b.*\b(?:expired|abgelaufen|expire|expirad|caducad|scadut)|\bsign in again\b|\b(?:log|sign) in to (?:continue|view|read)|\bmelden sie sich\b.*\b(?:an|erneut)|\binicie sesion\b|\breconnectez|\baccedi di nuovo|\binicie (?:a )?sessao",
-            r"\b(?:enable|activate|turn on|allow|requires?|needs?|need to|enabling|activez|activer|activ(?:ar|e)|ativ(?:ar|e)|attiv(?:are|a|ate)|aktivieren|einschalten|erlauben|besoin des?)\b.{0,30}\b(?:javascript|scripts?|skripte|cookies)\b|\b(?:javascript|scripts?|skripte|cookies)\b.{0,40}\b(?:must|mussen|required|enabled to|devono|deben|devem|doivent|aktivieren|einschalten|erforderlich|necessari|erlaubt|richiest|precisa|necess)",
-            r"\b(?:checking|verifying|comprobando|verificando|verificar|verifica(?:tion)?)\b.*\b(?:browser|navegador|navigateur)\b|\bbrowser wird (?:gepruft|uberpruft)|\bverifica(?:tion)? (?:del browser|du navigateur|de votre)|\bmay take (?:up to )?\d+ seconds|\b(?:prend|dauert|tarda(?:ra)?|demora|espere|richiede|impiega)\b.{0,24}\b\d+ (?:secondes|sekunden|segundos|secondi)",
-            r"^loading\b|^(?:chargement|caricamento|cargando|carregando|wird geladen|ladt|a carregar)\b|\bif nothing appears\b|\bbrowser may block\b|\bplease wait\b|\bbitte warten\b|\battend(?:ere|ez)\b",
-            r"\bare you (?:a )?(?:human|robot)\b|\bnot a robot\b|\bcaptcha\b|\btype the (?:letters|characters)|\bsind sie ein mensch|\betes-vous (?:un )?humain|\beres humano|\besta humano|\bsei (?:un )?umano|\b(?:verify|prove) (?:that )?you are\b",
-            r"\b(?:content|page|post|video|article|inhalt|contenu|contenuto|contenido|conteudo|article)\b.*\b(?:removed by|has been removed|entfernt|supprime|rimosso|eliminado|removido|retirad)|\bnot available in your\b|\bin (?:your|ihrer|deiner) (?:region|country|land)\b|\bvotre (?:region|pays)\b|\bsu (?:region|pais)\b|\bdisponib\w* (?:nella tua|en su|na sua|dans votre)",
-            r"\bdomain\b.*\b(?:parked|for sale|expired)|\bthis domain\b|\bdiese domain\b|\bdominio\b.*\b(?:vendita|venta|venda|aparcado|estacionado)|\bcontact the owner\b|\bdomaine\b.*\b(?:vendre|vente)",
-            r"\b(?:fatal error|warning|notice|parse error|exception|traceback|stack trace)\s*:|\bon line \d+|\bfailed to open stream|\b(?:cannot|can't|could not) (?:reach|connect|open|establish|load)\b|\bdivision by zero\b|\bundefined (?:index|variable|offset)|\bdatabase error\b|\bsql syntax\b|\bsegmentation fault\b|\berror establishing\b",
-            r"^\{\"?(?:error|errors|message|status|fault)\"?\s*:|\"(?:error|message|trace|exception)\"\s*:",
-            r"\bsubscribe to (?:continue|read)|\bpaywall\b|\bdisable (?:your )?ad ?block|\byou have reached your (?:limit|quota)|\bunsupported browser\b|\bbrowser is (?:not supported|out of date|outdated)|\bupgrade your browser",
-        )
-    )
-)
-_MARK = re.compile("[\u0300-\u036f]+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-_SENTENCE = re.compile(r"(?<=[.!?…:;])\s+")
-_QUOTE = re.compile(r"[«»„“”\"]")
 _SIGNS = re.compile(r"[{}\[\]<>$%*_@#]")
 _MENU = re.compile(r"[|·•/›»>–]")
 _FOOTER = re.compile(r"©|\(c\)|copyright", re.I)
 
 
-def fold(text: str) -> str:
-    """Lower case without accents, typographic apostrophes or more than single spaces."""
-    text = text.lower()
-    if not text.isascii():
-        text = _MARK.sub("", unicodedata.normalize("NFKD", text.replace("ß", "ss").replace("’", "'")))
-    return " ".join(text.split())
-
-
-def sentence_kind(sentence: str) -> str:
-    """slot, filler, message, text, or none (too short to tell).
-
-    An ordinary sentence may name a slot or quote a message: what counts is how much of it they are.
-    """
-    slots = len(SLOT.findall(sentence)) if any(c in sentence for c in "{[<$%*_@#") else 0
-    rest = SLOT.sub(" ", sentence) if slots else sentence
-    folded = fold(rest)
+def made_of(line: str) -> str | None:
+    """slot, filler or none for lines that are known by what they are made of; null for others."""
+    slots = len(SLOT.findall(line)) if any(c in line for c in "{[<$%*_@#") else 0
+    folded = fold(SLOT.sub(" ", line) if slots else line)
     words = _WORD.findall(folded)
     n = len(words)
     if slots and (n <= 3 * slots or slots / (slots + n) >= 0.2):
         return "slot"
-    tokens = folded.strip(" .,:;!?…").split()
+    if len(line) < 120 and _FOOTER.search(line):
+        return "none"
+    if not slots and len(_MENU.findall(line)) >= 3:
+        return "none"
     if n and sum(w in FILLER for w in words) >= 0.6 * n and (n >= 3 or folded.startswith("lorem")):
         return "filler"
+    tokens = folded.strip(" .,:;!?…").split()
     if tokens and all(TYPED.match(t.strip(".,:;!?")) for t in tokens) and any(not t.isdigit() for t in tokens):
         return "filler"
-    if n <= 14 and PLACEHOLDER.search(folded):
-        return "filler"
-    if n <= 22 and (m := MESSAGE.search(folded)):
-        quoted = n > 9 and _QUOTE.search(sentence)
-        if not quoted:
-            return "message"
-    return "text" if n >= 6 else "none"
+    return None
+
 
+def line_kind(line: str, weights: np.ndarray | None = None, n_sources: int = 1, fill: float = 0.5) -> str:
+    """slot, filler, message, text, or none (menus, footers, and what is too short to tell).
 
-def line_kind(line: str) -> str:
-    """Kind of a line: ``text`` if any of its sentences is; menus and footers are ``none``."""
+    ``n_sources`` have the line, which fills the share ``fill`` of its pages. Without ``weights`` the seeds alone decide.
+    """
     line = line.strip()
     if not line:
         return "none"
-    if SLOT.search(line) and sentence_kind(line) == "slot":
-        return "slot"
-    if len(line) < 120 and _FOOTER.search(line):
-        return "none"
-    if len(_MENU.findall(line)) >= 3 and not SLOT.search(line):
-        return "none"
-    whole = sentence_kind(line)
-    if whole in ("filler", "message") and len(_WORD.findall(line)) <= 14:
-        return whole
-    kinds = [sentence_kind(s) for s in _SENTENCE.split(line) if s]
-    if "text" in kinds:
-        return "text"
-    for kind in ("slot", "filler", "message"):
-        if kind in kinds:
-            return kind
-    return "text" if whole == "text" else "none"
-
-
-def ordinary(content: str) -> bool:
-    """Whether a sentence is ordinary text beyond doubt: a long one that is nothing else.
-
-    The longest sentences come first; no message is as long as most of them.
-    """
-    short = []
+    kind = made_of(line)
+    if kind:
+        return kind
+    if line.isdigit():
+        return "message" if len(line) == 3 and line[0] in "45" else "none"
+    n = len(_WORD.findall(line))
+    odds = messages.score(messages.seed_weights() if weights is None else weights, mask(line))
+    if n >= 6 and n_sources >= SPREAD:
+        odds += 2.0
+    if n >= 6:
+        odds += fill - 0.5
+    # a long line is seldom a message, and a very short one says little
+    if odds > (1.0 if n < 6 else 0.5 if n <= 22 else 3.0):
+        return "message"
+    return "text" if n >= 6 else "none"
+
+
+def thin(content: str) -> bool:
+    """Whether a page has less than ``PROSE`` words in lines of prose."""
+    have = 0
     for line in content.split("\n"):
-        if len(line) < 60 or len(_MENU.findall(line)) >= 3:
+        n = line.count(" ") + 1
+        if n < 10 or _SIGNS.search(line) or len(_MENU.findall(line)) >= 3:
+            continue
+        if sum([w in FILLER for w in line[:300].lower().split()]) >= 0.4 * min(n, 45):
             continue
-        for s in _SENTENCE.split(line):
-            n = s.count(" ")
-            if n >= 23 and not _SIGNS.search(s):
-                if sum([w in FILLER for w in s.lower().split()]) < 0.4 * n:
-                    return True
-            elif n >= 10:
-                short.append((n, s))
-    short.sort(key=lambda x: -x[0])
-    return any(len(_WORD.findall(s)) >= 11 and sentence_kind(s) == "text" for _, s in short)
+        have += n
+        if have >= PROSE:
+            return False
+    return True
 
 
 _NUMBER = re.compile(r"\d+")
@@ -183,98 +143,161 @@ def unmasked(masked: str) -> str:
     return masked.replace("<slot>", "{{slot}}").replace("<n>", "17").replace("<path>", "/path")
 
 
-def mine(masked: list[str], depth: int = DEPTH, alike: float = ALIKE) -> list[str]:
-    """The template of each masked line of one leaf, by greedy agreement with the templates so far."""
+def mine(masked: list[str], alike: float = ALIKE) -> list[str]:
+    """The template of each masked line of one leaf: the first one so far that agrees in the most places, and in enough.
+
+    Templates are found by their tokens: a line that agrees in enough of its places agrees in one of
+    any ``places - enough + 1`` of them, so only the templates under its rarest tokens are compared.
+    """
     templates: list[list[str]] = []
+    under: dict[tuple[int, int, str], list[int]] = {}
     member: list[int] = []
     for line in masked:
         tokens = line.split()
-        best, score = -1, alike
-        for i, t in enumerate(templates):
-            if len(t) == len(tokens):
-                same = sum(a == b for a, b in zip(t, tokens)) / max(1, len(tokens))
-                if same >= score and (same > score or best < 0):
-                    best, score = i, same
+        n = len(tokens)
+        enough = max(1, -(-int(alike * n * 1000) // 1000))
+        keys = sorted((under.get((n, i, t), ()) for i, t in enumerate(tokens)), key=len)
+        best, most = -1, 0
+        for i in sorted({i for places in keys[: n - enough + 1] for i in places}):
+            same = sum([a == b for a, b in zip(templates[i], tokens)])
+            if same >= enough and same > most:
+                best, most = i, same
         if best < 0:
+            best = len(templates)
             templates.append(tokens)
-            member.append(len(templates) - 1)
-        else:
-            templates[best] = [a if a == b else "<*>" for a, b in zip(templates[best], tokens)]
-            member.append(best)
+            for i, t in enumerate(tokens):
+                under.setdefault((n, i, t), []).append(best)
+        elif most < n:
+            old = templates[best]
+            for i, (a, b) in enumerate(zip(old, tokens)):
+                if a != b and a != "<*>":
+                    under[n, i, a].remove(best)
+            templates[best] = [a if a == b else "<*>" for a, b in zip(old, tokens)]
+        member.append(best)
     return [" ".join(templates[i]) for i in member]
 
 
-def thin_lines(df: DataFrame, doc: str, source: str, content: str) -> DataFrame:
-    """(doc, source, line_no, masked) of the lines of pages without text that is ordinary beyond doubt; pages with blank content have none."""
+def page_lines(df: DataFrame, doc: str, source: str, content: str, failed: Column | None = None) -> DataFrame:
+    """(doc, source, failed, thin, line_no, masked, fill) of the lines of thin pages, and of one ordinary page in ``LENT``.
+
+    ``fill`` is the share of the page's words that the line has; pages with null or blank content have no line.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, nos, masks = [], [], []
-            for i, text in enumerate(batch.column(2).to_pylist()):
-                if text and not text.isspace() and not ordinary(text):
-                    for no, line in enumerate(text.split("\n"), 1):
-                        if line.strip():
-                            at.append(i)
-                            nos.append(no)
-                            masks.append(mask(line))
+            at, thins, nos, masks, fills = [], [], [], [], []
+            for i, text in enumerate(batch.column(3).to_pylist()):
+                if not text or text.isspace():
+                    continue
+                poor = thin(text)
+                if poor or zlib.crc32(text.encode("utf-8", "replace")) % LENT == 0:
+                    lines = [(no, mask(line)) for no, line in enumerate(text.split("\n"), 1) if line.strip()]
+                    words = sum([line.count(" ") + 1 for _, line in lines])
+                    for no, line in lines:
+                        at.append(i)
+                        thins.append(poor)
+                        nos.append(no)
+                        masks.append(line)
+                        fills.append((line.count(" ") + 1) / words)
             take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(nos, pa.int64()), pa.array(masks, pa.string())], names=["doc", "source", "line_no", "masked"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in range(3)), pa.array(thins, pa.bool_()), pa.array(nos, pa.int64()), pa.array(masks, pa.string()), pa.array(fills, pa.float64())], names=["doc", "source", "failed", "thin", "line_no", "masked", "fill"])
 
     kinds = [df.schema[c].dataType.simpleString() for c in (doc, source)]
-    rows = df.select(F.col(f"`{doc}`").alias("doc"), F.col(f"`{source}`").alias("source"), F.col(f"`{content}`").alias("content")).filter("doc IS NOT NULL AND content IS NOT NULL")
-    return rows.mapInArrow(run, f"doc {kinds[0]}, source {kinds[1]}, line_no bigint, masked string")
+    rows = df.select(F.col(f"`{doc}`").alias("doc"), F.col(f"`{source}`").alias("source"), F.coalesce(F.lit(False) if failed is None else failed, F.lit(False)).alias("failed"), F.col(f"`{content}`").alias("content"))
+    return rows.filter("doc IS NOT NULL AND content IS NOT NULL").mapInArrow(run, f"doc {kinds[0]}, source {kinds[1]}, failed boolean, thin boolean, line_no bigint, masked string, fill double")
 
 
-def templates(lines: DataFrame) -> DataFrame:
-    """(masked, template, kind, n_lines, n_sources): the templates of masked lines, each classified once.
+def mined_lines(lines: DataFrame) -> DataFrame:
+    """(masked, template, n_lines, n_sources, failed, fill): each distinct masked line of thin pages with the template it belongs to.
 
-    Equal masked lines are counted before they reach a leaf, so a frequent message is one
-    row there, and a leaf holds distinct lines only.
+    Equal lines are counted before they reach a leaf, so a frequent message is one row there. A leaf of more
+    than ``LEAF`` distinct lines is mined in as many parts; parts that mine the same template share it.
     """
-    counted = lines.select("masked", "source").groupBy("masked", "source").agg(F.count(F.lit(1)).alias("n")).groupBy("masked").agg(F.sum("n").alias("n_lines"), F.count(F.lit(1)).alias("n_sources"))
+    counted = lines.groupBy("masked", "source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("failed").cast("long")).alias("failed"), F.sum("fill").alias("fill"))
+    counted = counted.groupBy("masked").agg(F.sum("n").alias("n_lines"), F.count(F.lit(1)).alias("n_sources"), F.sum("failed").alias("failed"), F.sum("fill").alias("fill"))
     tokens = F.split("masked", " ")
     counted = counted.withColumn("leaf", F.concat_ws(" ", F.size(tokens).cast("string"), F.slice(tokens, 1, DEPTH)))
-
-    def mined(rows: list[dict]) -> Iterator[tuple]:
-        """Templates of one leaf, its most frequent lines first."""
-        kinds: dict[str, str] = {}
-        for row, template in zip(rows, mine([r["masked"] for r in rows])):
-            if template not in kinds:
-                kinds[template] = line_kind(unmasked(row["masked"]))  # the most frequent line of a template speaks for it
-            yield row["masked"], template, kinds[template], row["n_lines"], row["n_sources"]
+    # at most one leaf for every LEAF lines is large
+    large = counted.groupBy("leaf").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > LEAF)
+    parted = counted.join(F.broadcast(large), "leaf", "left").withColumn("part", F.pmod(F.xxhash64("masked"), F.coalesce(F.ceil(F.col("size") / LEAF), F.lit(1))).cast("int"))
+    names = ["masked", "template", "n_lines", "n_sources", "failed", "fill"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["masked", "template", "kind", "n_lines", "n_sources"]
         # leaves are many and small: they are told apart by the order of the rows, not handed over one by one
         rows = (r for batch in batches for r in batch.to_pylist())
         out: list[tuple] = []
-        for _, leaf in groupby(rows, key=lambda r: r["leaf"]):
-            out.extend(mined(list(leaf)))
+        for _, leaf in groupby(rows, key=lambda r: (r["leaf"], r["part"])):
+            found = list(leaf)
+            out.extend((r["masked"], t, r["n_lines"], r["n_sources"], r["failed"], r["fill"]) for r, t in zip(found, mine([r["masked"] for r in found])))
             if len(out) > 5000:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=names)
                 out = []
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=names)
 
-    ordered = counted.repartition("leaf").sortWithinPartitions("leaf", F.col("n_lines").desc(), "masked").select("leaf", "masked", "n_lines", "n_sources")
-    return ordered.mapInArrow(run, "masked string, template string, kind string, n_lines bigint, n_sources bigint")
+    ordered = parted.repartition("leaf", "part").sortWithinPartitions("leaf", "part", F.col("n_lines").desc(), "masked").select("leaf", "part", *[c for c in names if c != "template"])
+    return ordered.mapInArrow(run, "masked string, template string, n_lines bigint, n_sources bigint, failed bigint, fill double")
 
 
-def residue_pages(df: DataFrame, doc: str, source: str, content: str, *, same: DataFrame | None = None) -> DataFrame:
-    """(doc): pages whose text is only template residue, filler, error messages or script notices, with or without menu and footer.
+def fit(lines: DataFrame, grouped: DataFrame) -> np.ndarray:
+    """Weights from the seeds, from templates whose pages often have an error status, and from lines of ordinary pages; at most ``LABELLED`` of either reach the driver."""
+    ordinary = lines.filter("NOT thin").select("masked").distinct()
+    failing = grouped.filter((F.col("n_lines") >= LABEL_LINES) & (F.col("failed") >= LABEL_SHARE * F.col("n_lines")) & (F.col("n_sources") >= SPREAD))
+    failing = failing.join(ordinary, "masked", "left_anti").orderBy(F.col("n_lines").desc(), "masked").limit(LABELLED).select("masked", F.lit(1).alias("y"))
+    labelled = failing.unionByName(ordinary.orderBy(F.xxhash64("masked"), "masked").limit(LABELLED).select("masked", F.lit(0).alias("y")))
+    found = sorted((r["masked"], r["y"]) for r in labelled.collect() if made_of(unmasked(r["masked"])) is None)
+    return messages.train(messages.seed_examples() + found) if found else messages.seed_weights()
 
-    Null, empty and blank contents are no pages of this kind. Rows that repeat a page are
-    judged each on its own. ``same`` (source, site) names sources that are one.
+
+def templates(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(template, kind, n_lines, n_sources) of each template, classified once, and (masked, template) of their lines.
+
+    The most frequent line of a template speaks for it; its spread is that of its most spread line.
     """
+    mined = mined_lines(lines.filter("thin")).checkpoint()
+    grouped = mined.groupBy("template").agg(
+        F.max_by("masked", F.struct("n_lines", "masked")).alias("masked"), F.sum("n_lines").alias("n_lines"), F.max("n_sources").alias("n_sources"), F.sum("failed").alias("failed"), F.sum("fill").alias("fill")
+    )
+    sent = lines.sparkSession.sparkContext.broadcast(fit(lines, grouped))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds = [line_kind(unmasked(m), sent.value, s, f) for m, s, f in zip(*(batch.column(i).to_pylist() for i in (3, 2, 4)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kinds, pa.string()), batch.column(1), batch.column(2)], names=["template", "kind", "n_lines", "n_sources"])
+
+    rows = grouped.select("template", "n_lines", "n_sources", "masked", (F.col("fill") / F.col("n_lines")).alias("fill"))
+    return rows.mapInArrow(run, "template string, kind string, n_lines bigint, n_sources bigint"), mined
+
+
+def failed_status(status: Column) -> Column:
+    """Whether a status is an error: 400 or more, or no number at all."""
+    code = status.cast("string").try_cast("int")
+    return F.when(status.isNotNull(), F.coalesce((code >= 400) | (code < 100), F.lit(True)))
+
+
+def _written_lines(df: DataFrame, doc: str, source: str, content: str, status: str | None, same: DataFrame | None) -> DataFrame:
     # the texts are read once: what goes on, the few lines of thin pages, is written and read again for the verdicts
     ensure_checkpoint_dir(df.sparkSession)
-    lines = by_site(thin_lines(df, doc, source, content), "source", same).checkpoint()
-    verdicts = templates(lines).select(F.col("masked").alias("masked2"), "kind", "n_sources")
-    judged = lines.join(verdicts, F.col("masked") == F.col("masked2"))
-    words = F.size(F.split("masked", " "))
-    spread = (F.col("n_sources") >= SPREAD) & (words >= 4) & (F.col("kind") == "text")
-    kind = F.when(spread, F.lit("message")).otherwise(F.col("kind"))
-    per = judged.groupBy("doc").agg(F.max(kind.isin("slot", "filler", "message")).alias("junk"), F.max(kind == "text").alias("text"))
+    return by_site(page_lines(df, doc, source, content, None if status is None else failed_status(F.col(f"`{status}`"))), "source", same).checkpoint()
+
+
+def residue_templates(df: DataFrame, doc: str, source: str, content: str, *, status: str | None = None, same: DataFrame | None = None) -> DataFrame:
+    """(template, kind, n_lines, n_sources): the templates mined from thin pages with their verdicts."""
+    return templates(_written_lines(df, doc, source, content, status, same))[0]
+
+
+def residue_pages(df: DataFrame, doc: str, source: str, content: str, *, status: str | None = None, same: DataFrame | None = None) -> DataFrame:
+    """(doc): pages whose text is only template residue, filler, error messages or script notices, with or without menu and footer.
+
+    Null, empty and blank contents are no pages of this kind. Rows that repeat a page are
+    judged each on its own. ``status`` names the column of the status of a fetch, which labels templates but decides about
+    no page; ``same`` (source, site) names sources that are one.
+    """
+    lines = _written_lines(df, doc, source, content, status, same)
+    classified, mined = templates(lines)
+    verdicts = mined.select("masked", "template", "n_lines").join(classified.select("template", "kind"), "template").select("masked", "kind", "n_lines").checkpoint()
+    judged = join_counted(lines.filter("thin").select("doc", "masked"), verdicts, ["masked"], "n_lines")
+    per = judged.groupBy("doc").agg(F.max(F.col("kind").isin("slot", "filler", "message")).alias("junk"), F.max(F.col("kind") == "text").alias("text"))
     return per.filter("junk AND NOT text").select("doc")
 
 

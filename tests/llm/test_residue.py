@@ -42,3 +42,43 @@ def test_a_message_of_unknown_words_is_known_by_its_spread(spark):
     rows = [(i, i, "Zork glim frob nah wibble quux.") for i in range(4)]
     df = spark.createDataFrame(rows, "id bigint, site bigint, content string")
     assert R.residue_pages(df, "id", "site", "content").count() == 4
+
+
+HELD_OUT = [
+    "Whoops, this address leads nowhere. Perhaps an old bookmark brought you?", "Sorry! We looked everywhere but there is no such story in our archive.", "Your request could not be processed at this moment. Come back in a while.", "Unter dieser Anschrift haben wir leider nichts gefunden, was Sie suchen.",
+    "Niestety nie znaleziono strony, której szukasz.", "De pagina die u zoekt kon niet worden gevonden.", "You lack the permission that this folder asks for.", "Our servers hit an unexpected problem while opening the page.",
+    "Scripts seem to be switched off in your browser; switch them on to go on.", "Cette adresse ne mène à aucune page, essayez la recherche.", "Su navegador no permite scripts, actívelos para ver la página.", "La pagina che cercava non esiste più sul server.", "A página que procura já não existe neste servidor.",
+]
+REAL = ["The village choir sang in the old mill until midnight.", "Die Imker zählten im Mai mehr Bienen als im Vorjahr.", "Les pêcheurs du port ont vendu leur récolte avant midi.", "Los agricultores compararon el precio del trigo.", "Gli studenti hanno dipinto le pareti della biblioteca.", "De bewoners van het dorp planten bomen langs de rivier."]
+
+
+def test_held_out_wordings_on_pages_of_their_own(spark):
+    df = spark.createDataFrame([(i, i, line) for i, line in enumerate(HELD_OUT + REAL)], "id bigint, site bigint, content string")
+    found = {r[0] for r in R.residue_pages(df, "id", "site", "content").collect()}
+    assert found == set(range(len(HELD_OUT)))
+
+
+def test_statuses_teach_wordings_but_judge_no_page(spark):
+    new = [(i, i % 5, f"Glurp {i} frob wobblers zonked quibber", "503") for i in range(40)]
+    rows = [*new, (100, 7, "Glurp 7 frob wobblers zonked quibber", "200"), (101, 7, "The village choir sang in the old mill until midnight.", "404"), (102, 7, "x", None), (103, 7, "y", "ERR")]
+    df = spark.createDataFrame(rows, "id bigint, site bigint, content string, status string")
+    found = {r[0] for r in R.residue_pages(df, "id", "site", "content", status="status").collect()}
+    assert found == {*range(40), 100}
+    assert {r["kind"] for r in R.residue_templates(df, "id", "site", "content", status="status").collect()} == {"message", "text", "none"}
+
+
+def test_a_leaf_of_unlike_lines():
+    from time import monotonic
+
+    start = monotonic()
+    lines = [f"same start w{i} x{i * 7 % 100_003} y{i % 1000} z{i}" for i in range(100_000)]
+    assert len(set(R.mine(lines))) == 100_000 and monotonic() - start < 60
+    assert R.mine(["a b c d 1", "a b c d 2", "q r s t u"])[1] == "a b c d <*>"
+
+
+def test_a_large_leaf_is_split(spark, monkeypatch):
+    monkeypatch.setattr(R, "LEAF", 10)
+    rows = [(i, i % 3, f"Access to file f{chr(97 + i % 26)}{chr(97 + i // 26)} was denied") for i in range(200)]
+    df = spark.createDataFrame(rows, "id bigint, site bigint, content string")
+    assert R.residue_pages(df, "id", "site", "content").count() == 200
+    assert R.residue_templates(df, "id", "site", "content").select("template").collect() == [("Access to file <*> was denied",)]
