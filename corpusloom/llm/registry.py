@@ -117,8 +117,8 @@ def p7_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_limits(spark: SparkSession, d: str) -> DataFrame:
-    """The lengths tested, with hazards and significance."""
-    return truncation.length_hazards(truncation.endings(table(spark, d, "expression"), "id", "domain_id", "html"))
+    """The lengths tested, with hazards and significance; a site has the smallest of its domain ids."""
+    return truncation.limits(table(spark, d, "expression"), "id", "domain_id", "html", same=_sites(spark, d))
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:

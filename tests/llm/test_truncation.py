@@ -61,3 +61,29 @@ def test_set_aside_is_one_element():
     for core in (HEAD + "<!-- a --> b --> c -->", HEAD + "</p> a > b >"):
         assert T.set_aside(core) == (core, "")
     assert T.set_aside(HEAD + "<script>a</script> b</script>") == (HEAD + "<script>a</script> b", "</script>")
+
+
+def test_added_tails_do_not_move_the_place_of_the_cut():
+    for added in ("", "</p></div></body></html>", "<script>" + "load('x');" * 50_000 + "</script>", "<!-- " + "x" * 500_000 + " -->", " [truncated]"):
+        kind, chars, octets = T.read_ending(HEAD + "Ein Wort fällt" + added)
+        assert kind in ("text", "mark") and chars == len(HEAD) + 14 and octets == chars + 1
+
+
+def test_a_limit_decides_where_the_ending_leaves_a_doubt(spark):
+    """Records cut at 500 code points behind a heading's word, whose tags were closed again: only their number at one length tells."""
+    page = lambda i, n: ("<div><h2>" + f"A{i} heading " * 60)[:n] + "</h2></div></body></html>"
+    data = [(i, i % 4, page(i, 300 + 7 * i)) for i in range(60)] + [(1000 + i, i % 4, page(i, 500)) for i in range(30)] + [(2000 + i, 9, page(i, 611)) for i in range(20)]
+    df = spark.createDataFrame(data, "id bigint, site bigint, html string")
+    got = {r["doc"]: r for r in T.truncated(df, "id", "site", "html").collect()}
+    late = [i for i in got if i >= 1000 and got[i]["ending"] == "doubt"]
+    assert len(late) > 40 and all(got[i]["cut"] for i in late) and not any(got[i]["cut"] for i in range(60) if 300 + 7 * i not in (500, 611))
+    rates = {r["source"]: r for r in T.truncation_rates(df, "id", "site", "html").collect()}
+    assert rates[9]["n_by_limit"] >= 18
+
+
+def test_blocks_do_not_change_the_hazards(spark, monkeypatch, rows):
+    data = [(i, i % 3, "<p>" + "word " * (i % 70) + "x" * (i % 7)) for i in range(600)] + [(1000 + i, 1, ("<p>" + f"w{i} long words " * 40)[:256]) for i in range(30)]
+    ends = T.endings(spark.createDataFrame(data, "id bigint, site bigint, html string"), "id", "site", "html").checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else T.endings(spark.createDataFrame(data, "id bigint, site bigint, html string"), "id", "site", "html")
+    once = rows(T.length_hazards(ends))
+    monkeypatch.setattr(T, "BLOCK", 64)
+    assert rows(T.length_hazards(ends)) == once and len(once) > 50
