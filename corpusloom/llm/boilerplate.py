@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.lines import normal_text
+from corpusloom.llm.tokenstream import Stream, chunks, mixed
 from corpusloom.llm.sites import by_site
 from corpusloom.sources.tables import ensure_checkpoint_dir
 
