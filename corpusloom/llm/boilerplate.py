@@ -1,12 +1,15 @@
 """Problem 5: page boilerplate mixed with main content.
 
-Counts of whole lines stand in for a host suffix array, which is not built. A line is
-a token sequence whose site name and digits are masked. Lines repeated across
-distinct pages of the host, or across the pages of several hosts, cover the standing
-furniture; repeated runs within a line are not sought. What the lines leave
-are unique runs. Long unique runs are main text. Short ones (headings, list items, but also
-paths, bylines, tags and teasers) are told apart by a linear model over their words
-and their neighbours' coverage.
+A host's pages are concatenated token streams, whose site name and digits are masked. The
+streams' repeated substrings are found without sorting every suffix: a sparse suffix array
+keeps the suffixes at line starts, up to the line's end, and those at anchors that the text itself
+chooses (the least of ``WINDOW`` neighbouring hashes of ``SPAN`` tokens), so that equal stretches of ``SPAN + WINDOW`` tokens
+share an anchor wherever they start. A suffix is ranked by the hash of its first tokens, and
+equal ranks on distinct pages of the host, or of several hosts, are repeated substrings. Lines that these
+cover are the standing furniture; a long line that varies in a word or two is covered by
+the spans on either side. What is left are unique runs. Long unique runs are main text. Short
+ones (headings, list items, but also paths, bylines, tags and teasers) are told apart by a
+linear model over their words and their neighbours' coverage.
 
 The model learns from a bounded sample of labelled pages: pages stored with their
 elements, in which the elements tell body from furniture. No page needs elements when
@@ -25,8 +28,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.tokenstream import Stream, chunks, mixed
 from corpusloom.llm.sites import by_site
+from corpusloom.llm.skew import join_counted
+from corpusloom.llm.spans import window_minima
+from corpusloom.llm.tokenstream import Stream, chunks, mixed
 from corpusloom.sources.tables import ensure_checkpoint_dir
 
 #: Labelled pages for training, about.
@@ -35,8 +40,12 @@ SAMPLE = 1500
 HOST_PAGES, HOST_SHARE = 3, 0.004
 #: Hosts that must repeat a line, and pages on average on each.
 HOSTS, PAGES_PER_HOST = 3, 3
-#: Words of a line that is a run of its own.
+#: Words of a line that is a run of its own; repeated on ``HOST_PAGES`` pages it is furniture, however large the host.
 LONG = 14
+#: Tokens of a span that may start anywhere in a line, hashes among which its anchor is the least, and the share of a line that repeated spans must cover.
+SPAN, WINDOW, COVERED = 12, 16, 0.8
+#: Repeated substrings that are sent to the pages, if counted to be no more (32 MB); more meet them in a shuffle.
+SENT = 1_000_000
 FEATURES = 1 << 16
 
 
@@ -46,35 +55,93 @@ def site_name(url: Column) -> Column:
     return F.when(F.length(host) >= 4, host).otherwise("")
 
 
-def masked_lines(df: DataFrame, doc: str, host: str, url: str, content: str) -> DataFrame:
-    """(doc, host, page, line_no, h) of every line that is not blank: ``page`` identifies the address, so stored copies count once."""
-    site = site_name(F.col(f"`{url}`"))
-    text = normal_text(F.col(f"`{content}`"))
-    text = F.when(site == "", text).otherwise(F.replace(text, site, F.lit("§")))
-    rows = df.select(F.col(f"`{doc}`").alias("doc"), F.col(f"`{host}`").alias("host"), F.coalesce(F.xxhash64(f"`{url}`"), F.lit(0)).alias("page"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    rows = rows.withColumn("line", F.trim("line")).filter("line <> ''")
-    return rows.select("doc", "host", "page", (F.col("pos") + 1).cast("int").alias("line_no"), F.xxhash64("line").alias("h"))
+def streams(df: DataFrame, doc: str, host: str, url: str, content: str, same: DataFrame | None = None) -> DataFrame:
+    """(doc, host, page, suffixes) of every page with a line that is not blank.
 
+    ``page`` identifies the address, so stored copies count once. A suffix is (line_no, at, size, h): a
+    whole line has ``at`` -1, a span the token of its line at which it starts; ``size`` is the line's number of tokens.
+    """
 
-def repeated_runs(lines: DataFrame, addresses: DataFrame) -> DataFrame:
-    """(host, h, share, hosts): the sequences repeated across a host's pages or across hosts.
-
-    ``addresses`` are the (host, page) of the pages that have a line. ``share`` is the part of the host's pages that hold it, ``hosts`` the number of hosts that repeat it.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sites = batch.column(3).to_pylist()
+            for rows, texts in chunks(batch.column(4).to_pylist()):
+                texts = [t.casefold() for t in texts]
+                s = Stream([t.replace(sites[i], "§") if sites[i] else t for i, t in zip(rows, texts)])
+                start, end, line = s.tokens()
+                first = np.searchsorted(line, np.arange(len(s.page) + 1))
+                sizes = np.diff(first)
+                n = len(start)
+                at, keep = np.zeros(0, np.int64), np.zeros(0, np.int64)
+                if n >= SPAN + WINDOW:
+                    last = np.minimum(np.arange(n) + SPAN - 1, n - 1)
+                    within = line[last] == line
+                    within[n - SPAN + 1 :] = False
+                    g = s.hashes(start, end[last]).view(np.uint64)
+                    g[~within] = np.iinfo(np.uint64).max
+                    least = window_minima(g, WINDOW)
+                    # a hash is an anchor if it is the least of a window it stands in
+                    most = ~window_minima(np.concatenate([np.full(WINDOW - 1, np.iinfo(np.uint64).max, np.uint64), ~least, np.full(WINDOW - 1, np.iinfo(np.uint64).max, np.uint64)]), WINDOW)
+                    keep = np.flatnonzero(within & (most == g))
+                    at = keep - first[line[keep]]
+                lines = np.concatenate([np.arange(len(s.page)), line[keep]])
+                order = np.argsort(lines, kind="stable")
+                lines = lines[order]
+                h = np.concatenate([s.line_hashes(), mixed(s.hashes(start[keep], end[np.minimum(keep + SPAN - 1, max(0, n - 1))]).view(np.uint64)).view(np.int64)])[order]
+                at = np.concatenate([np.full(len(s.page), -1), at])[order]
+                bounds = np.searchsorted(s.page[lines], np.arange(len(rows) + 1))
+                some = np.flatnonzero(np.diff(bounds))
+                made = pa.StructArray.from_arrays([pa.array(s.number[lines], pa.int32()), pa.array(at, pa.int32()), pa.array(sizes[lines], pa.int32()), pa.array(h)], names=["line_no", "at", "size", "h"])
+                take = pa.array(np.array(rows)[some], pa.int64())
+                lists = pa.ListArray.from_arrays(pa.array(np.append(bounds[some], len(lines)), pa.int32()), made)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in range(3)), lists], names=["doc", "host", "page", "suffixes"])
+
+    kinds = [df.schema[c].dataType.simpleString() for c in (doc, host)]
+    rows = df.select(F.col(f"`{doc}`").alias("doc"), F.col(f"`{host}`").alias("host"), F.coalesce(F.xxhash64(f"`{url}`"), F.lit(0)).alias("page"), site_name(F.col(f"`{url}`")).alias("site"), F.col(f"`{content}`").alias("content"))
+    found = rows.filter("doc IS NOT NULL AND content RLIKE '\\\\S'").mapInArrow(run, f"doc {kinds[0]}, host {kinds[1]}, page bigint, suffixes array<struct<line_no: int, at: int, size: int, h: bigint>>")
+    return by_site(found, "host", same)
+
+
+def repeated_runs(pages: DataFrame) -> DataFrame:
+    """(host, h, share, hosts, n): the suffixes repeated across a host's pages or across hosts.
+
+    ``share`` is the part of the host's pages that hold it, ``hosts`` the number of hosts that repeat it, ``n`` the pages. Short lines and
+    spans must stand on ``HOST_SHARE`` of the host's pages, since on a large host some repeat by chance; long lines do not. A page
+    stored several times counts once, as its row of the smallest ``doc``.
     """
-    seen = lines.select("host", "h", "page").distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("n"))
-    sizes = addresses.distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages")).withColumnRenamed("host", "host2")
-    wide = seen.groupBy("h").agg(F.count(F.lit(1)).alias("hosts"), F.sum("n").alias("all_n")).filter((F.col("hosts") >= HOSTS) & (F.col("all_n") >= PAGES_PER_HOST * F.col("hosts"))).select(F.col("h").alias("h2"), "hosts")
-    both = seen.join(wide, F.col("h") == F.col("h2"), "left").filter((F.col("n") >= HOST_PAGES) | F.col("hosts").isNotNull())
+    ids = pages.groupBy("host", "page").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("rows"), F.count_distinct("doc").alias("docs")).checkpoint()
+    once = pages.join(ids.select("doc").distinct(), "doc", "left_semi")
+    if not ids.filter("rows > docs").isEmpty():  # rows that repeat a document
+        once = once.dropDuplicates(["doc"])
+    per_page = once.select("host", F.explode(F.array_distinct(F.transform("suffixes", lambda s: F.struct(s["h"].alias("h"), F.when(s["at"] >= 0, 2).when(s["size"] >= LONG, 1).otherwise(0).alias("kind"))))).alias("s"))
+    seen = per_page.groupBy("host", F.col("s.h").alias("h"), F.col("s.kind").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = ids.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).withColumnRenamed("host", "host2")
+    lines = seen.filter("kind < 2")
+    wide = lines.groupBy("h").agg(F.count(F.lit(1)).alias("hosts"), F.sum("n").alias("all_n")).filter((F.col("hosts") >= HOSTS) & (F.col("all_n") >= PAGES_PER_HOST * F.col("hosts"))).select(F.col("h").alias("h2"), "hosts")
+    both = seen.join(wide, (F.col("h") == F.col("h2")) & (F.col("kind") < 2), "left").filter((F.col("n") >= HOST_PAGES) | F.col("hosts").isNotNull())
     both = both.join(sizes, F.col("host").eqNullSafe(F.col("host2")))
     share = F.col("n") / F.col("pages")
-    return both.filter(((F.col("n") >= HOST_PAGES) & (share >= HOST_SHARE)) | F.col("hosts").isNotNull()).select("host", "h", share.cast("float").alias("share"), F.coalesce("hosts", F.lit(0)).cast("int").alias("hosts"))
+    return both.filter(((F.col("n") >= HOST_PAGES) & ((share >= HOST_SHARE) | (F.col("kind") == 1))) | F.col("hosts").isNotNull()).select("host", "h", share.cast("float").alias("share"), F.coalesce("hosts", F.lit(0)).cast("int").alias("hosts"), "n")
 
 
-def covered(lines: DataFrame, runs: DataFrame) -> DataFrame:
-    """(doc, cover): for each page the covered lines as an array of (line_no, share, hosts)."""
-    r = runs.select(F.col("host").alias("host2"), F.col("h").alias("h2"), "share", "hosts")
-    hit = lines.join(r, (F.col("h") == F.col("h2")) & F.col("host").eqNullSafe(F.col("host2")))
-    return hit.groupBy("doc").agg(F.collect_list(F.struct("line_no", "share", "hosts")).alias("cover"))
+def covered(pages: DataFrame, runs: DataFrame) -> DataFrame:
+    """(doc, cover): for each page the covered lines as an array of (line_no, share, hosts).
+
+    A line is covered as a whole, or by repeated spans that together hold ``COVERED`` of its tokens.
+    """
+    suffixes = pages.select("doc", "host", F.inline("suffixes"))
+    if runs.count() <= SENT:
+        r = F.broadcast(runs.select(F.col("host").alias("host2"), F.col("h").alias("h2"), "share", "hosts"))
+        hit = suffixes.join(r, (F.col("h") == F.col("h2")) & F.col("host").eqNullSafe(F.col("host2")))
+    else:
+        hit = join_counted(suffixes, runs, ["host", "h"], "n")
+    # tokens held by the spans: up to the next start, or to the span's end
+    starts = F.array_sort(F.collect_set(F.when(F.col("at") >= 0, F.col("at"))))
+    per = hit.groupBy("doc", "line_no", "size").agg(starts.alias("starts"), F.max("share").alias("share"), F.max("hosts").alias("hosts"), F.max(F.col("at") < 0).alias("whole"))
+    next_start = F.slice(F.concat(F.col("starts"), F.array(F.lit(1 << 30))), 2, F.size("starts"))
+    held = F.aggregate(F.zip_with("starts", next_start, lambda a, b: F.when(b - a <= max(SPAN, WINDOW), b - a).otherwise(SPAN)), F.lit(0), lambda acc, x: acc + x)
+    per = per.filter(F.col("whole") | (held >= COVERED * F.col("size")))
+    return per.groupBy("doc").agg(F.collect_list(F.struct("line_no", "share", "hosts")).alias("cover"))
 
 
 # --- the model of short unique runs -------------------------------------------------
@@ -305,17 +372,16 @@ def furniture_lines(df: DataFrame, doc: str, host: str, url: str, content: str,
     """
     ensure_checkpoint_dir(df.sparkSession)
     rows = df.filter(F.col(f"`{doc}`").isNotNull())
-    lines = by_site(masked_lines(rows, doc, host, url, content), "host", same)
-    filled = rows.filter(F.col(f"`{content}`").rlike("\\S"))
-    addresses = by_site(filled.select(F.col(f"`{host}`").alias("host"), F.coalesce(F.xxhash64(f"`{url}`"), F.lit(0)).alias("page")), "host", same)
-    runs = repeated_runs(lines, addresses).checkpoint()
-    pages = rows.select(F.col(f"`{doc}`").alias("doc"), F.col(f"`{host}`").alias("host"), F.col(f"`{content}`").alias("content"))
+    # every text is folded and split once; its suffixes, without any text, serve the counts and the cover
+    pages = streams(rows, doc, host, url, content, same).checkpoint()
+    cover = covered(pages, repeated_runs(pages).checkpoint()).checkpoint()
     stored = rows.filter(F.col(f"`{html}`").isNotNull() & F.col(f"`{content}`").rlike("\\S")).select(F.col(f"`{doc}`").alias("doc"))
-    chosen = [r["doc"] for r in stored.orderBy(F.xxhash64("doc")).limit(SAMPLE).collect()]  # bounded by SAMPLE
-    few = rows.filter(F.col(f"`{doc}`").isin(chosen))
-    labelled = few.select(F.col(f"`{doc}`").alias("doc"), F.col(f"`{host}`").alias("host"), F.col(f"`{html}`").alias("html"), F.col(f"`{content}`").alias("content"))
-    labelled = by_site(labelled, "host", same).join(covered(by_site(masked_lines(few, doc, host, url, content), "host", same), runs), "doc", "left")
+    chosen = stored.orderBy(F.xxhash64("doc")).limit(SAMPLE).select(F.col("doc").alias("_doc")).distinct()  # at most SAMPLE rows
+    labelled = rows.select(F.col(f"`{doc}`").alias("doc"), F.col(f"`{host}`").alias("host"), F.col(f"`{html}`").alias("html"), F.col(f"`{content}`").alias("content"))
+    labelled = labelled.join(F.broadcast(chosen), F.col("doc") == F.col("_doc"), "left_semi")
+    labelled = by_site(labelled, "host", same).join(cover, "doc", "left")
     weights = df.sparkSession.sparkContext.broadcast(fit(labelled))
+    texts = rows.select(F.col(f"`{doc}`").alias("doc"), F.col(f"`{content}`").alias("content"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = weights.value
@@ -329,7 +395,7 @@ def furniture_lines(df: DataFrame, doc: str, host: str, url: str, content: str,
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(nos, pa.int64())], names=["doc", "line_no"])
 
     kind = df.schema[doc].dataType.simpleString()
-    joined = pages.filter("content IS NOT NULL").join(covered(lines, runs), "doc", "left")
+    joined = texts.filter("content IS NOT NULL").join(cover, "doc", "left")
     found = joined.select("doc", "content", "cover").mapInArrow(run, f"doc {kind}, line_no bigint")
     if without is not None:
         found = found.join(without.select("doc"), "doc", "left_anti")
