@@ -5,11 +5,16 @@ code points and its shingles are the ``GRAM``-long substrings in it. Bands are t
 for recall: with one band of one row, equal paragraphs always collide, because they
 have the same shingles and so the same minimum; a long ``GRAM`` keeps chance
 collisions rare. A text's signature is the set of minima of all its paragraphs, about
-one for every 50 code points. Texts that collide are compared exactly.
+one for every 50 code points.
+
+Paragraphs that collide are compared exactly, by two 64-bit hashes of their ``SPAN`` code points, not
+text against text: a passage that n texts share is one group of n rows, not n * n / 2 candidates. Groups
+with the same members, such as the paragraphs of one passage, count once. Amounts
+and clusters come from the groups alone and stay linear; only where every pair is asked for are the groups
+expanded, at the end.
 
 Equal texts are one class first and only its smallest id takes part, so a group of
-copies costs one row. Buckets join by hash of the shingle and a salt: the texts of a hot
-shingle are spread over as many tasks as their number asks for.
+copies costs one row.
 """
 
 from __future__ import annotations
@@ -21,50 +26,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.llm.skew import join_counted
+from corpusloom.llm.tokenstream import mixed, power_table
 from corpusloom.sources.tables import ensure_checkpoint_dir
 
 #: Least length of a shared span, in code points.
 SPAN = 300
 #: Length of a shingle.
 GRAM = 200
-#: Texts that share a minimum for each of its salts.
+#: Members of a group for each of the tasks that pair them.
 HOT = 500
-#: Keys that are sent to the texts instead of shuffling the texts.
+#: Rows that are sent to the texts instead of shuffling the texts, if counted to be no more (16 MB).
 SENT = 1_000_000
-#: None: every pair of rows comes out. A number: pairs within a group of copies, or between two groups, beyond which each row comes with the other representative only.
-EXPAND: int | None = None
-
-# An odd multiplier, so that its powers have inverses modulo 2**64.
-_BASE = 6364136223846793005
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[str, np.ndarray] = {}
-
 
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _powers.get("up")
-    if have is None or len(have) < n:
-        size = max(n, 1 << 14)
-        with np.errstate(over="ignore"):
-            _powers["up"] = np.cumprod(np.full(size, _BASE, np.uint64), dtype=np.uint64)
-            _powers["down"] = np.cumprod(np.full(size, _INVERSE, np.uint64), dtype=np.uint64)
-    return _powers["up"][:n], _powers["down"][:n]
+# A second odd multiplier for a second, independent hash.
+_OTHER = np.uint64(0xD1342543DE82EF95)
 
 
-def gram_hashes(points: np.ndarray, k: int) -> np.ndarray:
-    """Hash of each ``k`` consecutive code points; equal substrings have equal hashes."""
+def gram_hashes(points: np.ndarray, k: int, other: bool = False) -> np.ndarray:
+    """Hash of each ``k`` consecutive code points; equal substrings have equal hashes. ``other`` gives an independent one."""
     n = len(points)
     if n < k:
         return np.empty(0, np.uint64)
-    up, down = _power_table(n)
+    up, down = power_table(n)
+    values = points.astype(np.uint64) + np.uint64(7)
     with np.errstate(over="ignore"):
+        if other:
+            values = mixed(values * _OTHER)
         sums = np.empty(n + 1, np.uint64)
         sums[0] = 0
-        np.cumsum((points.astype(np.uint64) + np.uint64(7)) * up, out=sums[1:])
-        h = (sums[k:] - sums[:-k]) * down[: n - k + 1]
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(32)
-    return h
+        np.cumsum(values * up, out=sums[1:])
+        return mixed((sums[k:] - sums[:-k]) * down[: n - k + 1])
 
 
 def window_minima(values: np.ndarray, w: int) -> np.ndarray:
@@ -87,28 +79,6 @@ def signature(text: str, span: int = SPAN, gram: int = GRAM) -> np.ndarray:
     return np.unique(window_minima(gram_hashes(points, gram), span - gram + 1))
 
 
-def shared_runs(a: str, b: str, span: int = SPAN) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """The parts (from, to) of ``a`` and of ``b`` that are covered by spans of at least ``span`` code points found in the other."""
-    pa_, pb = (np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) for x in (a, b))
-    ha, hb = gram_hashes(pa_, span), gram_hashes(pb, span)
-
-    def covered(text: str, own: np.ndarray, other_text: str, other: np.ndarray) -> list[tuple[int, int]]:
-        order = np.argsort(other, kind="stable")
-        at = np.searchsorted(other[order], own)
-        runs: list[tuple[int, int]] = []
-        hits = np.flatnonzero((at < len(other)) & (other[order[np.minimum(at, len(other) - 1)]] == own)) if len(other) and len(own) else []
-        for i in map(int, hits):
-            j = int(order[at[i]])
-            if text[i : i + span] == other_text[j : j + span]:
-                if runs and i <= runs[-1][1]:
-                    runs[-1] = (runs[-1][0], i + span)
-                else:
-                    runs.append((i, i + span))
-        return runs
-
-    return covered(a, ha, b, hb), covered(b, hb, a, ha)
-
-
 def copy_classes(df: DataFrame, key: str, text: str, least: int = SPAN) -> DataFrame:
     """(key, rep, copies) of every row whose text has at least ``least`` code points.
 
@@ -125,102 +95,113 @@ def _texts(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _sent_if_small(keys: DataFrame) -> DataFrame:
-    """Keys to be sent to the texts if they are counted to be at most ``SENT`` (8 MB); else texts and keys meet in a shuffle."""
+    """Keys to be sent to the texts if they are counted to be at most ``SENT``; else texts and keys meet in a shuffle."""
     return F.broadcast(keys) if keys.count() <= SENT else keys
 
 
-def verified_pairs(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(pairs of class representatives with their shared parts, copy classes), both written to the checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    texts = _texts(df, key, text)
-    classes = copy_classes(texts, "key", "text").checkpoint()
-    reps = texts.join(_sent_if_small(classes.filter("key <> rep").select("key")), "key", "left_anti")
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            signed = [signature(t) for t in batch.column(1).to_pylist()]
-            sizes = [len(s) for s in signed]
-            marks = np.concatenate(signed).view(np.int64) if signed else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys, sizes), pa.int64()), pa.array(marks)], names=["key", "mark"])
-
-    marks = reps.select(F.col("key").cast("long").alias("key"), "text").mapInArrow(sign, "key bigint, mark bigint")
-    # minima of one text alone go before the join; a minimum of many texts is spread over salts on one side
-    often = marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("mark").alias("mark2"), F.ceil(F.col("n") / HOT).cast("int").alias("salts"))
-    bucket = marks.join(often, F.col("mark") == F.col("mark2")).drop("mark2").checkpoint()
-    left = bucket.select(F.col("key").alias("key_a"), "mark", F.pmod(F.xxhash64("key"), F.col("salts")).cast("int").alias("salt"))
-    right = bucket.select(F.col("key").alias("key_b"), "mark", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    candidates = left.join(right, ["mark", "salt"]).filter("key_a < key_b").select("key_a", "key_b").distinct().checkpoint()
-    involved = candidates.select(F.col("key_a").alias("key")).union(candidates.select("key_b")).distinct()
-    few = reps.join(_sent_if_small(involved), "key", "left_semi")
-    both = candidates.join(few.select(F.col("key").alias("key_a"), F.col("text").alias("text_a")), "key_a").join(few.select(F.col("key").alias("key_b"), F.col("text").alias("text_b")), "key_b")
-    run = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep, parts_a, parts_b = [], [], []
-            for i, (a, b) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                in_a, in_b = shared_runs(a, b)
-                if in_a:
-                    keep.append(i)
-                    parts_a.append([{"from": x, "to": y} for x, y in in_a])
-                    parts_b.append([{"from": x, "to": y} for x, y in in_b])
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(parts_a, run), pa.array(parts_b, run)], names=["key_a", "key_b", "parts_a", "parts_b"])
-
-    part = "array<struct<`from`: int, `to`: int>>"
-    pairs = both.select("key_a", "key_b", "text_a", "text_b").mapInArrow(verify, f"key_a bigint, key_b bigint, parts_a {part}, parts_b {part}").checkpoint()
-    return pairs, classes
-
-
-def shared_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
+class Shared:
+    """What the texts of a table share, each table written to the checkpoint folder.
+
+    ``classes``: (key, rep, copies, n) of the rows whose text others have too. ``windows``: (key, start) of each paragraph of a class
+    representative that another has. ``members``: (group, key, size): the groups of representatives that have a paragraph in common.
+    """
+
+    def __init__(self, df: DataFrame, key: str, text: str):
+        ensure_checkpoint_dir(df.sparkSession)
+        texts = _texts(df, key, text)
+        self.classes = copy_classes(texts, "key", "text").checkpoint()
+        reps = texts.join(_sent_if_small(self.classes.filter("key <> rep").select("key")), "key", "left_anti").select(F.col("key").cast("long").alias("key"), "text")
+
+        def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keys = batch.column(0).to_numpy(zero_copy_only=False)
+                signed = [signature(t) for t in batch.column(1).to_pylist()]
+                sizes = [len(s) for s in signed]
+                marks = np.concatenate(signed).view(np.int64) if signed else np.empty(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys, sizes), pa.int64()), pa.array(marks)], names=["key", "mark"])
+
+        marks = reps.mapInArrow(sign, "key bigint, mark bigint").checkpoint()
+        # minima of one text alone go; those of many texts are sent to the rows instead of gathering these
+        often = marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").checkpoint()
+        if often.count() <= SENT:
+            bucket = marks.join(F.broadcast(often.select("mark")), "mark", "left_semi")
+        else:
+            bucket = join_counted(marks, often, ["mark"], "n").select("key", "mark")
+        wanted = bucket.groupBy("key").agg(F.collect_set("mark").alias("marks")).checkpoint()  # at most the signature of one text
+        small = wanted.agg(F.sum(F.size("marks"))).first()[0] or 0
+        few = reps.join(F.broadcast(wanted) if small <= SENT else wanted, "key")
+
+        def hash_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out: list[tuple] = []
+                for key_, text_, marks_ in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                    points = np.frombuffer(text_.encode("utf-32-le", "surrogatepass"), np.uint32)
+                    least = window_minima(gram_hashes(points, GRAM), SPAN - GRAM + 1)
+                    start = np.flatnonzero(np.isin(least, np.array(marks_, np.int64).view(np.uint64)))
+                    h1, h2 = gram_hashes(points, SPAN)[start].view(np.int64), gram_hashes(points, SPAN, True)[start].view(np.int64)
+                    # a paragraph that a text has twice counts once, at all its places
+                    once = np.zeros(len(start), bool)
+                    once[np.unique(h1, return_index=True)[1]] = True
+                    out.append((np.full(len(start), key_), start, h1, h2, once))
+                if out:
+                    cols = [np.concatenate(c) for c in zip(*out)]
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.bool_())], names=["key", "start", "h1", "h2", "once"])
+
+        windows = few.select("key", "text", "marks").mapInArrow(hash_windows, "key bigint, start int, h1 bigint, h2 bigint, once boolean").checkpoint()
+        groups = windows.filter("once").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("key").cast("decimal(20,0)")).alias("sum"), F.min("key").alias("least"), F.max("key").alias("most")).filter("size > 1")
+        groups = groups.select("h1", "h2", "size", F.xxhash64("size", "sum", "least", "most").alias("group")).checkpoint()
+        if groups.count() <= SENT:
+            joined = windows.join(F.broadcast(groups), ["h1", "h2"])
+        else:
+            joined = join_counted(windows, groups, ["h1", "h2"], "size")
+        self.windows = joined.select("key", "start", "group", "size").checkpoint()
+        self.members = self.windows.select("group", "key", "size").distinct()
+
+    def pairs(self) -> DataFrame:
+        """(key_a, key_b) of the representatives that share a paragraph; a large group is paired in several tasks."""
+        salts = F.ceil(F.col("size") / HOT).cast("int")
+        left = self.members.select(F.col("key").alias("key_a"), "group", F.pmod(F.xxhash64("key"), salts).cast("int").alias("salt"))
+        right = self.members.select(F.col("key").alias("key_b"), "group", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+        return left.join(right, ["group", "salt"]).filter("key_a < key_b").select("key_a", "key_b").distinct()
+
+
+def shared_pairs(df: DataFrame, key: str, text: str, copies: str = "all") -> DataFrame:
     """(doc_a, doc_b), doc_a < doc_b: rows that share a span of at least ``SPAN`` code points, equal in every one.
 
-    Every pair of rows comes out, copies of one text included: a group of copies gives a number of rows quadratic in its size, two
-    groups that share a span the product of their sizes. Only where ``EXPAND`` is set, and that would be more pairs, each row comes
-    with the representative (the smallest key) of its own and of the other group. Null and shorter texts have no pair; rows
+    ``copies="all"``: every pair of rows comes out, copies of one text included: a group of copies gives a number of rows
+    quadratic in its size. ``copies="representatives"``: pairs between the representatives (the smallest key of the rows with one text) only; no
+    link between different texts is lost, and ``copy_classes`` has the membership. Null and shorter texts have no pair; rows
     with a null key are left out; rows that repeat a key count as one.
     """
-    pairs, classes = verified_pairs(df, key, text)
-    members = classes.select("key", "rep", "copies").distinct()
+    shared = Shared(df, key, text)
+    pairs = shared.pairs()
+    if copies == "representatives":
+        return pairs.select(F.col("key_a").alias("doc_a"), F.col("key_b").alias("doc_b"))
+    members = shared.classes.select("key", "rep").distinct()
     side = lambda c: members.select(F.col("rep").alias(f"key_{c}"), F.col("key").alias(f"m_{c}"))
-    each = lambda pairs: pairs.join(side("a"), "key_a", "left").join(side("b"), "key_b", "left").select(F.coalesce("m_a", "key_a").alias("x"), F.coalesce("m_b", "key_b").alias("y"))
-    both = lambda few: few.select("rep", F.col("key").alias("x")).join(few.select("rep", F.col("key").alias("y")), "rep").filter("x < y").select("x", "y")
-    ends = (F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
-    if EXPAND is None:
-        return each(pairs.select("key_a", "key_b")).unionByName(both(members)).select(*ends).filter("doc_a < doc_b").distinct()
-    sizes = classes.select("rep", "copies").distinct()
-    size = lambda c: sizes.select(F.col("rep").alias(f"key_{c}"), F.col("copies").alias(f"c_{c}"))
-    sized = pairs.select("key_a", "key_b").join(size("a"), "key_a", "left").join(size("b"), "key_b", "left")
-    sized = sized.withColumn("wide", F.coalesce("c_a", F.lit(1)) * F.coalesce("c_b", F.lit(1)) > EXPAND)
-    small, wide = sized.filter("NOT wide"), sized.filter("wide")
-    stars = wide.join(side("a"), "key_a", "left").select(F.coalesce("m_a", "key_a").alias("x"), F.col("key_b").alias("y"))
-    stars = stars.unionByName(wide.join(side("b"), "key_b", "left").select(F.coalesce("m_b", "key_b").alias("y"), F.col("key_a").alias("x")))
-    few = members.filter(F.col("copies") * F.col("copies") <= EXPAND)
-    own = members.filter("key <> rep").select(F.col("rep").alias("x"), F.col("key").alias("y"))
-    every = each(small.select("key_a", "key_b")).unionByName(stars).unionByName(both(few)).unionByName(own).select(*ends)
-    return every.filter("doc_a < doc_b").distinct()
+    each = pairs.join(side("a"), "key_a", "left").join(side("b"), "key_b", "left").select(F.coalesce("m_a", "key_a").alias("x"), F.coalesce("m_b", "key_b").alias("y"))
+    own = members.select("rep", F.col("key").alias("x")).join(members.select("rep", F.col("key").alias("y")), "rep").filter("x < y").select("x", "y")
+    # a pair of representatives stands once and so does each of its members' pairs: nothing needs to be made distinct
+    return each.unionByName(own).select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).filter("doc_a < doc_b")
 
 
 def shared_amount(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, n_chars, shared_chars, share, class_id, n_links) of every row.
 
     ``shared_chars`` counts the code points that lie in a span shared with another row,
-    ``class_id`` is the smallest key with the same text, ``n_links`` the number of classes
-    that share a span with it. Texts under ``SPAN`` share nothing; the share of a null or
+    ``class_id`` is the smallest key with the same text, ``n_links`` the number of other
+    classes that have one and the same paragraph in common with it, taken at the paragraph that most have. Texts under ``SPAN`` share nothing; the share of a null or
     empty text is 0.
     """
-    pairs, classes = verified_pairs(df, key, text)
-    ends = pairs.select(F.col("key_a").alias("rep"), "parts_a").unionByName(pairs.select(F.col("key_b").alias("rep"), F.col("parts_b").alias("parts_a")))
-    links = ends.groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
-    parts = ends.select("rep", F.explode("parts_a").alias("p")).select("rep", F.col("p.from").alias("lo"), F.col("p.to").alias("hi")).distinct()
-    before = Window.partitionBy("rep").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
-    cover = parts.withColumn("past", F.coalesce(F.max("hi").over(before), F.lit(0))).groupBy("rep").agg(F.sum(F.greatest(F.lit(0), F.col("hi") - F.greatest("lo", "past"))).alias("cover"))
+    shared = Shared(df, key, text)
+    starts = shared.windows.select("key", "start").distinct().withColumn("past", F.coalesce(F.lag("start").over(Window.partitionBy("key").orderBy("start")) + SPAN, F.lit(0)))
+    cover = starts.groupBy(F.col("key").alias("rep")).agg(F.sum(SPAN - F.greatest(F.lit(0), F.col("past") - F.col("start"))).alias("cover"))
+    links = shared.members.groupBy(F.col("key").alias("rep")).agg((F.max("size") - 1).alias("links"))
     rows = df.select(F.col(f"`{key}`").alias("key"), F.length(f"`{text}`").alias("n_chars"))
-    rows = rows.join(classes.select("key", "rep", "copies").distinct(), "key", "left").withColumn("rep", F.coalesce("rep", "key"))
+    rows = rows.join(shared.classes.select("key", "rep", "copies").distinct(), "key", "left").withColumn("rep", F.coalesce("rep", "key"))
     rows = rows.join(cover, "rep", "left").join(links, "rep", "left")
-    shared = F.when(F.col("copies") > 1, F.col("n_chars")).otherwise(F.coalesce("cover", F.lit(0))).cast("long")
-    return rows.select(F.col("key").alias(key), F.coalesce("n_chars", F.lit(0)).alias("n_chars"), shared.alias("shared_chars"), F.coalesce(shared / F.nullif(F.col("n_chars"), F.lit(0)), F.lit(0.0)).alias("share"), F.col("rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
+    amount = F.when(F.col("copies") > 1, F.col("n_chars")).otherwise(F.coalesce("cover", F.lit(0))).cast("long")
+    return rows.select(F.col("key").alias(key), F.coalesce("n_chars", F.lit(0)).alias("n_chars"), amount.alias("shared_chars"), F.coalesce(amount / F.nullif(F.col("n_chars"), F.lit(0)), F.lit(0.0)).alias("share"), F.col("rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -249,6 +230,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
 def removal_clusters(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, cluster_id, keep) of the rows that share spans or copies: one row of each cluster, the smallest key, is kept."""
-    pairs, classes = verified_pairs(df, key, text)
-    edges = pairs.select("key_a", "key_b").union(classes.filter("key <> rep").select(F.col("key").cast("long"), F.col("rep").cast("long")))
-    return components(edges, "key_a", "key_b").select(F.col("node").alias(key), F.col("component").alias("cluster_id"), (F.col("node") == F.col("component")).alias("keep"))
+    shared = Shared(df, key, text)
+    first = shared.members.groupBy("group").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n"))
+    edges = join_counted(shared.members.select("group", "key").checkpoint(), first, ["group"], "n").filter("key <> first").select("key", "first")
+    edges = edges.union(shared.classes.filter("key <> rep").select(F.col("key").cast("long"), F.col("rep").cast("long")))
+    return components(edges, "key", "first").select(F.col("node").alias(key), F.col("component").alias("cluster_id"), (F.col("node") == F.col("component")).alias("keep"))
