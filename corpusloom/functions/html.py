@@ -23,6 +23,15 @@ DROPPED_CLASSES = frozenset("footer nav menu social modal".split())
 NO_LINKS = ("mailto:", "javascript:", "tel:", "data:", "#")
 IMAGE_ENDINGS = (".jpg", ".jpeg", ".png", ".gif", ".webp", ".bmp", ".svg")
 LAZY = ("data-src", "data-lazy-src", "data-original", "data-url")
+# Start tags that end an open element of the named kinds, within the elements that bound it.
+IMPLIED_ENDS = {
+    **dict.fromkeys("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split(), ("p",)),
+    "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"),
+    "thead": ("tr", "td", "th"), "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "thead", "tbody"), "option": ("option",), "optgroup": ("option", "optgroup"),
+}
+BOUNDS = frozenset("ul ol dl table select button object article aside section div td th blockquote".split())
+#: Elements within each other that are kept; deeper ones stand beside each other.
+DEPTH = 512
 _TOKEN = re.compile(r"^[A-Za-z0-9_-]+$")
 #: Code points kept of a link's context and of the markup around it.
 CONTEXT_CHARS, MARKUP_CHARS = 1000, 4000
@@ -35,15 +44,19 @@ class Node:
         self.name, self.attrs, self.kids, self.up = name, attrs, [], up
 
     def walk(self):
-        for kid in self.kids:
-            if isinstance(kid, Node):
-                yield kid
-                yield from kid.walk()
+        """The elements within, in order of the page, without recursion."""
+        left = [k for k in reversed(self.kids) if isinstance(k, Node)]
+        while left:
+            node = left.pop()
+            yield node
+            left.extend(k for k in reversed(node.kids) if isinstance(k, Node))
 
     def texts(self):
-        for kid in self.kids:
+        left = self.kids[::-1]
+        while left:
+            kid = left.pop()
             if isinstance(kid, Node):
-                yield from kid.texts()
+                left.extend(reversed(kid.kids))
             else:
                 yield kid
 
@@ -53,11 +66,26 @@ class Node:
     def every(self, name: str):
         return [n for n in self.walk() if n.name == name]
 
-    def markup(self) -> str:
-        attrs = "".join(f' {k}="{_html.escape(v)}"' for k, v in self.attrs.items())
-        if self.name in VOID:
-            return f"<{self.name}{attrs}/>"
-        return f"<{self.name}{attrs}>" + "".join(k.markup() if isinstance(k, Node) else _html.escape(k, quote=False) for k in self.kids) + f"</{self.name}>"
+    def markup(self, limit: int | None = None) -> str:
+        """The element as HTML; with ``limit``, at least its first ``limit`` code points."""
+        out: list[str] = []
+        size = 0
+        left: list[Node | str | tuple[str]] = [self]
+        while left and (limit is None or size < limit):
+            kid = left.pop()
+            if isinstance(kid, tuple):
+                piece = kid[0]
+            elif isinstance(kid, str):
+                piece = _html.escape(kid, quote=False)
+            else:
+                attrs = "".join(f' {k}="{_html.escape(v)}"' for k, v in kid.attrs.items())
+                piece = f"<{kid.name}{attrs}/>" if kid.name in VOID else f"<{kid.name}{attrs}>"
+                if kid.name not in VOID:
+                    left.append((f"</{kid.name}>",))
+                    left.extend(reversed(kid.kids))
+            out.append(piece)
+            size += len(piece)
+        return "".join(out)
 
 
 def _has(node: Node, key: str, value: str) -> bool:
@@ -65,27 +93,57 @@ def _has(node: Node, key: str, value: str) -> bool:
     return got is not None and (value in got.split() if key in ("rel", "class") else got == value)
 
 
+def _first_words(block: Node) -> str:
+    """The first code points of a block's text; what stands behind is not read."""
+    out: list[str] = []
+    size = 0
+    for t in block.texts():
+        if t.strip():
+            out.append(t.strip())
+            size += len(out[-1]) + 1
+            if size > CONTEXT_CHARS:
+                break
+    return " ".join(out)[:CONTEXT_CHARS]
+
+
 class _Builder(HTMLParser):
+    """Builds the tree; end tags that may be left out are implied, and no more than ``DEPTH`` elements stand within each other."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Node("", {}, None)
         self.at = self.root
+        self.depth = 0
 
     def handle_starttag(self, tag, attrs):
+        ends = IMPLIED_ENDS.get(tag)
+        if ends:
+            at, up, node = self.at, 0, None
+            # the outermost element that this one ends, not beyond a bound
+            while at.up is not None and at.name not in BOUNDS - set(ends):
+                up += 1
+                if at.name in ends:
+                    node, steps = at, up
+                at = at.up
+            if node is not None:
+                self.at, self.depth = node.up, self.depth - steps
         node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.kids.append(node)
-        if tag not in VOID:
+        if tag not in VOID and self.depth < DEPTH:
             self.at = node
+            self.depth += 1
 
     def handle_startendtag(self, tag, attrs):
         self.at.kids.append(Node(tag, {k: v or "" for k, v in attrs}, self.at))
 
     def handle_endtag(self, tag):
-        node = self.at
+        node, up = self.at, 1
         while node.up is not None and node.name != tag:
             node = node.up
+            up += 1
         if node.up is not None:
             self.at = node.up
+            self.depth -= up
 
     def handle_data(self, data):
         self.at.kids.append(data)
@@ -130,28 +188,27 @@ class Document:
     def dropped(self) -> Document:
         """Without what is no content; works on this tree."""
 
-        def prune(node: Node) -> None:
+        left = [self.root]
+        while left:
+            node = left.pop()
             node.kids = [k for k in node.kids if not isinstance(k, Node) or not (k.name in DROPPED or DROPPED_CLASSES.intersection(k.attrs.get("class", "").split()))]
-            for kid in node.kids:
-                if isinstance(kid, Node):
-                    prune(kid)
-
-        prune(self.root)
+            left.extend(k for k in node.kids if isinstance(k, Node))
         return self
 
     def readable(self) -> str:
         """Text by lines, media as ``[IMAGE: address]`` marks."""
 
-        def pieces(node: Node):
-            for kid in node.kids:
-                if not isinstance(kid, Node):
-                    yield kid
-                elif kid.name in ("img", "video", "audio") and kid.attrs.get("src"):
-                    yield f"[{'IMAGE' if kid.name == 'img' else kid.name.upper()}: {kid.attrs['src']}]"
-                else:
-                    yield from pieces(kid)
-
-        return "\n".join(x.strip() for x in " ".join(pieces(self.root)).split("\n") if x.strip())
+        pieces: list[str] = []
+        left = self.root.kids[::-1]
+        while left:
+            kid = left.pop()
+            if not isinstance(kid, Node):
+                pieces.append(kid)
+            elif kid.name in ("img", "video", "audio") and kid.attrs.get("src"):
+                pieces.append(f"[{'IMAGE' if kid.name == 'img' else kid.name.upper()}: {kid.attrs['src']}]")
+            else:
+                left.extend(reversed(kid.kids))
+        return "\n".join(x.strip() for x in " ".join(pieces).split("\n") if x.strip())
 
     def links(self, base: str) -> list[tuple[str, Node]]:
         """(absolute address, element) of every http link to another page, repeats kept."""
@@ -183,12 +240,14 @@ class Document:
                 path.append(up.name + (f"#{ident}" if _TOKEN.match(ident) else "") + "".join("." + c for c in classes))
                 up = up.up
             block = block or wide
+            key = normalize_url(whole)
+            if key in out and key.lower().rstrip("/") in out:
+                continue
             info = {
                 "dom": " > ".join(reversed(path)),
-                "dom_html": block.markup()[:MARKUP_CHARS] if block else None,
-                "context": " ".join(t.strip() for t in block.texts() if t.strip())[:CONTEXT_CHARS] if block else None,
+                "dom_html": block.markup(MARKUP_CHARS)[:MARKUP_CHARS] if block else None,
+                "context": _first_words(block) if block else None,
             }
-            key = normalize_url(whole)
             out.setdefault(key, info)
             out.setdefault(key.lower().rstrip("/"), info)
         return out

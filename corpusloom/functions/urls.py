@@ -201,7 +201,7 @@ def single_scheme(col: Column) -> Column:
 
 
 def normalize_native(col: Column) -> Column:
-    """The normaliser for well-formed addresses: ASCII, queries already percent-encoded, no wrapping."""
+    """The normaliser for well-formed addresses: ASCII, queries already percent-encoded, no wrapping by archives or redirects. ``normalize`` is the one for any address."""
     bare = single_scheme(F.substring_index(col, "#", 1))
     head = F.regexp_extract(bare, "^([A-Za-z]+://)([^/?]*)([^?]*)", 1)
     site = F.lower(F.regexp_extract(bare, "^([A-Za-z]+://)([^/?]*)([^?]*)", 2))
@@ -209,7 +209,9 @@ def normalize_native(col: Column) -> Column:
     query = F.when(F.instr(bare, "?") > 0, F.regexp_replace(bare, "^[^?]*\\?", "")).otherwise("")
     tracked = "^(utm_.*|fbclid|gclid|mc_eid|ref_src|_ga|yclid|_openstat|wt_.*|msclkid|igshid|spm)(=|$)"
     items = F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(tracked))
-    kept = F.array_join(F.array_sort(items), "&")
+    # by key alone: pairs of one key keep their order
+    name = lambda p: F.substring_index(p, "=", 1)
+    kept = F.array_join(F.array_sort(items, lambda x, y: F.when(name(x) < name(y), -1).when(name(x) > name(y), 1).otherwise(0)), "&")
     whole = F.concat(F.lower(head), site, path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""))
     return F.when(head == "", col).otherwise(whole)
 

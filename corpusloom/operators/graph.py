@@ -10,9 +10,10 @@ from corpusloom.operators.select import qualified
 
 
 def edges(expressionlink: DataFrame) -> DataFrame:
-    """One row for each pair of pages; rows with a null end are no links. Of repeats the smallest context stays."""
+    """One row for each pair of pages; rows with a null end are no links. Of repeats one row stays whole: that of the smallest context, then the smallest dom, nulls last."""
     rows = expressionlink.filter(F.col("source_id").isNotNull() & F.col("target_id").isNotNull())
-    return rows.groupBy("source_id", "target_id").agg(F.min("context").alias("context"), F.min("dom").alias("dom"))
+    order = F.struct(F.col("context").isNull(), "context", F.col("dom").isNull(), "dom")
+    return rows.groupBy("source_id", "target_id").agg(F.min_by(F.struct("context", "dom"), order).alias("kept")).select("source_id", "target_id", "kept.*")
 
 
 def closed_links(expression: DataFrame, link: DataFrame, land_id: int, minrel: int = 1) -> DataFrame:
@@ -81,9 +82,11 @@ def domain_links(expression: DataFrame, domain: DataFrame, link: DataFrame, land
 
 
 def domain_graph_nodes(expression: DataFrame, domain: DataFrame, land_id: int, minrel: int = 1) -> DataFrame:
-    """Nodes of a domain graph file, grouped by name."""
-    rows = qualified(expression, land_id, minrel).join(domain.select(F.col("id").alias("domain_id"), "name"), "domain_id")
-    return rows.groupBy("name").agg(F.count(F.lit(1)).alias("expressions"), F.round(F.avg("relevance"), 2).alias("average_relevance"))
+    """Nodes of a domain graph file, one for each name; of several domains with one name that of the smallest id lends the rest."""
+    d = domain.select(F.col("id").alias("domain_id"), "name", F.struct("id", "title", "description", "keywords").alias("d"))
+    rows = qualified(expression, land_id, minrel).select("domain_id", "relevance").join(d, "domain_id")
+    per = rows.groupBy("name").agg(F.count(F.lit(1)).alias("expressions"), F.round(F.avg("relevance"), 2).alias("average_relevance"), F.min_by("d", "domain_id").alias("d"))
+    return per.select("d.id", "name", "d.title", "d.description", "d.keywords", "expressions", "average_relevance")
 
 
 def domain_corpus(expression: DataFrame, domain: DataFrame, land_id: int, minrel: int = 1) -> DataFrame:

@@ -63,21 +63,32 @@ def routed(results: DataFrame, strategy: str, *by: str, allowed: list[str] | Non
 
 
 def persisted(results: DataFrame, expression: DataFrame, land_id: int) -> DataFrame:
-    """Results with their normal address and what becomes of them: new, duplicate or skipped."""
-    rows = results.withColumn("url", urls.normalize_native(F.col("url")))
+    """Results with their normal address and what becomes of them: new, duplicate or skipped (not crawlable)."""
+    rows = results.withColumn("url", urls.normalize("url"))
     there = expression.filter(F.col("land_id") == land_id).groupBy(F.col("url")).agg(F.min("id").alias("expression_id"))
     rows = rows.join(there, "url", "left")
-    state = F.when(~urls.crawlable(F.col("url")), "skipped").when(F.col("expression_id").isNotNull(), "duplicate").otherwise("new")
+    state = F.when(~F.coalesce(urls.crawlable(F.col("url")), F.lit(False)), "skipped").when(F.col("expression_id").isNotNull(), "duplicate").otherwise("new")
     return rows.withColumn("state", state)
 
 
-def added_urls(listed: DataFrame, expression: DataFrame, land_id: int) -> tuple[DataFrame, DataFrame]:
-    """(pages of the land after the list, rows to add): blank titles are filled, dates become earlier; unknown addresses are new pages."""
-    given = listed.filter(urls.crawlable(F.col("url"))).groupBy("url").agg(F.first("title", True).alias("new_title"), F.min("published_at").alias("new_date"))
-    land = expression.filter(F.col("land_id") == land_id).join(given, "url", "left")
-    blank = F.coalesce(F.trim("title"), F.lit("")) == ""
-    updated = land.withColumns({"title": F.when(blank, F.coalesce("new_title", "title")).otherwise(F.col("title")), "published_at": earlier(F.col("published_at"), F.col("new_date"))}).drop("new_title", "new_date")
-    return updated, given.join(expression.filter(F.col("land_id") == land_id).select("url"), "url", "left_anti")
+def added_urls(listed: DataFrame, expression: DataFrame, land_id: int, order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(pages of the land after the list, rows to add as url, new_title, new_date).
+
+    An address that the land has as it is given belongs to that page, crawlable or not; any other is taken by its normal
+    form and left out if that is not crawlable. A page without a title (null or empty; blanks are a title) takes the first one given that is not
+    empty, in ``order`` (a column of the list; without it the smallest), and the earliest date counts.
+    """
+    land = expression.filter(F.col("land_id") == land_id)
+    known = land.select("url").distinct().withColumn("_known", F.lit(True))
+    place = F.col(order) if order else F.col("title")
+    rows = listed.filter(F.coalesce("url", F.lit("")) != "").select("url", F.nullif("title", F.lit("")).alias("title"), "published_at", place.alias("_place")).join(known, "url", "left")
+    normal = urls.normalize("url")
+    rows = rows.withColumn("url", F.when(F.col("_known"), F.col("url")).otherwise(F.when(urls.crawlable(normal), normal))).filter("url IS NOT NULL")
+    given = rows.groupBy("url").agg(F.min_by("title", F.when(F.col("title").isNotNull(), F.col("_place"))).alias("new_title"), F.min("published_at").alias("new_date"))
+    pages = land.join(given, "url", "left")
+    empty = F.coalesce("title", F.lit("")) == ""
+    updated = pages.withColumns({"title": F.when(empty, F.coalesce("new_title", "title")).otherwise(F.col("title")), "published_at": earlier(F.col("published_at"), F.col("new_date"))}).drop("new_title", "new_date")
+    return updated, given.join(known.select("url"), "url", "left_anti")
 
 
 def usage(queries: DataFrame, report: str = "usage_report", order: str = "id") -> DataFrame:

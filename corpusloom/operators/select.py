@@ -116,10 +116,13 @@ def malformed_orphans(expression: DataFrame, link: DataFrame) -> DataFrame:
 
 
 def snapshot_domain_pages(expression: DataFrame, domain: DataFrame) -> DataFrame:
-    """Pages filed under a snapshot host: their domain is derived again and their ranking reset."""
+    """Pages filed under a snapshot host: unwrapped, filed under the domain (``new_domain``) of the page itself, their ranking reset."""
+    from corpusloom.functions.domains import resolved
+
     hosts = domain.filter(F.col("name").isin(*urls.SNAPSHOT_FORMS)).select(F.col("id").alias("domain_id"))
     pages = expression.join(F.broadcast(hosts), "domain_id", "left_semi")  # three hosts at most
-    return pages.withColumn("seorank", F.lit(None).cast("string")).withColumn("url", urls.unwrapped("url"))
+    pages = pages.withColumn("seorank", F.lit(None).cast("string")).withColumn("url", urls.unwrapped("url"))
+    return pages.withColumn("new_domain", resolved("url"))
 
 
 def snapshot_renames(expression: DataFrame) -> DataFrame:

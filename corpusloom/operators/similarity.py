@@ -39,6 +39,29 @@ def embeddings(paragraph: DataFrame, done: DataFrame | None = None, provider: st
     return rows.select(key, vector.alias("embedding")).withColumn("norm", V.norm(F.col("embedding")))
 
 
+def relevant_vectors(embedding: DataFrame, paragraph: DataFrame, expression: DataFrame, land_id: int, minrel: int | None = None) -> DataFrame:
+    """(paragraph_id, expression_id, embedding): the vectors of a land's paragraphs that take part in likeness.
+
+    With a positive ``minrel`` only those of pages of at least that relevance do; pages without a relevance then do not.
+    """
+    pages = expression.filter(F.col("land_id") == land_id)
+    if minrel and minrel > 0:
+        pages = pages.filter(F.col("relevance") >= minrel)
+    rows = paragraph.select(F.col("id").alias("paragraph_id"), "expression_id").join(pages.select(F.col("id").alias("expression_id")), "expression_id", "left_semi")
+    return embedding.select("paragraph_id", "embedding").join(rows, "paragraph_id")
+
+
+def summary(paragraph: DataFrame, embedding: DataFrame, similarity: DataFrame, expression: DataFrame, land_id: int) -> DataFrame:
+    """One row (paragraphs, embeddings, pseudolinks) of a land; a pseudolink has both its ends there."""
+    pages = expression.filter(F.col("land_id") == land_id).select(F.col("id").alias("expression_id"))
+    own = paragraph.join(pages, "expression_id", "left_semi").select(F.col("id").alias("paragraph_id"))
+    one = own.agg(F.count(F.lit(1)).alias("paragraphs"))
+    two = embedding.join(own, "paragraph_id", "left_semi").agg(F.count(F.lit(1)).alias("embeddings"))
+    ends = similarity.join(own.withColumnRenamed("paragraph_id", "source_paragraph_id"), "source_paragraph_id", "left_semi").join(own.withColumnRenamed("paragraph_id", "target_paragraph_id"), "target_paragraph_id", "left_semi")
+    three = ends.agg(F.count(F.lit(1)).alias("pseudolinks"))
+    return one.crossJoin(F.broadcast(two)).crossJoin(F.broadcast(three))  # single rows
+
+
 def _top(pairs: DataFrame, top_k: int | None, max_pairs: int | None) -> DataFrame:
     order = Window.partitionBy("source_paragraph_id").orderBy(F.col("score").desc(), "target_paragraph_id")
     if top_k:

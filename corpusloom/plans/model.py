@@ -15,7 +15,7 @@ from corpusloom.operators import graph
 from corpusloom.sources.tables import table
 
 VIEWS = {
-    "edge": "SELECT source_id, target_id, min(context) AS context, min(dom) AS dom FROM expressionlink WHERE source_id IS NOT NULL AND target_id IS NOT NULL GROUP BY source_id, target_id",
+    "edge": "SELECT source_id, target_id, context, dom FROM (SELECT *, row_number() OVER (PARTITION BY source_id, target_id ORDER BY context NULLS LAST, dom NULLS LAST) AS nth FROM expressionlink WHERE source_id IS NOT NULL AND target_id IS NOT NULL) WHERE nth = 1",
     "tag": "SELECT CAST(r_regionkey + 1 AS BIGINT) AS id, 1 AS land_id, CAST(NULL AS BIGINT) AS parent_id, r_regionkey AS sorting, r_name AS name FROM region UNION ALL SELECT CAST(n_nationkey + 101 AS BIGINT), 1, CAST(n_regionkey + 1 AS BIGINT), n_nationkey, n_name FROM nation",
     "taggedcontent": "SELECT s_suppkey AS id, CAST(s_nationkey + 101 AS BIGINT) AS tag_id, s_suppkey AS expression_id, s_name AS text FROM supplier",
     "media": "SELECT p_partkey AS id, p_partkey AS expression_id, concat('https://m.example/', p_partkey, '.jpg') AS url, p_type AS type, p_size * 40 AS width, p_size * 30 AS height, CAST(p_size AS BIGINT) * 30000 AS file_size, p_brand AS format, p_name AS image_hash, CASE WHEN p_size % 7 <> 0 THEN DATE '2024-01-01' END AS analyzed_at, CASE WHEN p_size % 11 = 0 THEN 'timeout' END AS analysis_error FROM part",

@@ -62,9 +62,12 @@ def node_csv(m):
     return graph.domain_nodes(m.expression, m.domain, LAND, MINREL).select("id", "name", "title", "description", "keywords", F.col("nbexpressions").alias("expressions"), "average_relevance")
 
 
-@query(f"SELECT d.name, count(*) AS expressions, round(avg(e.relevance), 2) AS average_relevance FROM {NODES} e JOIN webdomain d ON e.domain_id = d.id GROUP BY d.name")
+@query(f"""SELECT min(d.id) AS id, d.name, arg_min(d.title, d.id) FILTER (d.title IS NOT NULL AND d.id = f.id) AS title, count(*) AS expressions, round(avg(e.relevance), 2) AS average_relevance FROM {NODES} e
+    JOIN (SELECT id, CASE WHEN id % 9 = 4 THEN 'one.example' ELSE name END AS name, title FROM webdomain) d ON e.domain_id = d.id
+    JOIN (SELECT CASE WHEN w.id % 9 = 4 THEN 'one.example' ELSE w.name END AS name, min(w.id) AS id FROM webdomain w WHERE w.id IN (SELECT x.domain_id FROM {NODES} x) GROUP BY 1) f ON f.name = d.name GROUP BY d.name""")
 def nodegexf_nodes(m):
-    return graph.domain_graph_nodes(m.expression, m.domain, LAND, MINREL)
+    domain = m.domain.withColumn("name", F.when(F.col("id") % 9 == 4, "one.example").otherwise(F.col("name")))
+    return graph.domain_graph_nodes(m.expression, domain, LAND, MINREL).select("id", "name", "title", "expressions", "average_relevance")
 
 
 @query(f"""SELECT s.domain_id AS source, t.domain_id AS target, count(*) AS weight FROM edge l JOIN {NODES} s ON l.source_id = s.id JOIN {NODES} t ON l.target_id = t.id
@@ -336,7 +339,7 @@ def tag_content(m):
 _TRACK = "^(utm_.*|fbclid|gclid|mc_eid|ref_src|_ga|yclid|_openstat|wt_.*|msclkid|igshid|spm)(=|$)"
 _NORM = f"""CASE WHEN regexp_extract(b, '^([A-Za-z]+://)', 1) = '' THEN url ELSE lower(regexp_extract(b, '^([A-Za-z]+://)', 1)) || lower(regexp_extract(b, '^[A-Za-z]+://([^/?]*)', 1)) || regexp_extract(b, '^[A-Za-z]+://[^/?]*([^?]*)', 1)
     || CASE WHEN len(list_filter(string_split(CASE WHEN contains(b, '?') THEN regexp_replace(b, '^[^?]*\\?', '') ELSE '' END, '&'), lambda p: p <> '' AND NOT regexp_matches(p, '{_TRACK}'))) > 0
-    THEN '?' || array_to_string(list_sort(list_filter(string_split(CASE WHEN contains(b, '?') THEN regexp_replace(b, '^[^?]*\\?', '') ELSE '' END, '&'), lambda p: p <> '' AND NOT regexp_matches(p, '{_TRACK}'))), '&') ELSE '' END END"""
+    THEN '?' || array_to_string(list_transform(list_sort(list_transform(list_filter(string_split(CASE WHEN contains(b, '?') THEN regexp_replace(b, '^[^?]*\\?', '') ELSE '' END, '&'), lambda p: p <> '' AND NOT regexp_matches(p, '{_TRACK}')), lambda p, i: row(split_part(p, '=', 1), i, p))), lambda s: s[3]), '&') ELSE '' END END"""
 _ADDR = "(SELECT id, land_id, coalesce(original_url, url) AS url, string_split(coalesce(original_url, url), '#')[1] AS b FROM expression)"
 
 
@@ -510,9 +513,9 @@ def dom_map(m):
     return rows.select("id", "x.url", "x.dom", "x.context")
 
 
-@query("SELECT id, html FROM expression WHERE html IS NOT NULL")
+@query("SELECT id, CASE WHEN strlen(html) <= 1501 THEN html ELSE left(html, CAST((SELECT max(k) FROM range(375, 1502) r(k) WHERE strlen(left(html, CAST(k AS INT))) <= 1501) AS INT)) END AS html FROM expression WHERE html IS NOT NULL")
 def html_truncated(m):
-    return m.expression.filter("html IS NOT NULL").select("id", html.truncated(F.col("html")).alias("html"))
+    return m.expression.filter("html IS NOT NULL").select("id", html.truncated(F.col("html"), 1501).alias("html"))
 
 
 @query()
@@ -707,12 +710,17 @@ def similarity_reset(m):
     return similarity.reset(m.paragraph, empty, m.similarity, ids)[2].agg(F.count(F.lit(1)).alias("links"))
 
 
-@query("SELECT (SELECT count(*) FROM paragraph p JOIN expression e ON e.id = p.expression_id WHERE e.land_id = 1) AS paragraphs, (SELECT count(*) FROM similarity s JOIN expression a ON a.id = s.source_paragraph_id JOIN expression b ON b.id = s.target_paragraph_id WHERE a.land_id = 1 AND b.land_id = 1) AS pseudolinks")
+@query("""SELECT (SELECT count(*) FROM paragraph p JOIN expression e ON e.id = p.expression_id WHERE e.land_id = 1) AS paragraphs, (SELECT count(*) FROM paragraph p JOIN expression e ON e.id = p.expression_id WHERE e.land_id = 1 AND p.id % 3 <> 0) AS embeddings,
+    (SELECT count(*) FROM similarity s JOIN expression a ON a.id = s.source_paragraph_id JOIN expression b ON b.id = s.target_paragraph_id WHERE a.land_id = 1 AND b.land_id = 1) AS pseudolinks""")
 def embedding_summary(m):
-    ids = m.expression.filter(F.col("land_id") == LAND).select("id")
-    a = m.paragraph.join(ids.withColumnRenamed("id", "expression_id"), "expression_id", "left_semi").agg(F.count(F.lit(1)).alias("paragraphs"))
-    s = m.similarity.join(ids.withColumnRenamed("id", "source_paragraph_id"), "source_paragraph_id", "left_semi").join(ids.withColumnRenamed("id", "target_paragraph_id"), "target_paragraph_id", "left_semi")
-    return a.crossJoin(F.broadcast(s.agg(F.count(F.lit(1)).alias("pseudolinks"))))  # single rows
+    vectors = m.paragraph.filter("id % 3 <> 0").select(F.col("id").alias("paragraph_id"))
+    return similarity.summary(m.paragraph, vectors, m.similarity, m.expression, LAND)
+
+
+@query("""SELECT p.id AS paragraph_id FROM paragraph p JOIN expression e ON e.id = p.expression_id WHERE e.land_id = 1 AND e.relevance >= 4""")
+def relevant_vectors(m):
+    vectors = m.paragraph.select(F.col("id").alias("paragraph_id"), F.array(F.lit(1.0)).alias("embedding"))
+    return similarity.relevant_vectors(vectors, m.paragraph, m.expression, LAND, 4).select("paragraph_id")
 
 
 # --- search and dates ----------------------------------------------------------------
@@ -731,11 +739,13 @@ def search_fallback(m):
     return search.routed(m.result, "fallback", "query_id").select("pos", "query_id", "batch_no")
 
 
-@query("""SELECT x.pos, CASE WHEN e.id IS NOT NULL THEN 'duplicate' ELSE 'new' END AS state FROM (SELECT event_id AS pos, concat('https://fresh.example/', event_id) AS url FROM events UNION ALL SELECT 1000000000 + id, url FROM expression) x
+@query("""SELECT x.pos, CASE WHEN x.pos % 7 = 0 THEN 'skipped' WHEN e.id IS NOT NULL THEN 'duplicate' ELSE 'new' END AS state FROM (SELECT event_id AS pos, concat('https://fresh.example/', event_id) AS url FROM events UNION ALL SELECT 1000000000 + id, url FROM expression) x
     LEFT JOIN (SELECT url, min(id) AS id FROM expression WHERE land_id = 1 GROUP BY 1) e ON e.url = x.url""")
 def search_persist(m):
     rows = m.spark.sql("SELECT event_id AS pos, concat('https://fresh.example/', event_id) AS url FROM {ev} UNION ALL SELECT 1000000000 + id, url FROM {e}", ev=m.base("events"), e=m.expression)
-    return search.persisted(rows, m.expression, LAND).select("pos", "state")
+    # snapshots and trackers lead to the page itself; files are skipped
+    wrapped = F.when(F.col("pos") % 7 == 0, F.concat("url", F.lit(".pdf"))).when(F.col("pos") % 3 == 0, F.concat(F.lit("https://web.archive.org/web/20200102030405/"), "url")).when(F.col("pos") % 3 == 1, F.concat("url", F.lit("?utm_source=x#top"))).otherwise(F.col("url"))
+    return search.persisted(rows.withColumn("url", wrapped), m.expression, LAND).select("pos", "state")
 
 
 @query("""SELECT provider, CAST(sum(calls) AS BIGINT) AS calls, CAST(sum(errors) AS BIGINT) AS errors, arg_max(status, id) FILTER (status <> '') AS status, arg_min(quota, id) AS monthly_quota FROM (SELECT id, json_keys(usage_report)[1] AS provider,
@@ -764,6 +774,11 @@ def date_windows_day(m):
     return dates.windows(m.spark, _START, _END, "day")
 
 
+@query("SELECT CAST(s AS DATE) AS win_start, CAST(least(s + INTERVAL 1 MONTH - INTERVAL 1 DAY, DATE '2024-04-10') AS DATE) AS win_end FROM generate_series(DATE '2024-01-29', DATE '2024-04-10', INTERVAL 1 MONTH) t(s)")
+def date_windows_calendar(m):
+    return dates.windows(m.spark, _START, _END, "month")
+
+
 @query("SELECT CAST(s AS DATE) AS win_start, CAST(least(s + INTERVAL 6 DAY, DATE '2024-04-10') AS DATE) AS win_end FROM generate_series(DATE '2024-01-29', DATE '2024-04-10', INTERVAL 7 DAY) t(s)")
 def date_windows_week(m):
     return dates.windows(m.spark, _START, _END, "week")
@@ -875,10 +890,11 @@ def normalise_totals(m):
     return normalize.totals(moves, m.link).select("renamed", "merged")
 
 
-@query("SELECT id, url FROM expression e WHERE domain_id IN (SELECT id FROM webdomain WHERE name IN ('web.archive.org', 'archive.org', 'ghostarchive.org') OR id % 10 = 3)")
+@query("""SELECT id, url, regexp_extract(url, '^https?://([^/?#]*)', 1) AS new_domain, seorank FROM (SELECT id, url, CAST(NULL AS VARCHAR) AS seorank FROM expression e WHERE domain_id IN (SELECT id FROM webdomain WHERE name IN ('web.archive.org', 'archive.org', 'ghostarchive.org') OR id % 10 = 3))""")
 def snapshot_domain_pages(m):
     domain = m.domain.select("id", F.when(F.col("id") % 10 == 3, "archive.org").otherwise(F.col("name")).alias("name"))
-    return select.snapshot_domain_pages(m.expression, domain).select("id", "url")
+    wrapped = m.expression.withColumn("url", F.concat(F.lit("https://web.archive.org/web/20200102030405/"), "url"))
+    return select.snapshot_domain_pages(wrapped, domain).select("id", "url", "new_domain", "seorank")
 
 
 @query("SELECT id, regexp_extract(url, '^(https?://[^/]+)', 1) || '/img/' || id || '.png' AS url FROM expression")
@@ -892,9 +908,42 @@ def same_pages(m):
     return m.expression.select("id", urls.same_page("url", target).alias("same"))
 
 
-@query("SELECT id, replace(url, 'https://', 'https://') AS url FROM expression")
+@query("SELECT id, concat(url, '/a%20%C3%A9', id, '%5B') AS url FROM expression")
 def request_addresses(m):
-    return m.expression.select("id", urls.request_url(F.concat(F.lit("https://web.archive.org/web/2020/"), "url")).alias("url"))
+    return m.expression.select("id", urls.request_url(F.concat(F.lit("https://web.archive.org/web/2020/"), "url", F.lit("/a é"), "id", F.lit("["))).alias("url"))
+
+
+@query("SELECT id, url || CASE id % 8 WHEN 0 THEN '?a=2&a=1&b=2' WHEN 3 THEN '?q=x' ELSE '' END AS url FROM expression")
+def url_cases(m):
+    """The whole normaliser: repeated keys, snapshots, fragments, case of the host, doubled schemes, redirects, trackers."""
+    url, bare = F.col("url"), F.regexp_replace("url", "^https?://", "")
+    cases = [F.concat(url, F.lit("?b=2&a=2&utm_source=n&a=1")), F.concat(F.lit("https://web.archive.org/web/20200102030405/"), url), F.concat(url, F.lit("#part")), F.concat(F.regexp_extract("url", "^(https?://)", 1), F.upper(F.substring_index(bare, "/", 1)), F.regexp_extract(bare, "^[^/]*(.*)$", 1), F.lit("?q=x&fbclid=1")),
+             F.concat(F.lit("http://"), url), F.concat(F.lit("https://www.linkedin.com/safety/go?url="), url), F.concat(url, F.lit("?gclid=2&wt_zmc=3")), F.concat(url, F.lit(").,"))]
+    made = F.coalesce(*[F.when(F.col("id") % 8 == i, c) for i, c in enumerate(cases)])
+    return m.expression.select("id", urls.normalize(made, urls.UrlRules(unwrap_redirect=True)).alias("url"))
+
+
+@query("""SELECT id, concat('Og ', id) AS title, concat('about ', id) AS description, 'k1, k2' AS keywords, 'fr' AS lang, concat('no See one of two', chr(10), 'next [IMAGE: /I', id, '.PNG]') AS readable,
+    concat(url, '/one', id) AS link, 2 AS links, concat('https://img.example/i', id, '.png') AS media, 'html > body > div#m.x > p' AS dom, 'See one of two' AS context FROM expression""")
+def page_cases(m):
+    """One crafted page for each row, paragraphs without end tags: its head, text, links with their places, and media."""
+    i = F.col("id")
+    made = F.concat(
+        F.lit('<html lang="fr"><head><title>no</title><meta property="og:title" content=" Og '), i, F.lit(' "><meta name="description" content="about '), i, F.lit('"><meta name="keywords" content="k1, k2"></head><body><nav><a href="mailto:x@y">menu</a></nav><div id="m" class="x"><p>See <a href="'), F.col("url"), F.lit("/one"), i,
+        F.lit('">one</a> of <a href="https://b.example/">two</a>\n<p>next <img src="/I'), i, F.lit('.PNG"></div><footer>foot</footer></body></html>'),
+    )
+    rows = m.expression.select("id", "url", made.alias("html")).withColumn("p", html.page_struct("html", F.lit("https://img.example/p"))).withColumn("c", html.link_contexts("html", F.lit("https://img.example/p")))
+    first = F.get("c", F.lit(0))
+    readable = F.regexp_replace(F.regexp_replace("p.readable", " +", " "), " *\n *", "\n")
+    return rows.select("id", "p.title", "p.description", "p.keywords", "p.lang", readable.alias("readable"), F.get("p.links", F.lit(0)).alias("link"), F.size("p.links").alias("links"), F.get("p.media", F.lit(0))["url"].alias("media"), first["dom"].alias("dom"), first["context"].alias("context"))
+
+
+@query("""SELECT id, u.url FROM (SELECT id, [concat('https://x.example/p', id), concat('https://x.example/auto', id), concat('https://y.example/rel', id)] AS us FROM mercuryresult), unnest(us) AS u(url)""")
+def md_cases(m):
+    """Links of crafted Markdown: inline with a title, automatic, relative; images and mail addresses are none."""
+    i = F.col("id")
+    text = F.concat(F.lit("[a](https://x.example/p"), i, F.lit(' "t") ![i](https://x.example/i.png) <https://x.example/auto'), i, F.lit("> [b](/rel"), i, F.lit(") [c](mailto:x@y)"))
+    return m.mercury.select("id", F.explode(markdown.links(text, F.lit("https://y.example/d"))).alias("url"))
 
 
 @query("SELECT l.source_id AS id, count(*) AS links FROM edge l JOIN expression e ON e.id = l.source_id WHERE e.relevance > 0 AND e.depth < 3 GROUP BY 1")
@@ -932,10 +981,19 @@ def orphan_words(m):
     return state.orphan_words(word, bridge).select("term", "lang")
 
 
-@query("""SELECT e.id, CASE WHEN coalesce(trim(e.title), '') = '' AND g.t IS NOT NULL THEN g.t ELSE e.title END AS title FROM expression e LEFT JOIN (SELECT url, max(concat('given ', url)) AS t FROM expression WHERE depth > 0 GROUP BY url) g ON g.url = e.url WHERE e.land_id = 1""")
+@query("""SELECT e.id, CASE WHEN coalesce(e.title, '') = '' AND g.t IS NOT NULL THEN g.t ELSE e.title END AS title FROM (SELECT id, url, land_id, CASE WHEN id % 5 = 0 THEN ' ' WHEN id % 5 < 3 THEN NULL ELSE title END AS title FROM expression) e
+    LEFT JOIN (SELECT url, concat('given ', max(id)) AS t FROM expression WHERE depth > 0 GROUP BY url) g ON g.url = e.url WHERE e.land_id = 1""")
 def listed_urls(m):
-    listed = m.expression.filter("depth > 0").select("url", F.concat(F.lit("given "), "url").alias("title"), F.lit(None).cast("timestamp_ntz").alias("published_at"))
-    return search.added_urls(listed, m.expression, LAND)[0].select("id", "title")
+    pages = m.expression.withColumn("title", F.when(F.col("id") % 5 == 0, " ").when(F.col("id") % 5 < 3, None).otherwise(F.col("title")))
+    listed = m.expression.filter("depth > 0").select(F.concat("url", F.when(F.col("id") % 2 == 0, "#part").otherwise("")).alias("url"), F.concat(F.lit("given "), "id").alias("title"), F.lit(None).cast("timestamp_ntz").alias("published_at"), (-F.col("id")).alias("pos"))
+    return search.added_urls(listed, pages, LAND, "pos")[0].select("id", "title")
+
+
+@query("""SELECT DISTINCT concat('https://new.example/', event_id % 100) AS url, concat('t ', min(event_id) OVER (PARTITION BY event_id % 100)) AS title FROM events WHERE event_id % 10 <> 3""")
+def listed_new_urls(m):
+    address = F.concat(F.lit("HTTPS://New.Example/"), F.col("event_id") % 100, F.when(F.col("event_id") % 10 == 3, ".pdf").otherwise("#a"))
+    listed = m.base("events").select(address.alias("url"), F.concat(F.lit("t "), "event_id").alias("title"), F.lit(None).cast("timestamp_ntz").alias("published_at"), F.col("event_id").alias("pos"))
+    return search.added_urls(listed, m.expression, LAND, "pos")[1].select("url", F.col("new_title").alias("title"))
 
 
 @query("SELECT row_number() OVER (ORDER BY name) + (SELECT max(id) FROM webdomain) AS id, name FROM (SELECT DISTINCT concat('new-', name) AS name FROM webdomain) UNION ALL SELECT id, name FROM webdomain")

@@ -59,12 +59,17 @@ def frames(tables, kind: str, land_id: int, minrel: int = 1, fullhtml: bool = Fa
     if kind == "nodelinkcsv":
         four = graph.link_frames(e, d, link, land_id, minrel, fullhtml)
         four["pagesnodes"] = with_ranking(four["pagesnodes"].drop("seorank", "domain_name"), t, land_id, minrel)
+        orders = {
+            "pagesnodes": [F.col("relevance").desc(), "id"], "pageslinks": ["source_id", "target_id"], "domainnodes": [F.col("nbexpressions").desc(), "id"],
+            "domainlinks": [F.col("link_count").desc(), "source_domain_id", "target_domain_id"],
+        }
+        four = {k: v.orderBy(*orders[k]) if k in orders else v for k, v in four.items()}
         return {k: shown(v) if k.endswith("nodes") else v for k, v in four.items()}
     if kind == "pagegexf":
         nodes = qualified(e, land_id, minrel).select("id", "url", "title", "description", "keywords", "domain_id", "relevance", "depth")
         return {"nodes": with_ranking(nodes, t, land_id, minrel), "links": graph.page_edges(e, link, land_id, minrel)}
     if kind == "nodegexf":
-        nodes = graph.domain_nodes(e, d, land_id, minrel).select("id", "name", "title", "description", "keywords", F.col("nbexpressions").alias("expressions"), "average_relevance")
+        nodes = graph.domain_graph_nodes(e, d, land_id, minrel)
         links = graph.domain_links(e, d, link, land_id, minrel).select(F.col("source_domain_id").alias("source"), F.col("target_domain_id").alias("target"), F.col("link_count").alias("weight"))
         return {"nodes": nodes, "links": links}
     if kind == "pseudolinks":

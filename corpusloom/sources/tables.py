@@ -44,7 +44,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 
     On a cluster it is named by ``spark.checkpoint.dir``. Only where nothing is
-    set (tests, one machine) a folder below the warehouse is chosen.
+    set and the master is local (tests, one machine) a folder below the warehouse is chosen.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
@@ -52,6 +52,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if have.isDefined():
         return have.get()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse")
         named = os.path.join(base, "_checkpoints")
     sc.setCheckpointDir(named)

@@ -68,3 +68,22 @@ def test_domains():
     assert needs_page("https://www.amazon.fr/dp/1", t) and not needs_page("https://example.org/", t)
     assert from_page("https://www.youtube.com/watch?v=1", H.parse('<span itemprop="author"><link itemprop="url" href="http://www.youtube.com/@c"></span>'), t) == "www.youtube.com/@c"
     assert from_url("https://web.archive.org/web/2020/https://github.com/someone/repo", t) == "github.com/someone"
+
+
+def test_pages_of_many_open_elements():
+    for tag in ("p", "li", "div", "b", "td", "section"):
+        page = "".join(f"<{tag}>t{i} <a href='/l{i}'>x</a>" for i in range(100_000 if tag in ("p", "li") else 20_000))
+        doc = H.parse(page)
+        n = page.count("<a ")
+        assert len(doc.links("https://a.org/")) == n
+        assert doc.dropped().readable().startswith("t0") and len(doc.media("https://a.org/")) == 0
+    few = H.parse("<ul>" + "<li>item <a href='/l'>x</a>" * 3000).link_contexts("https://a.org/")
+    assert few["https://a.org/l"]["dom"] == "ul > li" and few["https://a.org/l"]["context"] == "item x"
+    assert H.parse("<div>" * 100_000 + "deep").root.find("div").markup(50)[:10] == "<div><div>"
+
+
+def test_implied_ends():
+    info = H.parse("<body><p>one <a href='/1'>a</a><p>two <a href='/2'>b</a><ul><li>c <a href='/3'>c</a><li>d <ul><li>e <a href='/4'>e</a></ul></ul><table><tr><td>f <a href='/5'>f</a><tr><td>g</table>").link_contexts("https://a.org/")
+    got = {k: (v["dom"], v["context"]) for k, v in info.items()}
+    assert got["https://a.org/1"] == ("body > p", "one a") and got["https://a.org/2"] == ("body > p", "two b")
+    assert got["https://a.org/3"] == ("body > ul > li", "c c") and got["https://a.org/4"] == ("body > ul > li > ul > li", "e e") and got["https://a.org/5"] == ("body > table > tr > td", "f f")
