@@ -5,11 +5,13 @@ wiki or latex. What code blocks show is read as words. Marks that two notations
 share wait until the rest of the field has told which of them it uses.
 
 Cleaning. Words score positive and tags negative, with weights that ``fit_weights``
-learns from pages whose elements tell content from furniture; a linear scan finds the
-contiguous run of blocks with the greatest sum, the content region. A block outside it whose
-own score is not positive, and which has links or furniture tags, is dropped unless it is a heading, list item, code block, table or formula; elsewhere marks become
-plain text that keeps the structure: headings as ``# ``, list items as ``- ``, code between fences,
+learns from pages whose elements tell content from furniture, and a furniture element weighs on every block within it; a
+linear scan finds the contiguous run of blocks with the greatest sum, the content region. Furniture without a positive score goes, and so does,
+outside the region, a block that is nothing but links; headings, other list items, code blocks, tables and formulas of
+an extract stay. Elsewhere marks become plain text that keeps the structure: headings as ``# ``, list items as ``- ``, code between fences,
 formulas in their dollars, table cells between bars.
+
+Which notations a field holds is no question of regions, so ``markup_kinds`` asks the tokenizer alone.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from __future__ import annotations
 import html as _html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -127,15 +130,16 @@ def kinds(text: str) -> set[str]:
     return found
 
 
-# Weights of words and tags in bits, as ``fit_weights`` gives them on the labelled pages of the test data; tags not named have OTHER.
+# Weights of words and tags in bits where none are passed in: what ``fit_weights`` gave on labelled pages, rounded; tags not named have OTHER.
 WORD = 0.25
 OTHER = -1.2
-#: A block may be dropped only if one of its tags weighs this or less.
-AGAINST = -2.0
-WEIGHTS = {"word": WORD, "p": -1.0, "a": -4.6, "li": -2.3, "div": -0.1, "ul": -2.1, "nav": -2.6, "aside": -0.8, "header": -10.3, "footer": -10.3, "article": -0.1, "main": -0.1, "h1": -0.1, "h2": -0.1, "figure": -0.1, "em": -0.1, "b": -0.1, "img": -0.1, "blockquote": -0.1, "script": -6.0, "style": -6.0, "form": -6.0, "iframe": -4.0}
+WEIGHTS = {"word": WORD, "p": -1.0, "a": -4.6, "li": -2.3, "div": -0.1, "ul": -2.1, "nav": -2.6, "aside": -0.8, "header": -10.3, "footer": -10.3, "article": -0.1, "main": -0.1, "h1": -0.1, "h2": -0.1, "figure": -0.1, "em": -0.1, "b": -0.1, "img": -0.1, "blockquote": -0.1}
+# Elements whose content is never read have no labelled words, so their weights are set, not learned.
+UNREAD = {"script": -6.0, "style": -6.0, "form": -6.0, "iframe": -4.0}
 
 _BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _SPLIT = re.compile(rf"(<!--.*?(?:-->|\Z)|<!doctype[^>]*>|</?{_NAME}(?=[\s/>])(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>|</?{_NAME}(?=[\s/>])[^<>]*>)", re.I | re.S)
+_FURNITURE = frozenset("nav aside footer header form menu".split())
 _TAG_NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)")
 _BLOCK_SIGN = re.compile(r"</?(?:p|div|li|h[1-6]|tr|td|th|blockquote|article|section|ul|ol|dl|dd|dt|table|pre)\b", re.I)
 _LINE_FEED = re.compile(r"\n(?![^<>]*>)")
@@ -155,22 +159,33 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return at
 
 
-def _html_blocks(text: str, weights: dict[str, float]) -> list[tuple[float, str, bool]]:
-    """(score, plain text, to be kept) of each block of an HTML text; only blocks with a tag that speaks against them may go."""
-    out: list[tuple[float, str, bool]] = []
+class Block(NamedTuple):
+    score: float
+    text: str
+    heading: bool
+    furniture: bool
+    linked: bool
+
+
+def _html_blocks(text: str, weights: dict[str, float]) -> list[Block]:
+    """The blocks of an HTML text with their scores; ``furniture`` stand in a furniture element, ``linked`` are nothing but links."""
+    out: list[Block] = []
     piece: list[str] = []
-    score, prefix, structural, skip, against = 0.0, "", False, "", False
+    score, prefix, heading, skip = 0.0, "", False, ""
+    open_furniture: list[str] = []
+    links = words = linked = 0
 
     def close() -> None:
-        nonlocal score, prefix, structural, against
+        nonlocal score, prefix, heading, words, linked
         plain = " ".join(_html.unescape("".join(piece)).split())
         if plain:
-            out.append((score + weights.get("word", WORD) * len(plain.split()), prefix + plain, structural or not against or "\ue000" in plain))
-            prefix, structural = "", False
+            held = sum(weights.get(name, OTHER) for name in open_furniture)
+            out.append(Block(score + held + weights.get("word", WORD) * len(plain.split()), prefix + plain, heading, bool(open_furniture), 0 < words == linked))
+            prefix, heading = "", False
         elif score:
-            out.append((score, "", False))
+            out.append(Block(score, "", False, bool(open_furniture), False))
         piece.clear()
-        score, against = 0.0, False
+        score, words, linked = 0.0, 0, 0
 
     for token in _SPLIT.split(text):
         if not token:
@@ -181,6 +196,9 @@ def _html_blocks(text: str, weights: dict[str, float]) -> list[tuple[float, str,
         if m is None:
             if not skip:
                 piece.append(token)
+                n = len(token.split())
+                words += n
+                linked += n if links else 0
             continue
         name, end = m[2].lower(), bool(m[1])
         if skip:
@@ -195,11 +213,12 @@ def _html_blocks(text: str, weights: dict[str, float]) -> list[tuple[float, str,
             piece.append("\n")
             close()
             continue
+        if name == "a":
+            links = max(0, links - 1) if end else links + 1
         if name == "img":
             alt = re.search(r"\balt\s*=\s*[\"']?([^\"'>]+)", token, re.I)
             if alt:
                 piece.append(alt[1])
-        against = against or weights.get(name, OTHER) <= AGAINST
         if end:
             score += weights.get(name, OTHER)
         if name in _BLOCK_TAGS:
@@ -208,21 +227,43 @@ def _html_blocks(text: str, weights: dict[str, float]) -> list[tuple[float, str,
             elif name not in ("td", "th"):
                 close()
             if name in ("h1", "h2", "h3", "h4", "h5", "h6"):
-                prefix, structural = ("", False) if end else ("#" * int(name[1]) + " ", True)
+                prefix, heading = ("", False) if end else ("#" * int(name[1]) + " ", True)
             elif name == "li" and not end:
-                prefix, structural = "- ", True
+                prefix = "- "
             elif name == "blockquote" and not end:
                 prefix = "> "
             elif name == "tr" and not end:
-                prefix, structural = "| ", True
+                prefix = "| "
             elif name in ("table", "p", "div", "ul", "ol", "tr", "blockquote") and end:
-                prefix, structural = "", False
+                prefix, heading = "", False
+            if name in _FURNITURE:
+                if not end:
+                    open_furniture.append(name)
+                elif name in open_furniture:
+                    while open_furniture.pop() != name:
+                        pass
         if not end:
             score += weights.get(name, OTHER)
     close()
     return out
 
 
+def kept_blocks(blocks: list[Block]) -> list[Block]:
+    """The blocks that stay, by the best region; where no run scores positive, all but furniture stay."""
+    lo, hi = best_region([b.score for b in blocks])
+    some = hi > lo
+    out = []
+    for i, b in enumerate(blocks):
+        if not b.text:
+            continue
+        held = "\ue000" in b.text
+        if b.furniture and b.score <= 0 and not held:
+            continue
+        if lo <= i < hi or held or b.heading or b.score > 0 or not (some and b.linked):
+            out.append(b)
+    return out
+
+
 def _markdown(text: str) -> str:
     text = re.sub(r"^ {0,3}\[\^?[^\[\]\n]+\]:\s*\S.*$", "", text, flags=re.M)
     text = re.sub(r"!\[([^\[\]\n]*)\]\([^()\n]*(?:\([^()\n]*\)[^()\n]*)*\)", r"\1", text)
@@ -274,7 +315,7 @@ def clean(text: str | None, weights: dict[str, float] | None = None) -> str | No
     found = kinds(text)
     if not found:
         return text.strip()
-    weights = weights or WEIGHTS
+    weights = (weights or WEIGHTS) | UNREAD
     kept: list[str] = []
 
     def keep(shown: str) -> str:
@@ -306,9 +347,7 @@ def clean(text: str | None, weights: dict[str, float] | None = None) -> str | No
             tagged = sum(bool(_BLOCK_SIGN.search(x)) for x in filled)
             # where most lines stand without an element, line feeds are the structure
             marked = text if 2 * tagged >= len(filled) else _LINE_FEED.sub("<br>", text)
-            blocks = _html_blocks(marked, weights)
-            lo, hi = best_region([b[0] for b in blocks])
-            text = "\n".join(b[1] for i, b in enumerate(blocks) if b[1] and (lo <= i < hi or b[2] or b[0] > 0))
+            text = "\n".join(b.text for b in kept_blocks(_html_blocks(marked, weights)))
         else:
             text = _html.unescape(text)
         text = text.replace("\xa0", " ")
@@ -328,7 +367,6 @@ def clean(text: str | None, weights: dict[str, float] | None = None) -> str | No
 #: Labelled pages that ``fit_weights`` reads at most.
 LABELLED = 2000
 _REGION = re.compile(r"<(article|main)\b", re.I)
-_FURNITURE = frozenset("nav aside footer header form".split())
 
 
 def count_tokens(page: str) -> tuple[dict[str, int], dict[str, int]]:
@@ -401,12 +439,17 @@ def markup_kinds(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     return df.select(F.col(f"`{key}`").alias("key"), *[F.col(f"`{f}`").alias(f"f{i}") for i, f in enumerate(fields)]).mapInArrow(run, f"key {kind}, field string, kind string")
 
 
-def clean_fields(df: DataFrame, key: str, fields: list[str], weights: dict[str, float] | None = None) -> DataFrame:
-    """(key, fields…): every row with its fields as clean text; null stays null."""
+def clean_fields(df: DataFrame, key: str, fields: list[str], weights: DataFrame | None = None) -> DataFrame:
+    """(key, fields…): every row with its fields as clean text; null stays null.
+
+    ``weights`` (token, weight) come from ``fit_weights``, one for each element name at most; where it has none, ``WEIGHTS`` hold.
+    """
+    fitted = {r["token"]: r["weight"] for r in weights.select("token", "weight").collect()} if weights is not None else {}
+    use = WEIGHTS | fitted
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([clean(t, weights) for t in batch.column(j).to_pylist()], pa.string()) for j in range(1, len(fields) + 1))], names=["key", *fields])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([clean(t, use) for t in batch.column(j).to_pylist()], pa.string()) for j in range(1, len(fields) + 1))], names=["key", *fields])
 
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(f"`{key}`").alias("key"), *[F.col(f"`{f}`").alias(f) for f in fields])

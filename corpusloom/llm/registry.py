@@ -27,7 +27,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_clean(spark: SparkSession, d: str) -> DataFrame:
-    return markup.clean_fields(table(spark, d, "mercuryresult"), "id", ["content", "markdown"]).withColumnRenamed("key", "result_id")
+    """Every field as clean text, with weights learned from the stored pages."""
+    return markup.clean_fields(table(spark, d, "mercuryresult"), "id", ["content", "markdown"], p1_weights(spark, d)).withColumnRenamed("key", "result_id")
 
 
 def p1_weights(spark: SparkSession, d: str) -> DataFrame:

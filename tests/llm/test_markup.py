@@ -50,3 +50,19 @@ def test_long_formula():
     formula = "$" + " + ".join(f"x_{{{i}}} y^{{{i}}}" for i in range(40)) + "$"
     text = f"The sum {formula} converges. Another *one* is *not* shown."
     assert len(formula) > 300 and M.kinds(f"The sum {formula} converges.") == {"latex"} and formula in M.clean(text)
+
+
+def test_furniture_goes_and_the_extract_stays():
+    body = "".join(f"<p>Sentence {i} of the article tells more about the river and its old bridge.</p>" for i in range(5))
+    page = f"<nav><ul><li><a href=/>Home</a></li><li><a href=/n>News</a></li></ul></nav><article><h1>T</h1>{body}<ul><li>first item</li><li><a href=/x>linked</a> item with words</li></ul></article><footer><p>© 2020 Site</p></footer>"
+    out = M.clean(page)
+    assert "Home" not in out and "News" not in out and "©" not in out
+    assert out.startswith("# T") and "- first item" in out and "- linked item with words" in out
+    assert M.clean("<ul><li><a href=/a>one</a></li><li><a href=/b>two</a></li></ul>") == "- one\n- two"
+
+
+def test_passed_weights_decide(spark):
+    df = spark.createDataFrame([(1, "<p><a href=x>only a link</a></p>" + "<p>" + "word " * 40 + "</p>")], "id bigint, content string")
+    weights = lambda a: spark.createDataFrame([("word", 0.3), ("a", a), ("p", -0.1)], "token string, weight double")
+    assert "only a link" not in M.clean_fields(df, "id", ["content"], weights(-9.0)).first()["content"]
+    assert "only a link" in M.clean_fields(df, "id", ["content"], weights(-0.1)).first()["content"]
