@@ -7,7 +7,7 @@ have the same shingles and so the same minimum; a long ``GRAM`` keeps chance
 collisions rare. A text's signature is the set of minima of all its paragraphs, about
 one for every 50 code points.
 
-Paragraphs that collide are compared exactly, by two 64-bit hashes of their ``SPAN`` code points, not
+Paragraphs that collide are compared exactly, by 96 bits of hash of their ``SPAN`` code points, not
 text against text: a passage that n texts share is one group of n rows, not n * n / 2 candidates. Groups
 with the same members, such as the paragraphs of one passage, count once. Amounts
 and clusters come from the groups alone and stay linear; only where every pair is asked for are the groups
@@ -102,8 +102,8 @@ def _sent_if_small(keys: DataFrame) -> DataFrame:
 class Shared:
     """What the texts of a table share, each table written to the checkpoint folder.
 
-    ``classes``: (key, rep, copies, n) of the rows whose text others have too. ``windows``: (key, start) of each paragraph of a class
-    representative that another has. ``members``: (group, key, size): the groups of representatives that have a paragraph in common.
+    ``classes``: (key, rep, copies, n) of the rows whose text others have too. ``windows``: (key, start, group, size) of each paragraph of a class
+    representative that another has, worked out when asked for. ``members``: (group, key, size): the groups of representatives that have a paragraph in common.
     """
 
     def __init__(self, df: DataFrame, key: str, text: str):
@@ -114,13 +114,13 @@ class Shared:
 
         def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                keys = batch.column(0).to_numpy(zero_copy_only=False)
                 signed = [signature(t) for t in batch.column(1).to_pylist()]
-                sizes = [len(s) for s in signed]
                 marks = np.concatenate(signed).view(np.int64) if signed else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys, sizes), pa.int64()), pa.array(marks)], names=["key", "mark"])
+                offsets = np.concatenate([[0], np.cumsum([len(s) for s in signed])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(marks))], names=["key", "marks"])
 
-        marks = reps.mapInArrow(sign, "key bigint, mark bigint").checkpoint()
+        signed = reps.mapInArrow(sign, "key bigint, marks array<bigint>").checkpoint()
+        marks = signed.select("key", F.explode("marks").alias("mark"))
         # minima of one text alone go; those of many texts are sent to the rows instead of gathering these
         often = marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").checkpoint()
         if often.count() <= SENT:
@@ -133,29 +133,32 @@ class Shared:
 
         def hash_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                out: list[tuple] = []
-                for key_, text_, marks_ in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                cols: list[list[np.ndarray]] = [[], [], []]
+                for text_, marks_ in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                     points = np.frombuffer(text_.encode("utf-32-le", "surrogatepass"), np.uint32)
                     least = window_minima(gram_hashes(points, GRAM), SPAN - GRAM + 1)
                     start = np.flatnonzero(np.isin(least, np.array(marks_, np.int64).view(np.uint64)))
-                    h1, h2 = gram_hashes(points, SPAN)[start].view(np.int64), gram_hashes(points, SPAN, True)[start].view(np.int64)
-                    # a paragraph that a text has twice counts once, at all its places
-                    once = np.zeros(len(start), bool)
-                    once[np.unique(h1, return_index=True)[1]] = True
-                    out.append((np.full(len(start), key_), start, h1, h2, once))
-                if out:
-                    cols = [np.concatenate(c) for c in zip(*out)]
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.bool_())], names=["key", "start", "h1", "h2", "once"])
-
-        windows = few.select("key", "text", "marks").mapInArrow(hash_windows, "key bigint, start int, h1 bigint, h2 bigint, once boolean").checkpoint()
-        groups = windows.filter("once").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("key").cast("decimal(20,0)")).alias("sum"), F.min("key").alias("least"), F.max("key").alias("most")).filter("size > 1")
-        groups = groups.select("h1", "h2", "size", F.xxhash64("size", "sum", "least", "most").alias("group")).checkpoint()
+                    cols[0].append(start)
+                    cols[1].append(gram_hashes(points, SPAN)[start].view(np.int64))
+                    cols[2].append((gram_hashes(points, SPAN, True)[start] >> np.uint64(32)).astype(np.uint32).view(np.int32))
+                if cols[0]:
+                    offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in cols[0]])]), pa.int32())
+                    lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(c), t)) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int32()))]
+                    yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["key", "start", "h1", "h2"])
+
+        hashed = few.select("key", "text", "marks").mapInArrow(hash_windows, "key bigint, start array<int>, h1 array<bigint>, h2 array<int>").checkpoint()
+        # a paragraph that a text has twice counts once
+        once = hashed.select("key", F.inline(F.array_distinct(F.arrays_zip("h1", "h2"))))
+        groups = once.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("key")).alias("keys")).filter("size > 1")
+        # paragraphs with the same members are one group
+        groups = groups.select("h1", "h2", "size", F.xxhash64("size", "keys").alias("group")).checkpoint()
+        windows = hashed.select("key", F.inline(F.arrays_zip("start", "h1", "h2")))
         if groups.count() <= SENT:
             joined = windows.join(F.broadcast(groups), ["h1", "h2"])
         else:
             joined = join_counted(windows, groups, ["h1", "h2"], "size")
-        self.windows = joined.select("key", "start", "group", "size").checkpoint()
-        self.members = self.windows.select("group", "key", "size").distinct()
+        self.windows = joined.select("key", "start", "group", "size")
+        self.members = self.windows.select("group", "key", "size").distinct().checkpoint()
 
     def pairs(self) -> DataFrame:
         """(key_a, key_b) of the representatives that share a paragraph; a large group is paired in several tasks."""
@@ -232,6 +235,6 @@ def removal_clusters(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, cluster_id, keep) of the rows that share spans or copies: one row of each cluster, the smallest key, is kept."""
     shared = Shared(df, key, text)
     first = shared.members.groupBy("group").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n"))
-    edges = join_counted(shared.members.select("group", "key").checkpoint(), first, ["group"], "n").filter("key <> first").select("key", "first")
+    edges = join_counted(shared.members.select("group", "key"), first, ["group"], "n").filter("key <> first").select("key", "first")
     edges = edges.union(shared.classes.filter("key <> rep").select(F.col("key").cast("long"), F.col("rep").cast("long")))
     return components(edges, "key", "first").select(F.col("node").alias(key), F.col("component").alias("cluster_id"), (F.col("node") == F.col("component")).alias("keep"))
