@@ -4,9 +4,10 @@
 counts; ``cap_contributors`` then keeps each contributor's best records.
 
 No contributor is ever gathered in one task. Records are counted by
-(contributor, quality, tie-break range); running sums over those counts name the
-one range in which the cap falls, and only that range, at most ``RANGE`` tie-break
-values wide, is ranked row by row.
+(contributor, quality); running sums over those counts name the one quality at which the cap
+falls. Its records are counted again by ranges of the tie-break, of equal width and as many as hold about ``RANGE``
+records each, however far apart the values lie; and only the one range in which the cap falls is
+ranked row by row.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Width of a tie-break range. Ids are unique, so a range holds at most this many rows.
+#: Records of a tie-break range, about, where their values are spread evenly.
 RANGE = 100_000
 
 
@@ -83,9 +84,8 @@ def cap_contributors(
         F.col(f"`{quality}`").alias("_q"),
         F.col(f"`{tie}`").cast("long").alias("_tie"),
     )
-    rows = rows.withColumn("_range", F.expr(f"coalesce(_tie div {RANGE}L - if(_tie < 0, 1L, 0L), {2**62}L)"))
     # The same plan without the other columns: the parquet scan reads three columns for the counts.
-    grouped = rows.groupBy("_who", "_q", "_range").agg(F.count(F.lit(1)).alias("_n"))
+    grouped = rows.groupBy("_who", "_q").agg(F.count(F.lit(1)).alias("_n"), F.min("_tie").alias("_lo"), F.max("_tie").alias("_hi"))
     counts = grouped.groupBy(F.col("_who").alias("contributor")).agg(F.sum("_n").alias("n"))
     caps = [F.lit(max_count).cast("long")] if max_count is not None else []
     if max_share is not None:
@@ -95,19 +95,29 @@ def cap_contributors(
         over = counts
     limit = F.least(*caps) if len(caps) > 1 else caps[0]
     over = over.withColumn("_cap", limit).filter(F.col("n") > F.col("_cap")).select(F.col("contributor").alias("_who2"), "_cap")
-    order = Window.partitionBy("_who").orderBy(F.col("_q").desc_nulls_last(), F.col("_range").asc())
+    order = Window.partitionBy("_who").orderBy(F.col("_q").desc_nulls_last())
+    span = (F.col("_hi").cast("double") - F.col("_lo").cast("double") + 1) / F.ceil(F.col("_n") / RANGE)
+    # one row for each contributor beyond its cap: the quality at which the cap falls
     cut = (
         grouped.join(over, F.col("_who").eqNullSafe(F.col("_who2")))
         .withColumn("_upto", F.sum("_n").over(order))
         .filter((F.col("_upto") > F.col("_cap")) & (F.col("_upto") - F.col("_n") <= F.col("_cap")))
-        .select("_who2", F.col("_q").alias("_cq"), F.col("_range").alias("_crange"), (F.col("_cap") - F.col("_upto") + F.col("_n")).alias("_left"))
+        .select("_who2", F.col("_q").alias("_cq"), (F.col("_cap") - F.col("_upto") + F.col("_n")).alias("_need"), F.col("_lo").cast("double").alias("_from"), F.greatest(F.lit(1.0), span).alias("_width"))
     )
     joined = rows.join(cut, F.col("_who").eqNullSafe(F.col("_who2")), "left")
-    same_q = F.col("_q").eqNullSafe(F.col("_cq"))
+    same_q = F.col("_need").isNotNull() & F.col("_q").eqNullSafe(F.col("_cq"))
     better = F.when(F.col("_cq").isNull(), F.col("_q").isNotNull()).otherwise(F.coalesce(F.col("_q") > F.col("_cq"), F.lit(False)))
-    sure = F.col("_left").isNull() | better | (same_q & (F.col("_range") < F.col("_crange")))
-    edge = F.col("_left").isNotNull() & same_q & (F.col("_range") == F.col("_crange"))
-    marked = joined.withColumn("_edge", edge).withColumn("_sure", sure)
+    ranges = F.when(same_q, F.coalesce(F.floor((F.col("_tie").cast("double") - F.col("_from")) / F.col("_width")), F.lit(2**62)))
+    joined = joined.withColumn("_range", ranges).withColumn("_better", F.col("_need").isNull() | better)
+    by_range = joined.filter("_range IS NOT NULL").groupBy("_who", "_range", "_need").agg(F.count(F.lit(1)).alias("_n"))
+    along = Window.partitionBy("_who").orderBy("_range")
+    edges = (
+        by_range.withColumn("_upto", F.sum("_n").over(along))
+        .filter((F.col("_upto") > F.col("_need")) & (F.col("_upto") - F.col("_n") <= F.col("_need")))
+        .select(F.col("_who").alias("_who3"), F.col("_range").alias("_crange"), (F.col("_need") - F.col("_upto") + F.col("_n")).alias("_left"))
+    )
+    marked = joined.join(edges, F.col("_who").eqNullSafe(F.col("_who3")), "left")
+    marked = marked.withColumn("_edge", F.coalesce(F.col("_range") == F.col("_crange"), F.lit(False))).withColumn("_sure", F.col("_better") | F.coalesce(F.col("_range") < F.col("_crange"), F.lit(False)))
     plain = marked.filter(~F.col("_edge")).select("_row.*", F.col("_sure").alias("kept"))
     in_edge = Window.partitionBy("_who").orderBy(F.col("_tie").asc_nulls_last())
     ranked = marked.filter("_edge").withColumn("_rank", F.row_number().over(in_edge)).select("_row.*", (F.col("_rank") <= F.col("_left")).alias("kept"))

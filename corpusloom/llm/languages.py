@@ -29,12 +29,18 @@ from pyspark.sql import functions as F
 ORDER = 4
 #: Labelled rows of each language for training, about.
 SAMPLE = 250
-#: Code points of one training row that are used at most.
-SAMPLE_CHARS = 4000
+#: Code points of training text of a language at most, in whole texts; a longer text alone is taken whole.
+SAMPLE_CHARS = 2_000_000
 #: Bits that a change of language inside a line costs.
 CHANGE = 14.0
 #: Words in a row that make a passage.
 PASSAGE = 15
+#: Words whose mean evidence makes the confidence.
+EVIDENCE = 3
+#: Confidence of a segment that goes on a stretch over a line's end.
+PLAIN = 0.9
+#: Bits a word in the best language, bits a word to the second and words from which on a text is in none of the languages.
+OTHER_BITS, OTHER_MARGIN, OTHER_WORDS = 40.0, 4.0, 10
 #: Words that a line needs to speak for the page.
 LINE_WORDS = 8
 
@@ -240,9 +246,22 @@ def path(costs: np.ndarray, change: float = CHANGE) -> np.ndarray:
     return out
 
 
-def confidence(costs: np.ndarray) -> float:
-    """Posterior of the cheapest language under equal priors, from whole code lengths."""
-    return float(1.0 / np.exp2(np.maximum(-1000.0, costs.min() - costs)).sum())
+def confidence(costs: np.ndarray, words: int) -> float:
+    """Posterior of the cheapest language under equal priors, by the mean evidence of ``EVIDENCE`` words.
+
+    Whole code lengths would make any text longer than a line certain, since neighbouring bytes
+    are no independent witnesses; the mean says how well the text as a whole is told apart.
+    """
+    scale = min(1.0, EVIDENCE / max(1, words))
+    return float(1.0 / np.exp2(np.maximum(-1000.0, (costs.min() - costs) * scale)).sum())
+
+
+def is_other(costs: np.ndarray, words: int) -> bool:
+    """Whether a text is in none of the languages: dear in all of them, and about as dear in two. Short texts never are."""
+    if words < OTHER_WORDS:
+        return False
+    best, second = np.sort(costs)[:2] / words
+    return bool(best > OTHER_BITS and second - best < OTHER_MARGIN)
 
 
 _SPEAKS = re.compile(r"(?:\S+\s+){%d}\S" % (LINE_WORDS - 1))
@@ -256,22 +275,40 @@ def page_lines(content: str) -> list[tuple[int, str]]:
     return long or lines
 
 
+#: Number that stands for a language that the model does not know; it is written ``und``.
+OTHER = -2
+
+
+def stretches(content: str) -> list[tuple[int, str, bool]]:
+    """(line number, line, whether it speaks for the page) of all lines but menus; a passage may run over several short ones."""
+    speaking = dict(page_lines(content))
+    out = []
+    for no, line in enumerate(content.split("\n"), 1):
+        if line and not line.isspace() and (no in speaking or len(_SEPARATORS.findall(line[:200])) < 3):
+            out.append((no, line, no in speaking))
+    return out
+
+
 def judge(model: Model, contents: list[str]) -> list[tuple[int, float, list[tuple[int, int, int, int, float]]]]:
-    """For each page: (language, confidence, segments); the language is -1 without any letter.
+    """For each page: (language, confidence, segments); the language is -1 without any letter, ``OTHER`` if it is none of the model's.
 
     Segments (line number, first word, words, language, confidence) come for the lines of pages where a
     stretch of words fits another language better.
     """
-    chosen = [page_lines(c) for c in contents]
-    lines = [line for page in chosen for _, line in page]
+    chosen = [stretches(c) for c in contents]
+    lines = [line for page in chosen for _, line, _ in page]
     owner = np.repeat(np.arange(len(contents)), [len(p) for p in chosen])
-    numbers = [no for page in chosen for no, _ in page]
+    numbers = np.array([no for page in chosen for no, _, _ in page], np.int64)
+    speaks = np.array([x for page in chosen for _, _, x in page], bool)
     k = len(model.languages)
     sums = np.zeros((len(contents), k))
+    words_of = np.zeros(len(contents), np.int64)
     costs, line_of = word_costs(model, lines)
     if len(costs):
         line_of = np.minimum(line_of, len(lines) - 1)
-        np.add.at(sums, owner[line_of], costs)
+        loud = speaks[line_of]
+        np.add.at(sums, owner[line_of[loud]], costs[loud])
+        np.add.at(words_of, owner[line_of[loud]], 1)
         word_page = owner[line_of]
     main = np.where(sums.any(axis=1), sums.argmin(axis=1), -1)
     suspects: dict[int, None] = {}
@@ -280,30 +317,48 @@ def judge(model: Model, contents: list[str]) -> list[tuple[int, float, list[tupl
         gain = (np.take_along_axis(costs, main[word_page][:, None], axis=1) - costs).astype(np.float64)
         sliding = np.cumsum(np.vstack([np.zeros((1, k)), gain]), axis=0)
         over = (sliding[w:] - sliding[:-w]).max(axis=1) > CHANGE
-        same = line_of[w - 1 :] == line_of[: -w + 1]
+        same = word_page[w - 1 :] == word_page[: -w + 1]
         suspects = dict.fromkeys(word_page[: -w + 1][over & same].tolist())
-    bounds = np.searchsorted(line_of, np.arange(len(lines) + 1)) if len(costs) else np.zeros(len(lines) + 1, np.int64)
-    first = np.concatenate([[0], np.cumsum([len(p) for p in chosen])])
+    bounds = np.searchsorted(word_page, np.arange(len(contents) + 1)) if len(costs) else np.zeros(len(contents) + 1, np.int64)
     out = []
     for p in range(len(contents)):
         segments = []
         if p in suspects:
             total = np.zeros(k)
-            for i in range(first[p], first[p + 1]):
-                own = costs[bounds[i] : bounds[i + 1]]
-                if not len(own):
-                    continue
-                way = path(own)
-                cuts = np.flatnonzero(np.diff(way)) + 1
-                for lo, hi in zip([0, *cuts], [*cuts, len(way)]):
-                    segments.append((numbers[i], int(lo), int(hi - lo), int(way[lo]), confidence(own[lo:hi].sum(axis=0))))
+            own, at = costs[bounds[p] : bounds[p + 1]], line_of[bounds[p] : bounds[p + 1]]
+            way = np.empty(len(own), np.int8)
+            long = speaks[at]
+            # a line that speaks has a way of its own; short lines next to each other share one
+            parts = np.flatnonzero(np.diff(np.where(long, at, -1))) + 1
+            for lo, hi in zip([0, *parts], [*parts, len(own)]):
+                way[lo:hi] = path(own[lo:hi])
+            cuts = np.flatnonzero((np.diff(way) != 0) | (np.diff(at) != 0)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(way)]):
+                segments.append((int(numbers[at[lo]]), int(lo - np.searchsorted(at, at[lo])), int(hi - lo), int(way[lo]), confidence(own[lo:hi].sum(axis=0), int(hi - lo))))
+                if long[lo]:
                     total[way[lo]] += hi - lo
             if total.any():
                 main[p] = int(total.argmax())
-        out.append((int(main[p]), confidence(sums[p]) if main[p] >= 0 else 0.0, segments))
+        sure = confidence(sums[p], int(words_of[p])) if main[p] >= 0 else 0.0
+        if main[p] >= 0 and is_other(sums[p], int(words_of[p])):
+            main[p], segments = OTHER, []
+        out.append((int(main[p]), sure, segments))
     return out
 
 
+def passages(segments: list[dict], least: int = 15) -> list[str]:
+    """The languages of at least ``least`` words in a row; a stretch goes on over a line's end if the next segment begins the next line read."""
+    found: dict[str, None] = {}
+    lang, words = None, 0
+    for s in segments:
+        # what goes on over a line's end must be plain on either side
+        words = words + s["n_words"] if s["lang"] == lang and s["confidence"] >= PLAIN else s["n_words"]
+        lang = s["lang"]
+        if words >= least:
+            found[lang] = None
+    return list(found)
+
+
 def known_codes(spark: SparkSession) -> dict[str, str]:
     """Folded codes and English names of all languages the Java runtime knows, to two-letter codes (some hundreds)."""
     locale = spark._jvm.java.util.Locale
@@ -359,7 +414,7 @@ def fit(df: DataFrame, key: str, label: str, content: str, sample: int = SAMPLE)
         return Model(seeds)
     million = 1_000_000
     chance = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(int(min(1.0, sample / n) * million)))])[F.col("lang")]
-    drawn = rows.filter(F.pmod(F.xxhash64("key"), F.lit(million)) < chance).select("lang", F.substring("content", 1, SAMPLE_CHARS).alias("content"))
+    drawn = rows.filter(F.pmod(F.xxhash64("key"), F.lit(million)) < chance).select("lang", "content")
     drawn = drawn.orderBy(F.xxhash64("content")).limit(2 * sample * len(LANGUAGES)).collect()
     first = Model({k: (v + b" ") * 2 for k, v in seeds.items()}, order=3)
     pool = {k: [v] for k, v in seeds.items()}
@@ -371,7 +426,7 @@ def fit(df: DataFrame, key: str, label: str, content: str, sample: int = SAMPLE)
         sums = np.zeros((len(part), len(LANGUAGES)))
         np.add.at(sums, np.minimum(line, len(part) - 1), costs)
         for i, text in enumerate(chosen):
-            if sums[i].any() and LANGUAGES[int(sums[i].argmin())] == drawn[lo + i]["lang"]:
+            if sums[i].any() and LANGUAGES[int(sums[i].argmin())] == drawn[lo + i]["lang"] and sum(map(len, pool[drawn[lo + i]["lang"]])) < SAMPLE_CHARS:
                 pool[drawn[lo + i]["lang"]].append(folded_bytes(text))
     # mixed rows teach the wrong language: the second pass drops rows with a foreign stretch
     model = Model({k: b" ".join(v) for k, v in pool.items()})
@@ -390,7 +445,8 @@ def languages(df: DataFrame, key: str, label: str, content: str, model: Model |
     """(key, label, lang, confidence, segments) of every row with content that is not blank.
 
     ``segments`` is an array of (line_no, first_word, n_words, lang, confidence), filled for pages with
-    a stretch in another language. ``lang`` is null for contents without any Latin letter.
+    a stretch in another language. ``lang`` is null for contents without any Latin letter, ``und`` for texts in none of the model's languages,
+    whose confidence is that of the nearest one.
     """
     sc = df.sparkSession.sparkContext
     sent = sc.broadcast(model or fit(df, key, label, content))
@@ -408,7 +464,7 @@ def languages(df: DataFrame, key: str, label: str, content: str, model: Model |
                     size += len(texts[hi])
                     hi += 1
                 for main, c, segments in judge(model, texts[lo:hi]):
-                    langs.append(name[main] if main >= 0 else None)
+                    langs.append(name[main] if main >= 0 else "und" if main == OTHER else None)
                     sure.append(c)
                     parts.append([{"line_no": a, "first_word": b, "n_words": n, "lang": name[s], "confidence": x} for a, b, n, s, x in segments])
                 lo = hi
@@ -422,10 +478,10 @@ def languages(df: DataFrame, key: str, label: str, content: str, model: Model |
 def label_issues(df: DataFrame, key: str, label: str, content: str, *, without: DataFrame | None = None, model: Model | None = None) -> DataFrame:
     """(key, issue, lang): labels that are missing or wrong, and passages of at least ``PASSAGE`` words in another language.
 
-    Pages with null, empty or blank content have no row, nor have those of ``without`` (column ``doc``).
+    Pages with null, empty or blank content, or in a language that the model does not know, have no row, nor have those of ``without`` (column ``doc``).
     """
     known = known_codes(df.sparkSession)
-    judged = languages(df, key, label, content, model).filter("lang IS NOT NULL")
+    judged = languages(df, key, label, content, model).filter("lang <> 'und'")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -436,7 +492,7 @@ def label_issues(df: DataFrame, key: str, label: str, content: str, *, without:
                     at.append(i)
                     issues.append("wrong" if named else "missing")
                     langs.append(lang)
-                for other in dict.fromkeys(s["lang"] for s in segments if s["n_words"] >= PASSAGE and s["lang"] != lang):
+                for other in [x for x in passages(segments, PASSAGE) if x != lang]:
                     at.append(i)
                     issues.append("mixed")
                     langs.append(other)

@@ -86,3 +86,26 @@ def test_held_out_accuracy(spark):
     held = [(k, draw(k)) for k in vocab for _ in range(30)]
     right = sum(m.languages[j[0]] == k for (k, _), j in zip(held, L.judge(m, [t for _, t in held])))
     assert right / len(held) > 0.97
+
+
+def _seed_model():
+    return L.Model({k: L.folded_bytes(v) for k, v in L.SEEDS.items()}, order=3)
+
+
+def test_a_passage_over_short_lines():
+    english = "The council of the town met on the first day of the week and spoke about the water of the river for a long time."
+    german = "Die Menschen in der Stadt haben das neue Haus\nnoch nicht gesehen aber sie wollen\nim nächsten Jahr mit ihren Kindern\nwieder an den Fluss gehen und dort bleiben"
+    (main, _, segments), = L.judge(_seed_model(), [f"{english}\n{english}\n{german}\n{english}"])
+    found = [{"lang": L.LANGUAGES[s[3]], "n_words": s[2], "confidence": s[4]} for s in segments]
+    assert L.LANGUAGES[main] == "en" and L.passages(found) == ["en", "de"]
+    assert L.passages([{"lang": "de", "n_words": 8, "confidence": 1.0}, {"lang": "en", "n_words": 3, "confidence": 1.0}, {"lang": "de", "n_words": 8, "confidence": 1.0}]) == []
+
+
+def test_confidence_and_unknown_languages():
+    model = _seed_model()
+    known = "The people of the town had asked for more of the water of the river because the old land was very dry this year."
+    (main, sure, _), = L.judge(model, [known])
+    assert L.LANGUAGES[main] == "en" and 0.9 < sure <= 1.0
+    costs = np.array([560.0, 570.0, 640.0, 640.0, 640.0, 640.0])
+    assert L.is_other(costs, 10) and not L.is_other(costs, 9) and not L.is_other(costs / 2, 10) and not L.is_other(costs * [1, 2, 2, 2, 2, 2], 10)
+    assert L.confidence(costs, 10) < 0.95 < L.confidence(costs * [1, 2, 2, 2, 2, 2], 10)
