@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,47 +70,100 @@ def _top(pairs: DataFrame, top_k: int | None, max_pairs: int | None) -> DataFram
     return pairs.orderBy("source_paragraph_id", F.col("score").desc(), "target_paragraph_id").limit(max_pairs) if max_pairs else pairs
 
 
+def _cells(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The rows of each cell: batches come sorted by their first ``keys`` columns. A cell is bounded by its two blocks."""
+    held: list[pa.RecordBatch] = []
+    now: tuple | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+        change = np.zeros(batch.num_rows, bool)
+        for c in cols:
+            change[1:] |= c[1:] != c[:-1]
+        starts = [0, *np.flatnonzero(change), batch.num_rows]
+        for lo, hi in zip(starts, starts[1:]):
+            key = tuple(c[lo] for c in cols)
+            if key != now and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            now = key
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks()
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
+
+
+def _block_pairs(rows: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of ``rows`` (bucket, id, grp, v) within a bucket, of different groups, with a cosine from ``threshold``.
+
+    A bucket's vectors are gathered in blocks of about ``BLOCK``. Every pair of blocks meets in one task
+    as a matrix product: each block is sent to the blocks of its row and column of the bucket's block grid, so a task
+    holds two blocks, however large the bucket, and nothing is compared twice.
+    """
+    sizes = rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
+    placed = rows.join(F.broadcast(sizes), "bucket").withColumn("own", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))  # a row for each signature
+    cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("bucket", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "id", "grp", "v")
+    names = ["source_paragraph_id", "target_paragraph_id", "score"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in _cells(batches, 3):
+            a, b = cell.column("a")[0].as_py(), cell.column("b")[0].as_py()
+            own, ids, grp, v = cell.column("own").to_numpy(), cell.column("id").to_numpy(), cell.column("grp").to_numpy(), _matrix(cell.column("v"))
+            left, right = np.flatnonzero(own == a), np.flatnonzero(own == b)
+            if not len(left) or not len(right):
+                continue
+            score = v[left] @ v[right].T
+            i, j = np.nonzero(score >= threshold)
+            one, two = ids[left[i]], ids[right[j]]
+            ok = (grp[left[i]] != grp[right[j]]) & ((one < two) if a == b else (one != two))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)[ok]), pa.array(np.maximum(one, two)[ok]), pa.array(score[i, j][ok])], names=names)
+
+    return cells.repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b").mapInArrow(run, "source_paragraph_id bigint, target_paragraph_id bigint, score double")
+
+
 def exact_pairs(vectors: DataFrame, key: str, group: str, vector: str, *, threshold: float = 0.75, top_k: int | None = None, max_pairs: int | None = None) -> DataFrame:
     """(source_paragraph_id, target_paragraph_id, score): pairs of different groups with a cosine from ``threshold``, source before target.
 
-    Vectors are gathered in blocks of about ``BLOCK``. Every pair of blocks meets in one task
-    as a matrix product: each block is sent to the blocks of its row and column of the block grid, so a task
-    holds two blocks and nothing is compared twice.
+    Every vector meets every other, in blocks: the form for up to some hundred thousand vectors. Rows with a null key, group or vector have no pair.
     """
-    spark = vectors.sparkSession
-    ensure_checkpoint_dir(spark)
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(group).cast("long").alias("grp"), V.unit(F.col(vector)).alias("v")).checkpoint()
-    n = max(1, -(-rows.count() // BLOCK))
-    placed = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    every = F.sequence(F.lit(0), F.lit(n - 1))
-    cells = placed.withColumn("other", F.explode(every)).select("id", "grp", "v", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), F.col("block").alias("own"))
+    ensure_checkpoint_dir(vectors.sparkSession)
+    rows = vectors.select(F.lit(0).alias("bucket"), F.col(key).cast("long").alias("id"), F.col(group).cast("long").alias("grp"), V.unit(F.col(vector)).alias("v")).filter("id IS NOT NULL AND grp IS NOT NULL AND v IS NOT NULL").checkpoint()
+    return _top(_block_pairs(rows, threshold), top_k, max_pairs)
 
-    def run(cell: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = int(cell[0]), int(cell[1])
-        left = pdf[pdf["own"] == a]
-        right = left if a == b else pdf[pdf["own"] == b]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"source_paragraph_id": [], "target_paragraph_id": [], "score": []})
-        x, y = np.vstack(left["v"].to_numpy()), np.vstack(right["v"].to_numpy())
-        score = x @ y.T
-        i, j = np.nonzero(score >= threshold - 1e-9)
-        one, two = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
-        ok = (left["grp"].to_numpy()[i] != right["grp"].to_numpy()[j]) & ((one < two) if a == b else (one != two))
-        out = pd.DataFrame({"source_paragraph_id": np.minimum(one, two)[ok], "target_paragraph_id": np.maximum(one, two)[ok], "score": score[i, j][ok]})
-        return out[out["score"] >= threshold]
-
-    pairs = cells.groupBy("a", "b").applyInPandas(run, "source_paragraph_id bigint, target_paragraph_id bigint, score double")
-    return _top(pairs, top_k, max_pairs)
 
+def lsh_pairs(vectors: DataFrame, key: str, group: str, vector: str, *, dim: int, bits: int = 16, tables: int = 1, threshold: float = 0.75, top_k: int | None = None, max_pairs: int | None = None) -> DataFrame:
+    """As ``exact_pairs`` among vectors that have one of ``tables`` signatures of ``bits`` in common: the form for any number of vectors.
 
-def lsh_pairs(vectors: DataFrame, key: str, group: str, vector: str, *, dim: int, bits: int = 16, threshold: float = 0.75, top_k: int | None = None, max_pairs: int | None = None) -> DataFrame:
-    """As ``exact_pairs`` among vectors of one signature: an equi-join on the signature, which adaptive execution splits where it is skewed."""
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(group).cast("long").alias("grp"), F.col(vector).alias("v"))
-    rows = rows.withColumn("sig", V.signature(F.col("v"), V.planes(dim, bits))).withColumn("v", V.unit(F.col("v")))
-    a = rows.select("sig", F.col("id").alias("source_paragraph_id"), F.col("grp").alias("ga"), F.col("v").alias("va"))
-    b = rows.select("sig", F.col("id").alias("target_paragraph_id"), F.col("grp").alias("gb"), F.col("v").alias("vb"))
-    pairs = a.join(b, "sig").filter("source_paragraph_id < target_paragraph_id AND ga <> gb")
-    pairs = pairs.select("source_paragraph_id", "target_paragraph_id", V.dot(F.col("va"), F.col("vb")).alias("score")).filter(F.col("score") >= threshold)
+    Two vectors at the angle t agree in a bit with the chance 1 - t / pi, so ``tables`` raise the recall and ``bits`` lower the
+    work: at a cosine of 0.9, 8 bits find 29 % in one table and 93 % in eight. A hot signature is split into blocks.
+    """
+    ensure_checkpoint_dir(vectors.sparkSession)
+    signs = np.array(V.planes(dim, bits * tables), dtype=float)
+    weights = 1 << np.arange(bits, dtype=np.int64)
+
+    def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v = _matrix(pa.chunked_array([batch.column(2)])).astype(float)
+            length = np.sqrt((v * v).sum(axis=1, keepdims=True))
+            unit = v / np.where(length == 0, 1.0, length)
+            on = (v @ signs.T >= 0).reshape(len(v), tables, bits)
+            bucket = (on * weights).sum(axis=2) + (np.arange(tables, dtype=np.int64) << bits)
+            take = pa.array(np.repeat(np.arange(len(v)), tables))
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(unit.ravel()), v.shape[1]).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel()), batch.column(0).take(take), batch.column(1).take(take), lists.take(take)], names=["bucket", "id", "grp", "v"])
+
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(group).cast("long").alias("grp"), F.col(vector).alias("v")).filter("id IS NOT NULL AND grp IS NOT NULL AND v IS NOT NULL")
+    signed = rows.mapInArrow(signatures, "bucket bigint, id bigint, grp bigint, v array<double>").checkpoint()
+    pairs = _block_pairs(signed, threshold)
+    if tables > 1:  # a pair may meet in several tables
+        pairs = pairs.groupBy("source_paragraph_id", "target_paragraph_id").agg(F.max("score").alias("score"))
     return _top(pairs, top_k, max_pairs)
 
 

@@ -88,8 +88,31 @@ def frames(tables, kind: str, land_id: int, minrel: int = 1, fullhtml: bool = Fa
     raise ValueError(f"no such export: {kind}")
 
 
+def export_parts(tables, kind: str, land_id: int, stem: str, minrel: int = 1, fullhtml: bool = False) -> list[str]:
+    """Writes an export of any size from the executors, to folders (archives for ``corpus``) whose names begin with ``stem`` and which all executors share.
+
+    Tables become CSV parts, the nodes and links of graph JSON one JSON object a line, stored pages a Parquet table; the rows of a
+    part keep the export's order, and so do the parts. Returns the paths.
+    """
+    made = frames(tables, kind, land_id, minrel, fullhtml)
+    if kind == "corpus":
+        files.write_corpus_parts(made[kind], stem)
+        return [stem]
+    paths = []
+    for name, df in made.items():
+        path = f"{stem}_{name}"
+        if kind in ("nodesjson", "pagesjson"):
+            df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
+        elif name == "pages":
+            df.write.mode("overwrite").parquet(path)
+        else:
+            files.write_csv_parts(df, path)
+        paths.append(path)
+    return paths
+
+
 def export(tables, kind: str, land_id: int, stem: str, minrel: int = 1, fullhtml: bool = False) -> int:
-    """Writes an export to files whose names begin with ``stem``; returns the rows or nodes written."""
+    """Writes an export to single files whose names begin with ``stem``, through the driver; ``export_parts`` is the form for any size. Returns the rows or nodes written."""
     made = frames(tables, kind, land_id, minrel, fullhtml)
     path = files.file_name(kind, stem)
     if kind == "nodelinkcsv":

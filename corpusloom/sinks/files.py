@@ -1,7 +1,8 @@
 """Files. Rows are made by operators; a sink only writes them.
 
-Graph and archive files are one file by their format; they are written by a stream over the rows
-(``toLocalIterator``), so the driver holds one partition at a time.
+Graph files are one file by their format; they are written by a stream over the rows
+(``toLocalIterator``), so the driver holds one partition at a time. For exports of any size the ``_parts`` forms
+write from the executors, a file for each partition or archive.
 """
 
 from __future__ import annotations
@@ -107,7 +108,8 @@ def corpus_files(pages: DataFrame, size: int = 1000) -> DataFrame:
     none = lambda c: F.coalesce(F.col(c), F.lit(""))
     lines = [x for k, c in HEADER for x in (F.lit(f'{k}: "'), F.coalesce(F.col(c).cast("string"), F.lit("None")) if c else F.lit(""), F.lit('"\n'))]
     head = F.concat(F.lit("---\n"), *lines, F.lit("---\n"))
-    rows = batches(pages, ["id"], size)
+    # ids alone are numbered, so no text is written to the checkpoint folder
+    rows = pages.join(batches(pages.select("id"), ["id"], size).select("id", "batch"), "id")
     return rows.select("batch", F.concat(F.col("id").cast("string"), F.lit("-"), slug("title"), F.lit(".txt")).alias("name"), F.concat(head, none("readable")).alias("body"))
 
 
@@ -126,6 +128,28 @@ def write_corpus(pages: DataFrame, stem: str, size: int = 1000) -> int:
     return n
 
 
+def write_corpus_parts(pages: DataFrame, stem: str, size: int = 1000) -> int:
+    """The archives of ``write_corpus``, each written by the task that holds its texts; ``stem`` lies in a folder that all executors share. Returns the texts."""
+    import pyarrow as pa
+
+    def run(parts):
+        n, open_, archive = 0, None, None
+        for part in parts:
+            for batch, name, body in zip(*(part.column(i).to_pylist() for i in range(3))):
+                if batch != open_:
+                    if archive:
+                        archive.close()
+                    open_, archive = batch, zipfile.ZipFile(f"{stem}_{batch:05d}.zip", "w", zipfile.ZIP_DEFLATED)
+                archive.writestr(name, body)
+                n += 1
+        if archive:
+            archive.close()
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    files = corpus_files(pages, size).repartition("batch").sortWithinPartitions("batch", "name").select("batch", "name", "body")
+    return files.mapInArrow(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+
+
 def write_html_dump(pages: DataFrame, manifest: DataFrame, path: str) -> int:
     """Stored pages and ``manifest.csv`` in one archive."""
     n = 0

@@ -64,3 +64,29 @@ def test_tags_and_unknown_kinds(tables, tmp_path):
 def test_the_package_is_sent_once(spark, tables):
     tables.base("land").count()
     assert sum("corpusloom_package" in x for x in spark.sparkContext._python_includes) == 1
+
+
+@pytest.mark.parametrize("kind", ["pagecsv", "nodelinkcsv", "pagesjson", "corpus", "htmldump"])
+def test_parts(tables, tmp_path, kind):
+    stem = str(tmp_path / "out")
+    made = exports.export_parts(tables, kind, 1, stem)
+    pages = tables.expression.filter("land_id = 1 AND relevance >= 1").count()
+    if kind == "pagecsv":
+        assert tables.spark.read.option("header", True).option("multiLine", True).csv(made[0]).count() == pages
+    elif kind == "nodelinkcsv":
+        assert [os.path.basename(x) for x in made] == ["out_pagesnodes", "out_domainnodes", "out_pageslinks", "out_domainlinks"]
+    elif kind == "pagesjson":
+        assert tables.spark.read.json(made[0]).count() == pages
+    elif kind == "corpus":
+        names = [n for f in sorted(os.listdir(tmp_path)) for n in zipfile.ZipFile(tmp_path / f).namelist()]
+        assert len(names) == pages
+    else:
+        assert set(tables.spark.read.parquet(made[0]).columns) == {"id", "html"}
+
+
+def test_orders(tables):
+    four = exports.frames(tables, "nodelinkcsv", 1)
+    relevance = [int(r["relevance"]) for r in four["pagesnodes"].collect()]
+    sizes = [int(r["nbexpressions"]) for r in four["domainnodes"].collect()]
+    counts = [r["link_count"] for r in four["domainlinks"].collect()]
+    assert relevance == sorted(relevance, reverse=True) and sizes == sorted(sizes, reverse=True) and counts == sorted(counts, reverse=True)

@@ -131,6 +131,27 @@ def test_similarity(spark, monkeypatch):
     assert similarity.exact_pairs(df.limit(0), "id", "g", "v").count() == 0
 
 
+def test_signature_tables_raise_the_recall(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK", 50)
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(60, 32))
+    data = [(i, i % 7, [float(x) for x in base[i % 60] + 0.35 * rng.normal(size=32)]) for i in range(420)] + [(900, 1, [0.0] * 32), (901, 2, None), (None, 3, [1.0] * 32)]
+    df = spark.createDataFrame(data, "id bigint, g int, v array<double>")
+    whole = {(r[0], r[1]) for r in similarity.exact_pairs(df, "id", "g", "v", threshold=0.85).collect()}
+    found = {(r[0], r[1]): r[2] for r in similarity.lsh_pairs(df, "id", "g", "v", dim=32, bits=8, tables=10, threshold=0.85).collect()}
+    assert len(whole) > 300 and set(found) <= whole and len(found) >= 0.9 * len(whole)
+    one = similarity.lsh_pairs(df, "id", "g", "v", dim=32, bits=8, threshold=0.85).count()
+    assert one < len(found) and similarity.lsh_pairs(df.limit(0), "id", "g", "v", dim=32, bits=4).count() == 0
+
+
+def test_vectors_of_relevant_pages(spark):
+    pages = spark.createDataFrame([(1, 1, 5), (2, 1, 0), (3, 1, None), (4, 2, 9)], "id bigint, land_id int, relevance int")
+    para = spark.createDataFrame([(10 * i, i) for i in range(1, 5)], "id bigint, expression_id bigint")
+    vec = spark.createDataFrame([(10 * i, [1.0]) for i in range(1, 5)], "paragraph_id bigint, embedding array<double>")
+    ids = lambda m: sorted(r["paragraph_id"] for r in similarity.relevant_vectors(vec, para, pages, 1, m).collect())
+    assert ids(None) == ids(0) == [10, 20, 30] and ids(1) == [10]
+
+
 def test_paragraphs(spark, rows):
     a, b = "a" * 200, "b" * 200
     df = spark.createDataFrame([(2, 1, f"{a}\n\n{b}"), (1, 1, a), (3, 1, None)], "id bigint, d bigint, t string")
