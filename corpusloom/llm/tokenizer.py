@@ -45,6 +45,9 @@ PIECE = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
 #: Entries of the piece table of one Python worker; a full table is emptied.
 PIECES = 400_000
 
+#: Decided arcs that one Python worker keeps; a full table is emptied.
+ARCS = 2_000_000
+
 NEVER = 1 << 30
 
 
@@ -105,14 +108,21 @@ class MergeAutomaton:
                         break
                 if not known:
                     break
+            if len(self.arcs) >= ARCS:
+                self.arcs.clear()
             self.arcs[key] = known
         return known
 
     def word(self, data: bytes) -> list[int]:
-        """Token ids of one word of the pre-split."""
+        """Token ids of one word of the pre-split; a word that is a token is that token, as ``closed`` makes sure."""
         whole = self.ids.get(data)
-        if whole is not None:
-            return [whole]
+        return [whole] if whole is not None else self.walk(data)
+
+    def closed(self) -> bool:
+        """Whether the automaton reads every token that merges make as itself."""
+        return all(self.walk(self.label[t]) == [t] for t in self.parts)
+
+    def walk(self, data: bytes) -> list[int]:
         n = len(data)
         ends: list[tuple[int, int] | None] = [None] * (n + 1)
         ids, arc, prefixes = self.ids, self.arc, self.prefixes
@@ -198,9 +208,17 @@ def tokenizer_file(name: str, folder: str | None = None) -> bytes:
         return f.read()
 
 
+_closed: set[int] = set()
+
+
 def broadcast_tokenizer(spark: SparkSession, name: str, folder: str | None = None):
-    """The file (1.5 MB, fixed) for all executors, read once on the driver."""
-    return spark.sparkContext.broadcast(tokenizer_file(name, folder))
+    """The file (1.5 MB, fixed) for all executors, read once on the driver, which also makes sure once that its tokens are read as themselves."""
+    data = tokenizer_file(name, folder)
+    if hash(data) not in _closed:
+        if not Encoder(data).automaton.closed():
+            raise ValueError(f"{name}: a token that its own merges do not make")
+        _closed.add(hash(data))
+    return spark.sparkContext.broadcast(data)
 
 
 def encode_ids(df: DataFrame, key: str, text: str, tokenizer: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
