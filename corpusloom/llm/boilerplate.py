@@ -56,7 +56,7 @@ def site_name(url: Column) -> Column:
 
 
 def streams(df: DataFrame, doc: str, host: str, url: str, content: str, same: DataFrame | None = None) -> DataFrame:
-    """(doc, host, page, line_no, at, size, h) of every page with a line that is not blank.
+    """(doc, host, page, line_no, at, size, h, once) of every page with a line that is not blank.
 
     ``page`` identifies the address, so stored copies count once. The others are arrays with one item for each suffix: a
     whole line has ``at`` -1, a span the token of its line at which it starts; ``size`` is the line's number of tokens.
@@ -91,14 +91,17 @@ def streams(df: DataFrame, doc: str, host: str, url: str, content: str, same: Da
                 at = np.concatenate([np.full(len(s.page), -1), at])[order]
                 bounds = np.searchsorted(s.page[lines], np.arange(len(rows) + 1))
                 some = np.flatnonzero(np.diff(bounds))
+                # a suffix that a page has twice counts once
+                once = np.zeros(len(h), bool)
+                once[np.unique(mixed(h.view(np.uint64) + s.page[lines].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)[1]] = True
                 take = pa.array(np.array(rows)[some], pa.int64())
                 offsets = pa.array(np.append(bounds[some], len(lines)), pa.int32())
-                made = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array(s.number[lines], pa.int32()), pa.array(at, pa.int32()), pa.array(sizes[lines], pa.int32()), pa.array(h))]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in range(3)), *made], names=["doc", "host", "page", "line_no", "at", "size", "h"])
+                made = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array(s.number[lines], pa.int32()), pa.array(at, pa.int32()), pa.array(sizes[lines], pa.int32()), pa.array(h), pa.array(once))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in range(3)), *made], names=["doc", "host", "page", "line_no", "at", "size", "h", "once"])
 
     kinds = [df.schema[c].dataType.simpleString() for c in (doc, host)]
     rows = df.select(F.col(f"`{doc}`").alias("doc"), F.col(f"`{host}`").alias("host"), F.coalesce(F.xxhash64(f"`{url}`"), F.lit(0)).alias("page"), site_name(F.col(f"`{url}`")).alias("site"), F.col(f"`{content}`").alias("content"))
-    found = rows.filter("doc IS NOT NULL AND content RLIKE '\\\\S'").mapInArrow(run, f"doc {kinds[0]}, host {kinds[1]}, page bigint, line_no array<int>, at array<int>, size array<int>, h array<bigint>")
+    found = rows.filter("doc IS NOT NULL AND content RLIKE '\\\\S'").mapInArrow(run, f"doc {kinds[0]}, host {kinds[1]}, page bigint, line_no array<int>, at array<int>, size array<int>, h array<bigint>, once array<boolean>")
     return by_site(found, "host", same)
 
 
@@ -113,8 +116,9 @@ def repeated_runs(pages: DataFrame) -> DataFrame:
     once = pages.join(ids.select("doc").distinct(), "doc", "left_semi")
     if not ids.filter("rows > docs").isEmpty():  # rows that repeat a document
         once = once.dropDuplicates(["doc"])
-    per_page = once.select("host", F.explode(F.array_distinct(F.transform(F.arrays_zip("at", "size", "h"), lambda s: F.struct(s["h"].alias("h"), F.when(s["at"] >= 0, 2).when(s["size"] >= LONG, 1).otherwise(0).alias("kind"))))).alias("s"))
-    seen = per_page.groupBy("host", F.col("s.h").alias("h"), F.col("s.kind").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    kind = F.when(F.col("at") >= 0, 2).when(F.col("size") >= LONG, 1).otherwise(0)
+    per_page = once.select("host", F.inline(F.arrays_zip("at", "size", "h", "once"))).filter("once").select("host", "h", kind.alias("kind"))
+    seen = per_page.groupBy("host", "h", "kind").agg(F.count(F.lit(1)).alias("n"))
     sizes = ids.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).withColumnRenamed("host", "host2")
     lines = seen.filter("kind < 2")
     wide = lines.groupBy("h").agg(F.count(F.lit(1)).alias("hosts"), F.sum("n").alias("all_n")).filter((F.col("hosts") >= HOSTS) & (F.col("all_n") >= PAGES_PER_HOST * F.col("hosts"))).select(F.col("h").alias("h2"), "hosts")

@@ -133,23 +133,25 @@ class Shared:
 
         def hash_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                cols: list[list[np.ndarray]] = [[], [], []]
+                cols: list[list[np.ndarray]] = [[], [], [], []]
                 for text_, marks_ in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                     points = np.frombuffer(text_.encode("utf-32-le", "surrogatepass"), np.uint32)
                     least = window_minima(gram_hashes(points, GRAM), SPAN - GRAM + 1)
                     start = np.flatnonzero(np.isin(least, np.array(marks_, np.int64).view(np.uint64)))
                     cols[0].append(start)
                     cols[1].append(gram_hashes(points, SPAN)[start].view(np.int64))
+                    # a paragraph that a text has twice counts once
+                    once = np.zeros(len(start), bool)
+                    once[np.unique(cols[1][-1], return_index=True)[1]] = True
+                    cols[3].append(once)
                     cols[2].append((gram_hashes(points, SPAN, True)[start] >> np.uint64(32)).astype(np.uint32).view(np.int32))
                 if cols[0]:
                     offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in cols[0]])]), pa.int32())
-                    lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(c), t)) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int32()))]
-                    yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["key", "start", "h1", "h2"])
+                    lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(c), t)) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int32(), pa.bool_()))]
+                    yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["key", "start", "h1", "h2", "once"])
 
-        hashed = few.select("key", "text", "marks").mapInArrow(hash_windows, "key bigint, start array<int>, h1 array<bigint>, h2 array<int>").checkpoint()
-        # a paragraph that a text has twice counts once
-        once = hashed.select("key", F.inline(F.array_distinct(F.arrays_zip("h1", "h2"))))
-        groups = once.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("key")).alias("keys")).filter("size > 1")
+        hashed = few.select("key", "text", "marks").mapInArrow(hash_windows, "key bigint, start array<int>, h1 array<bigint>, h2 array<int>, once array<boolean>").checkpoint()
+        groups = hashed.select("key", F.inline(F.arrays_zip("h1", "h2", "once"))).filter("once").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("key")).alias("keys")).filter("size > 1")
         # paragraphs with the same members are one group
         groups = groups.select("h1", "h2", "size", F.xxhash64("size", "keys").alias("group")).checkpoint()
         windows = hashed.select("key", F.inline(F.arrays_zip("start", "h1", "h2")))
