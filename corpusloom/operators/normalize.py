@@ -123,7 +123,8 @@ def resolution_rates(expression: DataFrame) -> DataFrame:
     from corpusloom.functions.domains import is_open
 
     host = F.regexp_replace(F.lower(F.coalesce(urls.host(F.col("url")), F.lit(""))), "^www\\.", "")
-    rows = expression.withColumn("suffix", host).withColumn("by_url", resolved("url")).withColumn("by_page", resolved("url", "html")).withColumn("is_open", is_open("url")).filter("is_open")
+    # addresses that tell all by themselves go before any page is parsed
+    rows = expression.select(host.alias("suffix"), "url", "html").filter(is_open("url")).withColumn("by_url", resolved("url")).withColumn("by_page", resolved("url", "html"))
     better = F.col("by_page") != F.col("by_url")
     per = rows.rollup("suffix").agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col("html").isNotNull()).alias("with_html"), F.count_if(better).alias("improved"))
     return per.select(F.coalesce("suffix", F.lit("TOTAL")).alias("suffix"), "pages", "with_html", "improved", F.round(F.col("improved") / F.nullif("with_html", F.lit(0)), 4).alias("rate"))

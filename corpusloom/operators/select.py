@@ -158,6 +158,13 @@ def media_doomed(media: DataFrame, *, min_width: int = 0, min_height: int = 0, m
     return media.filter(F.col("analyzed_at").isNotNull() & bad)
 
 
+def media_counts(media: DataFrame, **bounds: int) -> DataFrame:
+    """One row (analysed, doomed, unanalysed): what a clean-up by the given bounds would do; media not analysed yet are told apart, not judged."""
+    doomed = media_doomed(media, **bounds).agg(F.count(F.lit(1)).alias("doomed"))
+    seen = media.agg(F.count("analyzed_at").alias("analysed"), F.count_if(F.col("analyzed_at").isNull()).alias("unanalysed"))
+    return seen.crossJoin(F.broadcast(doomed)).select("analysed", "doomed", "unanalysed")  # single rows
+
+
 def media_scope(media: DataFrame, expression: DataFrame, *, depth: int, minrel: int) -> DataFrame:
     pages = expression.filter((F.col("depth") <= depth) & (F.col("relevance") >= minrel)).select(F.col("id").alias("expression_id"))
     return media.join(pages, "expression_id", "left_semi")

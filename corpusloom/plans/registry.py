@@ -1090,3 +1090,66 @@ def domains_fetched(m):
     made = m.spark.createDataFrame(tries, "method string, ord int, status string, kind bigint, html string")
     attempts = m.domain.select(F.col("id").alias("domain_id"), (F.col("id") % 4).alias("kind")).join(made, "kind").drop("kind")
     return state.domains_fetched(m.domain, attempts, F.lit(AS_OF)).select("id", "http_status", "title")
+
+
+@query("SELECT count(analyzed_at) AS analysed, count(*) FILTER (analyzed_at IS NOT NULL AND (width IS NULL OR width < 400 OR height IS NULL OR height < 300 OR file_size > 1200000)) AS doomed, count(*) FILTER (analyzed_at IS NULL) AS unanalysed FROM media")
+def media_counts(m):
+    return select.media_counts(m.media, min_width=400, min_height=300, max_bytes=1_200_000)
+
+
+@query(f"SELECT source_paragraph_id, target_paragraph_id FROM ({_PAIRS}) WHERE s >= 0.3 ORDER BY source_paragraph_id, s DESC, target_paragraph_id LIMIT 40")
+def cosine_capped(m):
+    """The cap on pairs is the feature here."""
+    return _near(m, max_pairs=40).select("source_paragraph_id", "target_paragraph_id")
+
+
+_ADAPTERS = {"searxng": ("url", "content"), "brave": ("url", "description"), "serper": ("link", "snippet"), "tavily": ("url", "content")}
+
+
+@query("""SELECT event_id % 20 AS query_id, p AS providers, concat('https://r.example/', event_id) AS url, CASE WHEN event_id % 3 = 0 THEN NULL ELSE concat('t', event_id) END AS title, concat('s', event_id) AS snippet, CAST(CASE WHEN p = 'serper' AND event_id % 2 = 1 THEN event_id ELSE place END AS INT) AS rank
+    FROM (SELECT event_id, row_number() OVER (PARTITION BY event_id % 20 ORDER BY event_id) AS place FROM events), unnest(['searxng', 'brave', 'serper', 'tavily']) AS t(p) WHERE place <= 7 AND event_id % 5 <> 0""")
+def provider_adapters(m):
+    """The payloads of the other services, each in its own form, parsed into one."""
+    i = F.col("event_id")
+    out = None
+    for name, (address, text) in _ADAPTERS.items():
+        item = F.struct(F.when(i % 5 != 0, F.concat(F.lit("https://r.example/"), i)).alias(address), F.when(i % 3 != 0, F.concat(F.lit("t"), i)).otherwise("").alias("title"), F.concat(F.lit("s"), i).alias(text), F.when(i % 2 == 1, i.cast("string")).alias("position"))
+        grouped = m.base("events").groupBy((i % 20).alias("query_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("event_id", item.alias("item")))), lambda x: x["item"]).alias("items"))
+        where = search.PAYLOADS[name][0].split(".")[1:]
+        body = F.col("items").alias(where[-1])
+        for part in reversed(where[:-1]):
+            body = F.struct(body).alias(part)
+        rows = search.parsed_results(grouped.select("query_id", F.to_json(F.struct(body)).alias("payload")), "payload", name, 7, "query_id")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("SELECT event_id AS id, CAST(CASE event_id % 4 WHEN 0 THEN event_id + 10 WHEN 1 THEN event_id + 20 WHEN 2 THEN NULL ELSE event_id + 7 END AS BIGINT) AS next FROM events")
+def next_offsets(m):
+    """The next page: as the payload says, as its link carries, none without a link, else behind this one."""
+    i = F.col("event_id")
+    page = lambda *fields: F.to_json(F.struct(F.struct(*fields).alias("serpapi_pagination")))
+    payload = F.when(i % 4 == 0, page(F.lit("https://s.example/?q=x").alias("next_link"), (i + 10).cast("string").alias("next_offset"))).when(i % 4 == 1, page(F.concat(F.lit("https://s.example/?q=x&start="), i + 20).alias("next"))).when(i % 4 == 2, page(F.lit("").alias("next"))).otherwise(page(F.lit("https://s.example/?q=x&start=0").alias("next")))
+    return m.base("events").select(i.alias("id"), search.next_offset(payload, i, F.lit(7)).alias("next"))
+
+
+@query("SELECT e.id, d.name AS old_domain, concat('www.youtube.com/@chan', e.id % 5) AS new_domain FROM expression e JOIN webdomain d ON d.id = e.domain_id WHERE e.id % 2 = 0")
+def listed_domains(m):
+    """Pages on a listed platform get the platform's entity as their domain; others are not asked about."""
+    url = F.when(F.col("id") % 2 == 0, F.concat(F.lit("https://www.youtube.com/@chan"), F.col("id") % 5, F.lit("/videos"))).otherwise(F.col("url"))
+    return normalize.reassigned(m.expression.withColumn("url", url), m.domain)
+
+
+@query("""SELECT id, url, CASE WHEN id % 3 = 0 THEN coalesce(original_url, url || '#top') ELSE original_url END AS original_url, regexp_extract(url, '^https?://([^/?#]*)', 1) AS domain FROM expression""")
+def renamed_pages(m):
+    """Pages with an anchor take their normal address, and keep the first one they had."""
+    pages = m.expression.select("id", F.lit(1).alias("land_id"), F.when(F.col("id") % 3 == 0, F.concat("url", F.lit("#top"))).otherwise(F.col("url")).alias("url"), "original_url", "http_status")
+    moves = pages.filter("id % 3 = 0").select("id", F.lit("rename").alias("action"), F.substring_index("url", "#", 1).alias("new_url"))
+    return normalize.renamed(pages, moves).select("id", "url", "original_url", "domain")
+
+
+@query("SELECT id FROM media WHERE expression_id % 4 <> 0")
+def media_of_the_unmerged(m):
+    moves = m.expression.select("id", F.when(F.col("id") % 4 == 0, "merge").otherwise("rename").alias("action"))
+    extra = m.media.select((F.col("expression_id") * 4).alias("id"), F.lit("merge").alias("action"))
+    return normalize.without_merged(m.media, moves.unionByName(extra), "expression_id").select("id")
