@@ -10,7 +10,7 @@ from corpusloom.plans import registry
 
 DATA = os.environ.get("CORPUSLOOM_TESTDATA", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
-NAMES = ["domain_links", "page_rows_tags", "orphans", "tag_matrix", "url_normalize", "merge_links", "relevance", "paragraphs", "cosine_topk", "pseudolinks_page", "search_merge", "usage_rollup", "serp_dates", "smart_merge", "url_cases", "page_cases", "md_cases", "listed_urls", "listed_new_urls", "search_persist", "html_truncated", "nodegexf_nodes", "date_windows_calendar"]
+NAMES = ["domain_links", "page_rows_tags", "orphans", "tag_matrix", "url_normalize", "merge_links", "relevance", "paragraphs", "cosine_topk", "pseudolinks_page", "search_merge", "usage_rollup", "serp_dates", "smart_merge", "url_cases", "page_cases", "md_cases", "listed_urls", "listed_new_urls", "search_persist", "html_truncated", "nodegexf_nodes"]
 
 
 def _plain(table):
