@@ -150,10 +150,11 @@ class Shared:
                     lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(c), t)) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int32(), pa.bool_()))]
                     yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["key", "start", "h1", "h2", "once"])
 
-        hashed = few.select("key", "text", "marks").mapInArrow(hash_windows, "key bigint, start array<int>, h1 array<bigint>, h2 array<int>, once array<boolean>").checkpoint()
+        hashed = few.select("key", "text", "marks").mapInArrow(hash_windows, "key bigint, start array<int>, h1 array<bigint>, h2 array<int>, once array<boolean>")
         groups = hashed.select("key", F.inline(F.arrays_zip("h1", "h2", "once"))).filter("once").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("key")).alias("keys")).filter("size > 1")
         # paragraphs with the same members are one group
         groups = groups.select("h1", "h2", "size", F.xxhash64("size", "keys").alias("group")).checkpoint()
+        # the few texts with shared marks are hashed again here, which takes less than writing their paragraphs
         windows = hashed.select("key", F.inline(F.arrays_zip("start", "h1", "h2")))
         if groups.count() <= SENT:
             joined = windows.join(F.broadcast(groups), ["h1", "h2"])
