@@ -86,10 +86,10 @@ def made_of(line: str) -> str | None:
     return None
 
 
-def line_kind(line: str, weights: np.ndarray | None = None, n_sources: int = 1, fill: float = 0.5) -> str:
+def line_kind(line: str, weights: np.ndarray | None = None, n_sources: int = 1, fill: float = 0.5, template: str | None = None) -> str:
     """slot, filler, message, text, or none (menus, footers, and what is too short to tell).
 
-    ``n_sources`` have the line, which fills the share ``fill`` of its pages. Without ``weights`` the seeds alone decide.
+    ``n_sources`` have the line, which fills the share ``fill`` of its pages; what varies in its ``template`` has no weight. Without ``weights`` the seeds alone decide.
     """
     line = line.strip()
     if not line:
@@ -100,7 +100,7 @@ def line_kind(line: str, weights: np.ndarray | None = None, n_sources: int = 1,
     if line.isdigit():
         return "message" if len(line) == 3 and line[0] in "45" else "none"
     n = len(_WORD.findall(line))
-    odds = messages.score(messages.seed_weights() if weights is None else weights, mask(line))
+    odds = messages.score(messages.seed_weights() if weights is None else weights, template.replace("<*>", " ") if template else mask(line))
     if n >= 6 and n_sources >= SPREAD:
         odds += 2.0
     if n >= 6:
@@ -262,7 +262,7 @@ def templates(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds = [line_kind(unmasked(m), sent.value, s, f) for m, s, f in zip(*(batch.column(i).to_pylist() for i in (3, 2, 4)))]
+            kinds = [line_kind(unmasked(m), sent.value, s, f, t) for m, s, f, t in zip(*(batch.column(i).to_pylist() for i in (3, 2, 4, 0)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kinds, pa.string()), batch.column(1), batch.column(2)], names=["template", "kind", "n_lines", "n_sources"])
 
     rows = grouped.select("template", "n_lines", "n_sources", "masked", (F.col("fill") / F.col("n_lines")).alias("fill"))
