@@ -250,19 +250,25 @@ def fold(text: str) -> str:
     return " ".join(text.split())
 
 
+@lru_cache(maxsize=1 << 14)
+def _parts(word: str) -> tuple[int, ...]:
+    """Places of a word's 3- to 5-letter parts."""
+    padded = f"^{word}$"
+    return tuple(zlib.crc32(padded[j : j + n].encode()) & (FEATURES - 1) for n in (3, 4, 5) for j in range(len(padded) - n + 1))
+
+
 def features(line: str) -> tuple[np.ndarray, np.ndarray]:
     """(places, values) of a line; its length has no weight."""
     words = ["<n>" if t.isdigit() else t for t in _TOKEN.findall(fold(line))]
     crc = zlib.crc32
     at: dict[int, float] = {}
     for i, w in enumerate(words):
-        names = [("w" + w, 1.0), ("p" + w + " " + (words[i + 1] if i + 1 < len(words) else "$"), 1.0)]
-        if w[0] != "<" and len(w) > 2:
-            padded = f"^{w}$"
-            names += [(padded[j : j + n], 0.4) for n in (3, 4, 5) for j in range(len(padded) - n + 1)]
-        for name, value in names:
+        for name in ("w" + w, "p" + w + " " + (words[i + 1] if i + 1 < len(words) else "$")):
             k = crc(name.encode()) & (FEATURES - 1)
-            at[k] = at.get(k, 0.0) + value
+            at[k] = at.get(k, 0.0) + 1.0
+        if w[0] != "<" and len(w) > 2:
+            for k in _parts(w):
+                at[k] = at.get(k, 0.0) + 0.4
     values = np.fromiter(at.values(), np.float32, len(at))
     if len(values):
         values /= np.sqrt((values * values).sum())

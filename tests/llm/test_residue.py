@@ -82,3 +82,20 @@ def test_a_large_leaf_is_split(spark, monkeypatch):
     df = spark.createDataFrame(rows, "id bigint, site bigint, content string")
     assert R.residue_pages(df, "id", "site", "content").count() == 200
     assert R.residue_templates(df, "id", "site", "content").select("template").collect() == [("Access to file <*> was denied",)]
+
+
+def test_pages_with_much_prose_are_judged_too(spark):
+    notice = [
+        "Sorry, the page you are looking for could not be found on this server, it does not exist any longer or has been moved.", "The address may be mistyped or the bookmark out of date, please go back to the home page or try a search.",
+        "An unexpected error occurred while opening the page, our team has been notified, please try again later or return to the start page.", "If nothing appears, please enable JavaScript and cookies in your browser and reload the page to run this app.",
+        "Your session has expired or you are not allowed to see this page, please sign in again to continue.",
+    ]
+    song = [f"{a} mirel dosta {b} kanu velin tora {a} besim lodu {b} farel" for a in ("sulo", "ketam", "rivo") for b in ("nade", "pilor", "gusem")]
+    rows = [
+        (1, 1, "\n".join(["Home | News | Contact | Maps", *notice])), (2, 1, "\n".join(["test text todo test text todo test text todo"] * 4 + ["test text " * 60])),
+        (3, 2, "\n".join(notice) + "\nThe village choir sang in the old mill until midnight, and the people of the valley came to hear it."),
+        (4, 2, "Loading...\n" + "\n".join("12 7 33 4 58 61 7 80 91 10 11" for _ in range(20))), *((i, i, "\n".join(song)) for i in range(10, 15)),
+    ]
+    df = spark.createDataFrame(rows, "id bigint, site bigint, content string")
+    assert all(sum(R.prose(line, len(line.split())) for line in r[2].split("\n")) >= R.PROSE for r in rows)
+    assert sorted(r[0] for r in R.residue_pages(df, "id", "site", "content").collect()) == [1, 2]
