@@ -3,12 +3,12 @@
 Every line becomes an identifier, a 64-bit hash of its text without letter case, amount of white
 space or the value of digit runs; a source's documents are its concatenated identifiers. The
 suffix array of all sources is built by prefix doubling: depth 1 ranks the suffixes by their first
-line, depth 2**k by their first 2**k lines. Suffixes whose common prefix spans fewer than
-``min_docs`` documents leave the array at once, since no longer prefix of theirs can span
-more; what stays of a document are runs of lines, and the codes of all depths of a run are
-worked out side by side, in one pass. Documents end in a line of their own, so no block crosses
-them. Each suffix that stays has the length of its common prefix, the block that starts there; the
-lines of these blocks are the repeated lines.
+line, depth 2**k by their first 2**k lines, which is by the pair of ranks that their two halves have one
+depth before. Ranks are places in a sort, and keep the order of the line identifiers. Suffixes whose
+common prefix spans fewer than ``min_docs`` documents leave the array before the next depth, since no
+longer prefix of theirs can span more; the doubling ends when all have left. No block crosses
+the end of a document. Each suffix has the length of the common prefix with which it stayed last, the
+block that starts there, in doublings; the lines of these blocks are the repeated lines.
 
 A source is never one group: identifiers are counted by (source, identifier) with partial counts, hot
 identifiers are sent to the lines instead of gathering them, and only identifiers
@@ -74,80 +74,98 @@ def frequent_ids(pages: DataFrame, min_docs: int) -> DataFrame:
     return counted.filter(F.col("n_docs") >= min_docs)
 
 
+def ranked(groups: DataFrame, *order: str) -> DataFrame:
+    """``groups`` with ``rank``, which grows in the given order; ranks are apart, but not next to each other. Written, since a rank is a place in one sort."""
+    return groups.orderBy(*order).withColumn("rank", F.monotonically_increasing_id()).checkpoint()
+
+
 def suffix_runs(pages: DataFrame, frequent: DataFrame) -> DataFrame:
-    """(doc, source, copy, lines): the lines that stay, as an array of (at, line_no, h, n_docs); ``copy`` tells rows of one document apart."""
+    """(doc, source, copy, lines): the suffixes of depth 1 that stay, as an array of (at, line_no, rank, h, n_docs); ``copy`` tells rows of one document apart."""
     lines = pages.select("doc", "source", F.xxhash64("nos", "ids").alias("copy"), F.posexplode(F.arrays_zip("nos", "ids")).alias("at", "line"))
     lines = lines.select("doc", "source", "copy", "at", F.col("line.nos").alias("line_no"), F.col("line.ids").alias("h"))
     if frequent.count() <= SENT:
-        f = frequent.select(F.col("source").alias("_s"), F.col("h").alias("_h"), "n_docs")
+        f = frequent.select(F.col("source").alias("_s"), F.col("h").alias("_h"), "n_docs", "rank")
         kept = lines.join(F.broadcast(f), (F.col("h") == F.col("_h")) & F.col("source").eqNullSafe(F.col("_s")))
     else:
         kept = join_counted(lines, frequent, ["source", "h"], "n")
-    return kept.groupBy("doc", "source", "copy").agg(F.array_sort(F.collect_list(F.struct("at", "line_no", "h", "n_docs"))).alias("lines"))
+    return kept.groupBy("doc", "source", "copy").agg(F.array_sort(F.collect_list(F.struct("at", "line_no", "rank", "h", "n_docs"))).alias("lines"))
 
 
-def suffix_codes(runs: DataFrame) -> DataFrame:
-    """(doc, source, line_no, n_lines, h, once): the code of each suffix at each depth 2, 4, 8, … that its run has.
+def suffix_pairs(runs: DataFrame, half: int) -> DataFrame:
+    """(doc, source, copy, at, line_no, r1, r2, h, once): each suffix whose two halves of ``half`` lines have both stayed, with their ranks.
 
-    ``once`` marks one place of each block in a document.
+    ``once`` marks one place of each pair in a row, ``h`` is the code of its lines.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(2)
+            lists = batch.column(3)
             flat = lists.flatten()
             if not len(flat):
                 continue
             page = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
-            at, no, code = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
+            at, no, rank, code = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+            place = page.astype(np.int64) * (1 << 32) + at
+            other = np.minimum(np.searchsorted(place, place + half), len(place) - 1)
+            first = np.flatnonzero(place[other] == place + half)
+            second = other[first]
+            r1, r2, of = rank[first], rank[second], page[first]
+            order = np.lexsort((r2, r1, of))
+            new = np.ones(len(order), bool)
+            new[1:] = (np.diff(of[order]) != 0) | (np.diff(r1[order]) != 0) | (np.diff(r2[order]) != 0)
+            once = np.zeros(len(order), bool)
+            once[order[new]] = True
             code = code.view(np.uint64)
-            # position i and i + 1 stand in one run if no line between them has left
-            joined = np.concatenate([(np.diff(page) == 0) & (np.diff(at) == 1), [False]])
-            last = np.flatnonzero(~joined)
-            left = last[np.searchsorted(last, np.arange(len(at)))] - np.arange(len(at)) + 1
-            place, size = np.arange(len(at)), 1
-            while True:
-                half = size
-                size *= 2
-                keep = left[place] >= size
-                if not keep.any():
-                    break
-                wide = np.zeros(len(at), np.uint64)
-                wide[place] = code
-                place = place[keep]
-                with np.errstate(over="ignore"):
-                    code = mixed(wide[place] * np.uint64(0xD1342543DE82EF95) + wide[place + half] + np.uint64(size))
-                    _, first = np.unique(mixed(code + page[place].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
-                once = np.zeros(len(place), bool)
-                once[first] = True
-                take = pa.array(page[place], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(no[place], pa.int32()), pa.array(np.full(len(place), size), pa.int32()), pa.array(code.view(np.int64)), pa.array(once)], names=["doc", "source", "line_no", "n_lines", "h", "once"])
+            with np.errstate(over="ignore"):
+                h = mixed(code[first] * np.uint64(0xD1342543DE82EF95) + code[second] + np.uint64(2 * half)).view(np.int64)
+            take = pa.array(of, pa.int64())
+            found = [pa.array(at[first], pa.int32()), pa.array(no[first], pa.int32()), *(pa.array(c, pa.int64()) for c in (r1, r2, h)), pa.array(once)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in range(3)), *found], names=["doc", "source", "copy", "at", "line_no", "r1", "r2", "h", "once"])
 
     kinds = [runs.schema[c].dataType.simpleString() for c in ("doc", "source")]
-    return runs.select("doc", "source", "lines").mapInArrow(run, f"doc {kinds[0]}, source {kinds[1]}, line_no int, n_lines int, h bigint, once boolean")
+    return runs.select("doc", "source", "copy", "lines").mapInArrow(run, f"doc {kinds[0]}, source {kinds[1]}, copy bigint, at int, line_no int, r1 bigint, r2 bigint, h bigint, once boolean")
+
+
+def suffix_depths(runs: DataFrame, min_docs: int) -> Iterator[tuple[int, DataFrame, DataFrame]]:
+    """(depth, blocks, suffixes) for the depths 2, 4, 8, … while suffixes stay, of the suffixes of depth 1.
+
+    ``blocks`` (source, r1, r2, h, n_docs, n, rank) are the prefixes that span enough documents, ``suffixes``
+    (doc, source, copy, lines) those that have them; both are written. Only these go on to the next depth.
+    """
+    several, half = _repeats(runs), 1
+    while True:
+        pairs = suffix_pairs(runs, half)
+        n_docs = F.count_distinct("doc") if several else F.count_if("once")
+        counted = pairs.groupBy("source", "r1", "r2").agg(F.min("h").alias("h"), n_docs.alias("n_docs"), F.count(F.lit(1)).alias("n"))
+        blocks = ranked(counted.filter(F.col("n_docs") >= min_docs), "source", "r1", "r2")
+        found = blocks.count()
+        if not found:
+            return
+        # a rank of depth 1 belongs to one source, and so does every pair
+        if found <= SENT:
+            kept = pairs.join(F.broadcast(blocks.select("r1", "r2", "rank")), ["r1", "r2"])
+        else:
+            kept = join_counted(pairs, blocks.select("r1", "r2", "rank", "n"), ["r1", "r2"], "n")
+        runs = kept.groupBy("doc", "source", "copy").agg(F.array_sort(F.collect_list(F.struct("at", "line_no", "rank", "h"))).alias("lines")).checkpoint()
+        half *= 2
+        yield half, blocks, runs
 
 
 def suffix_array(pages: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
-    """The suffixes that stay (doc, line_no, n_docs, prefix), and the blocks (source, h, n_lines, n_docs).
+    """The suffixes that stay (doc, line_no, n_docs, prefix), and the blocks (source, h, n_lines, n_docs, rank).
 
     ``prefix`` is the length in lines of the longest block of 1, 2, 4, … lines that starts there, ``n_docs`` the documents of its first line.
+    ``rank`` orders the blocks of one length and source by the identifiers of their lines.
     """
-    frequent = frequent_ids(pages, min_docs).checkpoint()
+    frequent = ranked(frequent_ids(pages, min_docs), "source", "h")
     runs = suffix_runs(pages, frequent).checkpoint()
-    codes = suffix_codes(runs)
-    blocks = codes.filter("once").groupBy("source", "n_lines", "h").agg(F.count_distinct("doc") if _repeats(runs) else F.count(F.lit(1)).alias("n_docs"))
-    blocks = blocks.toDF("source", "n_lines", "h", "n_docs").filter(F.col("n_docs") >= min_docs).checkpoint()
-    deep = codes.select("doc", "line_no", "source", "n_lines", "h")
-    if blocks.count() <= SENT:
-        b = blocks.select(F.col("source").alias("_s"), F.col("n_lines").alias("_n"), F.col("h").alias("_h"))
-        deep = deep.join(F.broadcast(b), (F.col("h") == F.col("_h")) & (F.col("n_lines") == F.col("_n")) & F.col("source").eqNullSafe(F.col("_s")), "left_semi")
-    else:
-        deep = join_counted(deep, blocks, ["source", "n_lines", "h"], "n_docs")
-    single = runs.select("doc", F.explode("lines").alias("l")).select("doc", F.col("l.line_no").alias("line_no"), F.lit(1).alias("n_lines"), F.col("l.n_docs").alias("n_docs"))
-    every = single.unionByName(deep.select("doc", "line_no", "n_lines", F.lit(None).cast("long").alias("n_docs")))
-    suffixes = every.groupBy("doc", "line_no").agg(F.max("n_docs").alias("n_docs"), F.max("n_lines").alias("prefix"))
-    singles = frequent.select("source", "h", F.lit(1).alias("n_lines"), "n_docs")
-    return suffixes, singles.unionByName(blocks.select("source", "h", "n_lines", "n_docs"))
+    every = runs.select("doc", F.explode("lines").alias("l")).select("doc", F.col("l.line_no").alias("line_no"), F.lit(1).alias("n_lines"), F.col("l.n_docs").alias("n_docs"))
+    found = frequent.select("source", "h", F.lit(1).alias("n_lines"), "n_docs", "rank")
+    for depth, blocks, suffixes in suffix_depths(runs, min_docs):
+        deep = suffixes.select("doc", F.explode("lines.line_no").alias("line_no"), F.lit(depth).alias("n_lines"), F.lit(None).cast("long").alias("n_docs"))
+        every = every.unionByName(deep)
+        found = found.unionByName(blocks.select("source", "h", F.lit(depth).alias("n_lines"), "n_docs", "rank"))
+    return every.groupBy("doc", "line_no").agg(F.max("n_docs").alias("n_docs"), F.max("n_lines").alias("prefix")), found
 
 
 def _repeats(runs: DataFrame) -> bool:

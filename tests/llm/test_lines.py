@@ -46,3 +46,31 @@ def test_blocks(spark):
     # own and rest differ only in digits, so they repeat too: six lines in a row
     assert [s for s in sizes if s[0] == 4] == [(4, 6)] * 3 and max(s[0] for s in sizes) == 4
     assert L.repeated_blocks(df.limit(0), "id", "site", "text").count() == 0
+
+
+def test_each_depth_is_ranked_and_pruned(spark):
+    rng = random.Random(8)
+    block = [["a", "b", "a", "c", "b"], ["c", "a", "b", "d"], ["d", "d", "d", "d", "d", "d", "d", "d"]]
+    docs = []
+    for i in range(60):
+        body = [x for _ in range(3) for x in (rng.choice(block) if rng.random() < 0.6 else rng.choices("abcd", k=3))]
+        docs.append((i, i % 2, "\n".join(body)))
+    df = spark.createDataFrame(docs, "id bigint, site bigint, text string")
+    L.ensure_checkpoint_dir(spark)
+    pages = L.sequences(df, "id", "site", "text").checkpoint()
+    ids = {r["doc"]: (r["source"], r["ids"]) for r in pages.collect()}
+    runs = L.suffix_runs(pages, L.ranked(L.frequent_ids(pages, 6), "source", "h"))
+    depths = 0
+    for depth, blocks, suffixes in L.suffix_depths(runs, 6):
+        spans = {}
+        for d, (s, h) in ids.items():
+            for p in range(len(h) - depth + 1):
+                spans.setdefault((s, *h[p : p + depth]), set()).add((d, p))
+        want = {k: v for k, v in spans.items() if len({d for d, _ in v}) >= 6}
+        stay = {(r["doc"], x["at"]): x["rank"] for r in suffixes.collect() for x in r["lines"]}
+        # those of too few documents have left, and ranks sort the rest as their lines do
+        assert set(stay) == {p for v in want.values() for p in v} and len(stay) < sum(map(len, spans.values()))
+        order = [{stay[p] for p in want[k]} for k in sorted(want)]
+        assert all(len(r) == 1 for r in order) and [min(r) for r in order] == sorted(r["rank"] for r in blocks.collect())
+        depths += 1
+    assert depths >= 2
