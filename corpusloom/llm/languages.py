@@ -230,19 +230,27 @@ def word_costs(model: Model, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def path(costs: np.ndarray, change: float = CHANGE) -> np.ndarray:
     """The cheapest language of each word of a line, a change of language costing ``change`` bits."""
-    n, k = costs.shape
-    back = np.zeros((n, k), np.int8)
-    cost = costs[0].astype(float)
-    for i in range(1, n):
-        best = int(cost.argmin())
-        switch = cost[best] + change
-        stay = cost <= switch
-        back[i] = np.where(stay, np.arange(k), best)
-        cost = np.where(stay, cost, switch) + costs[i]
-    out = np.empty(n, np.int8)
-    out[-1] = cost.argmin()
-    for i in range(n - 1, 0, -1):
-        out[i - 1] = back[i, out[i]]
+    # rows have a handful of numbers, for which lists are faster than arrays
+    rows = costs.astype(float).tolist()
+    cost = rows[0]
+    back: list[list[int] | None] = []
+    for row in rows[1:]:
+        low = min(cost)
+        switch = low + change
+        if max(cost) <= switch:
+            back.append(None)  # each language stays
+            cost = [c + x for c, x in zip(cost, row)]
+        else:
+            best = cost.index(low)
+            back.append([j if c <= switch else best for j, c in enumerate(cost)])
+            cost = [(c if c <= switch else switch) + x for c, x in zip(cost, row)]
+    at = cost.index(min(cost))
+    out = np.empty(len(rows), np.int8)
+    out[-1] = at
+    for i in range(len(back) - 1, -1, -1):
+        if (came := back[i]) is not None:
+            at = came[at]
+        out[i] = at
     return out
 
 
@@ -307,9 +315,10 @@ def judge(model: Model, contents: list[str]) -> list[tuple[int, float, list[tupl
     if len(costs):
         line_of = np.minimum(line_of, len(lines) - 1)
         loud = speaks[line_of]
-        np.add.at(sums, owner[line_of[loud]], costs[loud])
-        np.add.at(words_of, owner[line_of[loud]], 1)
         word_page = owner[line_of]
+        words_of = np.bincount(word_page[loud], minlength=len(contents))
+        for j in range(k):
+            sums[:, j] = np.bincount(word_page[loud], costs[loud, j], len(contents))
     main = np.where(sums.any(axis=1), sums.argmin(axis=1), -1)
     suspects: dict[int, None] = {}
     w = 8

@@ -8,6 +8,7 @@ looked up in a list: the seeds only teach.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 import zlib
@@ -257,9 +258,13 @@ def _parts(word: str) -> tuple[int, ...]:
     return tuple(zlib.crc32(padded[j : j + n].encode()) & (FEATURES - 1) for n in (3, 4, 5) for j in range(len(padded) - n + 1))
 
 
+def _words(line: str) -> list[str]:
+    return ["<n>" if t.isdigit() else t for t in _TOKEN.findall(fold(line))]
+
+
 def features(line: str) -> tuple[np.ndarray, np.ndarray]:
     """(places, values) of a line; its length has no weight."""
-    words = ["<n>" if t.isdigit() else t for t in _TOKEN.findall(fold(line))]
+    words = _words(line)
     crc = zlib.crc32
     at: dict[int, float] = {}
     for i, w in enumerate(words):
@@ -308,6 +313,47 @@ def score(weights: np.ndarray, line: str) -> float:
     return float(4.0 * (weights[at] * x).sum()) if len(at) else 0.0
 
 
+class Scorer:
+    """Whether lines score more than a bar, without the vector of most of them.
+
+    The sum of the weights is linear in the words, and the norm of a vector is at least that of its entries before those of one place
+    are added up, since none is negative; both are known of each word. Only where this bound does not tell is ``score`` worked out.
+    """
+
+    #: Room for the rounding of either sum.
+    SLACK = 0.01
+    #: Words that are kept.
+    KEPT = 1 << 16
+
+    def __init__(self, weights: np.ndarray):
+        self.weights = weights
+        self._weight: list[float] = weights.tolist()
+        self._known: dict[str, tuple[float, float]] = {}
+
+    def _word(self, word: str) -> tuple[float, float]:
+        """Weight of a word and its parts, and the square of their values with that of the pair it begins."""
+        if len(self._known) >= self.KEPT:
+            self._known.clear()
+        parts = _parts(word) if word[0] != "<" and len(word) > 2 else ()
+        weight = self._weight[zlib.crc32(("w" + word).encode()) & (FEATURES - 1)] + 0.4 * sum([self._weight[k] for k in parts])
+        self._known[word] = found = weight, 2.0 + 0.16 * len(parts)
+        return found
+
+    def most(self, line: str) -> float:
+        """What the line scores at most; not less than 0."""
+        words = _words(line)
+        weight, known, crc = self._weight, self._known, zlib.crc32
+        total = squares = 0.0
+        for w, after in zip(words, [*words[1:], "$"]):
+            own, square = known.get(w) or self._word(w)
+            total += own + weight[crc(f"p{w} {after}".encode()) & (FEATURES - 1)]
+            squares += square
+        return 4.0 * total / math.sqrt(squares) + self.SLACK if total > 0 else self.SLACK
+
+    def exceeds(self, line: str, bar: float) -> bool:
+        return self.most(line) > bar and score(self.weights, line) > bar
+
+
 _CLAUSE = re.compile(r"[,:;.?!]\s+")
 
 
@@ -324,3 +370,8 @@ def seed_examples() -> list[tuple[str, int]]:
 @lru_cache(maxsize=1)
 def seed_weights() -> np.ndarray:
     return train(seed_examples())
+
+
+@lru_cache(maxsize=1)
+def seed_scorer() -> Scorer:
+    return Scorer(seed_weights())

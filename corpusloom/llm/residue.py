@@ -65,6 +65,8 @@ TYPED = re.compile(r"^(?:x{2,}|y{3,}|z{3,}|(?:asdf|qwer|qwertz?|zxcv|yxcv|jkl|hj
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _SIGNS = re.compile(r"[{}\[\]<>$%*_@#]")
 _MENU = re.compile(r"[|·•/›»>–]")
+#: The characters of ``_SIGNS`` and ``_MENU``, and the beginnings of slots: most pages have no sign and no slot, which is seen without a pattern.
+SIGNS, MENU, OPENINGS = "{}[]<>$%*_@#", "|·•/›»>–", ("{", "[", "<", "$", "%", "#", "@", "__", "*|", "&lt;")
 _FOOTER = re.compile(r"©|\(c\)|copyright", re.I)
 
 
@@ -80,7 +82,7 @@ def made_of(line: str) -> str | None:
         return "none"
     if not slots and len(_MENU.findall(line)) >= 3:
         return "none"
-    if n and sum(w in FILLER for w in words) >= 0.6 * n and (n >= 3 or folded.startswith("lorem")):
+    if n and sum(map(FILLER.__contains__, words)) >= 0.6 * n and (n >= 3 or folded.startswith("lorem")):
         return "filler"
     tokens = folded.strip(" .,:;!?…").split()
     if tokens and all(TYPED.match(t.strip(".,:;!?")) for t in tokens) and any(not t.isdigit() for t in tokens):
@@ -88,10 +90,10 @@ def made_of(line: str) -> str | None:
     return None
 
 
-def line_kind(line: str, weights: np.ndarray | None = None, n_sources: int = 1, fill: float = 0.5, template: str | None = None) -> str:
+def line_kind(line: str, scorer: messages.Scorer | None = None, n_sources: int = 1, fill: float = 0.5, template: str | None = None) -> str:
     """slot, filler, message, text, or none (menus, footers, and what is too short to tell).
 
-    ``n_sources`` have the line, which fills the share ``fill`` of its pages; what varies in its ``template`` has no weight. Without ``weights`` the seeds alone decide.
+    ``n_sources`` have the line, which fills the share ``fill`` of its pages; what varies in its ``template`` has no weight. Without a ``scorer`` the seeds alone decide.
     """
     line = line.strip()
     if not line:
@@ -102,26 +104,26 @@ def line_kind(line: str, weights: np.ndarray | None = None, n_sources: int = 1,
     if line.isdigit():
         return "message" if len(line) == 3 and line[0] in "45" else "none"
     n = len(_WORD.findall(line))
-    odds = messages.score(messages.seed_weights() if weights is None else weights, template.replace("<*>", " ") if template else mask(line))
-    if n >= 6 and n_sources >= SPREAD:
-        odds += 2.0
-    if n >= 6:
-        odds += fill - 0.5
     # a long line is seldom a message, and a very short one says little
-    if odds > (1.0 if n < 6 else 0.5 if n <= 22 else 3.0):
+    bar = 1.0 if n < 6 else 0.5 if n <= 22 else 3.0
+    if n >= 6:
+        bar -= fill - 0.5
+        if n_sources >= SPREAD:
+            bar -= 2.0
+    if (scorer or messages.seed_scorer()).exceeds(template.replace("<*>", " ") if template else mask(line), bar):
         return "message"
     return "text" if n >= 6 else "none"
 
 
-def prose(line: str, n: int) -> int:
-    """The ``n`` words of a line if it is one of prose, else 0."""
-    if n < 10 or _SIGNS.search(line) or len(_MENU.findall(line)) >= 3:
+def prose(line: str, n: int, signs: bool = True) -> int:
+    """The ``n`` words of a line if it is one of prose, else 0; ``signs``: whether it may have any of ``SIGNS``."""
+    if n < 10 or signs and _SIGNS.search(line) or sum(map(line.count, MENU)) >= 3:
         return 0
-    return 0 if sum([w in FILLER for w in line[:300].lower().split()]) >= 0.4 * min(n, 45) else n
+    return 0 if sum(map(FILLER.__contains__, line[:300].lower().split())) >= 0.4 * min(n, 45) else n
 
 
 _NUMBER = re.compile(r"\d+")
-_PATH = re.compile(r"(?<!\S)/[\w./-]+")
+_PATH = re.compile(r"/(?<!\S/)[\w./-]+")  # the sign comes first, since it is sought
 
 
 def mask(line: str) -> str:
@@ -130,6 +132,17 @@ def mask(line: str) -> str:
     return " ".join(_NUMBER.sub("<n>", _PATH.sub("<path>", line)).split())
 
 
+def masked_lines(text: str) -> tuple[list[str], bool]:
+    """``mask`` of each line that is not blank, and whether a slot was masked; no pattern goes over a line feed, so each runs once over the page."""
+    slots = 0
+    if any(map(text.__contains__, OPENINGS)):
+        text, slots = SLOT.subn("<slot>", text)
+    if "/" in text:
+        text = _PATH.sub("<path>", text)
+    lines = [" ".join(line.split()) for line in _NUMBER.sub("<n>", text).split("\n")]
+    return [line for line in lines if line], slots > 0
+
+
 def unmasked(masked: str) -> str:
     """A line as it may have read: a number alone is a status, other masks become samples."""
     if masked == "<n>":
@@ -184,14 +197,17 @@ def page_lines(df: DataFrame, doc: str, source: str, content: str, failed: Colum
             for i, text in enumerate(batch.column(3).to_pylist()):
                 if not text or text.isspace():
                     continue
-                lines = [line for line in text.split("\n") if line.strip()]
-                sizes = [len(line.split()) for line in lines]
-                have = [prose(line, n) for line, n in zip(lines, sizes)]
+                lines = [line for line in text.split("\n") if line and not line.isspace()]
+                masked, slots = masked_lines(text)
+                # but for slots, masks keep the number of words
+                sizes = [len(line.split()) for line in lines] if slots else [m.count(" ") + 1 for m in masked]
+                signs = any(map(text.__contains__, SIGNS))
+                have = [prose(line, n, signs) for line, n in zip(lines, sizes)]
                 at.append(i)
                 thins.append(sum(have) < PROSE)
                 lent.append(not thins[-1] and zlib.crc32(text.encode("utf-8", "replace")) % LENT == 0)
                 first.append(have.index(max(have)) + 1)
-                masks.append([mask(line) for line in lines])
+                masks.append(masked)
                 words.append(sizes)
                 proses.append(have)
             take = pa.array(at, pa.int64())
@@ -203,6 +219,18 @@ def page_lines(df: DataFrame, doc: str, source: str, content: str, failed: Colum
     return rows.filter("doc IS NOT NULL AND content IS NOT NULL").mapInArrow(run, f"doc {kinds[0]}, source {kinds[1]}, failed boolean, thin boolean, lent boolean, first int, masked array<string>, words array<int>, prose array<int>")
 
 
+def line_texts(df: DataFrame, doc: str, content: str) -> DataFrame:
+    """(masked): the masked lines of the pages of ``page_lines``, each once for a batch of pages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = dict.fromkeys(line for text in batch.column(0).to_pylist() for line in masked_lines(text)[0])
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], names=["masked"])
+
+    rows = df.filter(F.col(f"`{doc}`").isNotNull() & F.col(f"`{content}`").isNotNull())
+    return rows.select(F.col(f"`{content}`").alias("content")).mapInArrow(run, "masked string")
+
+
 def counted_lines(lines: DataFrame) -> DataFrame:
     """(h, n_lines, n_sites, n_sources, n_thin, failed, fill, fill_thin, lent) of each masked line, by its hash.
 
@@ -289,8 +317,9 @@ def classified(grouped: DataFrame, weights: np.ndarray) -> DataFrame:
     sent = grouped.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = messages.Scorer(sent.value)
         for batch in batches:
-            kinds = [line_kind(unmasked(m), sent.value, s, f, t) for m, s, f, t in zip(*(batch.column(i).to_pylist() for i in (4, 3, 5, 1)))]
+            kinds = [line_kind(unmasked(m), scorer, s, f, t) for m, s, f, t in zip(*(batch.column(i).to_pylist() for i in (4, 3, 5, 1)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kinds, pa.string()), batch.column(2), batch.column(3)], names=["t", "template", "kind", "n_lines", "n_sources"])
 
     rows = grouped.select("t", "template", "n_lines", "n_sources", "masked", "fill")
@@ -310,7 +339,7 @@ def _written_pages(df: DataFrame, doc: str, source: str, content: str, status: s
     hashes = F.transform("masked", lambda m: F.xxhash64(m)).alias("h")
     total = F.aggregate("words", F.lit(0).cast("long"), lambda a, n: a + n).alias("total")
     narrow = pages.select("doc", "source", "failed", "thin", "lent", "first", hashes, "words", "prose", total)
-    texts = pages.select(F.explode("masked").alias("masked")).select(F.xxhash64("masked").alias("h"), "masked")
+    texts = line_texts(df, doc, content).select(F.xxhash64("masked").alias("h"), "masked")
     return by_site(narrow, "source", same).checkpoint(), texts.groupBy("h", "masked").agg(F.lit(1)).select("h", "masked")
 
 

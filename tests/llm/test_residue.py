@@ -1,5 +1,6 @@
 import pytest
 
+from corpusloom.llm import messages
 from corpusloom.llm import residue as R
 
 JUNK = ["Hello $city$", "{{ page.title }}", "Dear {first_name},", "[INSERT INTRO HERE]", "By %%HEADLINE%%", "<%= render 'x' %>", "*|FOOTER|*", "#CITY# #DATE#", "Lorem ipsum dolor sit amet magna.", "text text text", "asdf qwer asdf", "test 28", "Your heading here",
@@ -99,3 +100,23 @@ def test_pages_with_much_prose_are_judged_too(spark):
     df = spark.createDataFrame(rows, "id bigint, site bigint, content string")
     assert all(sum(R.prose(line, len(line.split())) for line in r[2].split("\n")) >= R.PROSE for r in rows)
     assert sorted(r[0] for r in R.residue_pages(df, "id", "site", "content").collect()) == [1, 2]
+
+
+def test_ordinary_lines_are_judged_without_their_vectors(monkeypatch):
+    lines = [line for line, _ in messages.seed_examples()] + HELD_OUT + REAL + TEXT
+    scorer = messages.Scorer(messages.seed_weights())
+    assert all(scorer.most(x) >= messages.score(scorer.weights, x) for x in [*lines, *map(" ".join, zip(lines, lines[1:], lines)), "", "page page page <n>"])
+    bars = (-2.0, -0.5, 0.0, 0.5, 1.0, 3.0)
+    assert all(scorer.exceeds(x, b) == (messages.score(scorer.weights, x) > b) for x in lines for b in bars)
+    asked = []
+    exact = messages.features
+    monkeypatch.setattr(messages, "features", lambda line: asked.append(line) or exact(line))
+    article = "The water union measured the night bus routes near Ostend, although nobody in the whole of the valley had asked for it at the time, as reports said."
+    assert [R.line_kind(x) for x in (article, REAL[0], REAL[3])] == ["text"] * 3 and not asked
+
+
+def test_masks_of_a_page_are_those_of_its_lines():
+    pages = ["Page 12 of /a/b\n\n {{ x\ny }} \n[insert a\nb] {{ a b }} c", "a /x\n/y z/w ٣4\r\n@you\n@me, $a$\n", "&lt;&lt;a&lt;&lt; __b__ *|C|*\x85d\n<% 1\n2 %>", "plain", "", " \n\t"]
+    for text in pages:
+        assert R.masked_lines(text)[0] == [R.mask(line) for line in text.split("\n") if line.strip()]
+    assert [R.masked_lines(text)[1] for text in pages] == [True, True, True, False, False, False]
