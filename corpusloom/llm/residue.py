@@ -18,10 +18,10 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +37,8 @@ DEPTH = 2
 ALIKE = 0.6
 #: Distinct lines of a leaf in one task; a larger leaf is split by a hash of the line.
 LEAF = 5_000
+#: Pages whose lines a task holds at once.
+PAGES = 2_000
 #: Words of prose, other than residue, with which a page is an article; a page with fewer in all is thin.
 PROSE = 80
 #: Sources that must have the same masked sentence before its spread counts.
@@ -184,6 +186,10 @@ def mine(masked: list[str], alike: float = ALIKE) -> list[str]:
     return [" ".join(templates[i]) for i in member]
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(lo, PAGES) for batch in batches for lo in range(0, batch.num_rows, PAGES))
+
+
 def page_lines(df: DataFrame, doc: str, source: str, content: str, failed: Column | None = None) -> DataFrame:
     """(doc, source, failed, thin, lent, first, masked, words, prose): every page with its lines that are not blank, as arrays.
 
@@ -192,7 +198,7 @@ def page_lines(df: DataFrame, doc: str, source: str, content: str, failed: Colum
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             at, thins, lent, first, masks, words, proses = [], [], [], [], [], [], []
             for i, text in enumerate(batch.column(3).to_pylist()):
                 if not text or text.isspace():
@@ -220,10 +226,10 @@ def page_lines(df: DataFrame, doc: str, source: str, content: str, failed: Colum
 
 
 def line_texts(df: DataFrame, doc: str, content: str) -> DataFrame:
-    """(masked): the masked lines of the pages of ``page_lines``, each once for a batch of pages."""
+    """(masked): the masked lines of the pages of ``page_lines``, each once for ``PAGES`` pages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             found = dict.fromkeys(line for text in batch.column(0).to_pylist() for line in masked_lines(text)[0])
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], names=["masked"])
 
@@ -258,35 +264,64 @@ def mined_lines(texts: DataFrame, counted: DataFrame) -> DataFrame:
     large = leaves.groupBy("leaf").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > LEAF)
     parted = leaves.join(F.broadcast(large), "leaf", "left").withColumn("part", F.pmod(F.col("h"), F.coalesce(F.ceil(F.col("size") / LEAF), F.lit(1))).cast("int")).join(counted, "h")
     names = ["h", "t", "masked", "template", *_COUNTS]
-    types = pa.schema([("h", pa.int64()), ("template", pa.string()), ("masked", pa.string()), *[(c, pa.int64()) for c in _COUNTS[:5]], ("fill", pa.float64()), ("fill_thin", pa.float64()), ("lent", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # leaves are many and small: they are told apart by the order of the rows, not handed over one by one
-        rows = (r for batch in batches for r in batch.to_pylist())
-        out: list[dict] = []
-        for _, leaf in groupby(rows, key=lambda r: (r["leaf"], r["part"])):
-            found = list(leaf)
-            speaks: dict[str, dict] = {}
-            for r, t in zip(found, mine([r["masked"] for r in found])):
-                r["template"] = t
-                if t not in speaks or _weight(speaks[t]) < _weight(r):
-                    speaks[t] = r
-            for r in found:
-                out.append(r if r["lent"] or speaks[r["template"]] is r else r | {"masked": None})
-            if len(out) > 5000:
-                yield pa.RecordBatch.from_pylist(out, types)
-                out = []
-        if out:
-            yield pa.RecordBatch.from_pylist(out, types)
+        begun: list[pa.RecordBatch] = []
+        for batch in batches:
+            last = int(_starts(batch)[-1]) if batch.num_rows else 0
+            if last:
+                yield mined_leaves([*begun, batch.slice(0, last)])
+                begun = []
+            begun.append(batch.slice(last))
+        if begun:
+            yield mined_leaves(begun)
 
     ordered = parted.repartition("leaf", "part").sortWithinPartitions("leaf", "part", F.col("n_lines").desc(), "masked").select("leaf", "part", "h", "masked", *_COUNTS)
     mined = ordered.mapInArrow(run, "h bigint, template string, masked string, n_lines bigint, n_sites bigint, n_sources bigint, n_thin bigint, failed bigint, fill double, fill_thin double, lent boolean")
-    mined = mined.withColumn("t", F.xxhash64("template"))
-    return mined.withColumn("template", F.when(F.col("masked").isNotNull() & (F.col("template") != F.col("masked")), F.col("template"))).select(*names)
+    mined = mined.withColumn("t", F.xxhash64(F.coalesce("template", "masked")))
+    return mined.withColumn("template", F.when(F.col("masked").isNotNull(), F.col("template"))).select(*names)
 
 
-def _weight(r: dict) -> tuple:
-    return r["n_thin"], r["n_lines"], r["masked"]
+def _starts(rows: pa.RecordBatch | pa.Table) -> np.ndarray:
+    """Where a leaf, or a part of one, begins in rows in their order."""
+    n = rows.num_rows
+    other = np.ones(n, bool)
+    if n > 1:
+        other[1:] = pc.or_(*(pc.not_equal(c.slice(1), c.slice(0, n - 1)) for c in (rows.column(0), rows.column(1)))).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(other)
+
+
+def mined_leaves(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """(h, template, masked, n_lines, …) of rows (leaf, part, h, masked, n_lines, …) of whole leaves, in their order.
+
+    ``template`` is null where it is the text ``masked``. A line alone in its leaf is its own template and never leaves its array.
+    """
+    rows = pa.Table.from_batches(batches).combine_chunks()
+    starts = _starts(rows)
+    sizes = np.diff(np.append(starts, rows.num_rows))
+    many = np.repeat(sizes > 1, sizes)
+    column = {c: rows.column(c).combine_chunks() if rows.num_rows else pa.array([], rows.schema.field(c).type) for c in rows.column_names[2:]}
+    lines, *weights, lent = (column[c].filter(pa.array(many)).to_pylist() for c in ("masked", "n_thin", "n_lines", "lent"))
+    weights = list(zip(*weights, lines))
+    named: list[str | None] = []
+    keep = list(lent)
+    lo = 0
+    for size in sizes[sizes > 1].tolist():
+        found = mine(lines[lo : lo + size])
+        speaks: dict[str, int] = {}
+        for i, t in enumerate(found, lo):
+            if t not in speaks or weights[speaks[t]] < weights[i]:
+                speaks[t] = i
+        for i in speaks.values():
+            keep[i] = True
+        named += [None if k and t == line else t for t, line, k in zip(found, lines[lo : lo + size], keep[lo : lo + size])]
+        lo += size
+    nothing, at = pa.nulls(rows.num_rows, pa.string()), pa.array(many)
+    kept = np.ones(rows.num_rows, bool)
+    kept[many] = keep
+    made = [column["h"], pc.replace_with_mask(nothing, at, pa.array(named, pa.string())), pc.if_else(pa.array(kept), column["masked"], nothing)]
+    return pa.RecordBatch.from_arrays([*made, *(column[c] for c in _COUNTS)], names=["h", "template", "masked", *_COUNTS])
 
 
 def fit(mined: DataFrame, grouped: DataFrame) -> np.ndarray:

@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 
 from corpusloom.llm import messages
@@ -120,3 +121,20 @@ def test_masks_of_a_page_are_those_of_its_lines():
     for text in pages:
         assert R.masked_lines(text)[0] == [R.mask(line) for line in text.split("\n") if line.strip()]
     assert [R.masked_lines(text)[1] for text in pages] == [True, True, True, False, False, False]
+
+
+def test_a_line_alone_in_its_leaf_is_not_mined(monkeypatch):
+    lines = [("a", 0, "one of its kind"), ("b", 0, "access to x is denied"), ("b", 0, "access to y is denied"), ("b", 0, "other words of five here"), ("b", 1, "access to z is denied"), ("c", 0, "last one")]
+    counts = {c: [0.5] * 6 if c.startswith("fill") else [1, 2, 3, 4, 5, 6] for c in R._COUNTS} | {"lent": [False, False, False, True, False, False]}
+    rows = pa.table({"leaf": [x[0] for x in lines], "part": [x[1] for x in lines], "h": list(range(6)), "masked": [x[2] for x in lines], **counts}).combine_chunks().to_batches()[0]
+    asked = []
+    exact = R.mine
+    monkeypatch.setattr(R, "mine", lambda x: asked.append(x) or exact(x))
+    whole = R.mined_leaves([rows])
+    assert asked == [[x[2] for x in lines[1:4]]]
+    assert whole["template"].to_pylist() == [None, "access to <*> is denied", "access to <*> is denied", None, None, None]
+    # the second line of the template has more pages and speaks for it; the lent line keeps its text too
+    assert whole["masked"].to_pylist() == [lines[0][2], None, *(x[2] for x in lines[2:])]
+    assert whole["h"].to_pylist() == list(range(6)) and whole["n_lines"].to_pylist() == [1, 2, 3, 4, 5, 6]
+    assert R.mined_leaves([rows.slice(i, 1) for i in range(6)]).equals(whole)
+    assert R.mined_leaves([rows.slice(0, 0)]).num_rows == 0
